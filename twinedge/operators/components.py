@@ -1,15 +1,15 @@
 """Connected components by randomised contraction.
 
 Each round every vertex moves to the member of its closed neighbourhood with
-the smallest hash, edges are rewritten to those representatives, and loops and
+the smallest hash, and on to where that member moves; edges are rewritten to those representatives, and loops and
 copies fall away (Boegeholz, Brand and Todor, "In-database connected component
 analysis", ICDE 2020). The order is drawn anew each round, so the number of
 vertices shrinks by a constant factor in expectation whatever the shape of the
 graph: a long path takes O(log n) rounds, and the tables of all rounds
 together are not much larger than the first.
 
-Skew: the representative is a ``min`` (combined map-side), and both rewriting
-joins have one row per vertex on the right, so AQE can split the edges of a hub.
+Skew: the representative is a minimum (combined map-side), and the joins have
+one row per vertex on the right, so AQE can split the edges of a hub.
 No neighbour list is ever collected.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinedge.scratch import materialise, materialise_counted
@@ -33,17 +33,22 @@ def undirected(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def _representatives(edges: DataFrame, keys: list[str], seed: int) -> DataFrame:
-    def ranked(col):
-        return F.struct(F.xxhash64(F.col(col), F.lit(seed)).alias("h"), F.col(col).alias("x"))
+    """Where each vertex moves: to its smallest neighbour or itself, and from
+    there once more, which lets fewer representatives remain per round."""
+
+    def drawn(col: str) -> Column:
+        return F.xxhash64(F.col(col), F.lit(seed))
 
     both_ways = edges.select(*keys, "u", "v").unionByName(
         edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"))
     )
-    return (
-        both_ways.groupBy(*keys, "u")
-        .agg(F.min(ranked("v")).alias("near"))
-        .select(*keys, "u", F.least("near", ranked("u"))["x"].alias("rep"))
+    # plain LONG buffers keep this a hash aggregate; min of a struct would sort
+    near = both_ways.groupBy(*keys, "u").agg(
+        F.min(drawn("v")).alias("h"), F.min_by("v", drawn("v")).alias("near")
     )
+    step = near.select(*keys, "u", F.when(F.col("h") < drawn("u"), F.col("near")).otherwise(F.col("u")).alias("rep"))
+    onward = step.select(*keys, F.col("u").alias("rep"), F.col("rep").alias("then"))
+    return step.join(onward, [*keys, "rep"]).select(*keys, "u", F.col("then").alias("rep"))
 
 
 def _rewrite(edges: DataFrame, reps: DataFrame, keys: list[str]) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinedge.schema import VIEWS
+from twinedge.scratch import materialise
 
 
 # ---- weights -------------------------------------------------------------
@@ -120,6 +121,7 @@ def _lists(matrix: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.astype(np.float32).ravel()))
 
 
+MAX_COLUMNS = 128
 VECTOR_ROWS = "view string, idx bigint, vec array<float>"
 
 
@@ -151,24 +153,34 @@ def _project(nodes: DataFrame, maps: Mapping[str, Callable[[np.ndarray], np.ndar
     return nodes.mapInArrow(run, VECTOR_ROWS)
 
 
-def _weighted_sum(rows: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    summed = Summarizer.sum(array_to_vector("vec"), F.col(weight))
-    return rows.groupBy(*keys).agg(vector_to_array(summed).alias("vec"))
+def weighted_sum(rows: DataFrame, keys: list[str], weight: str, width: int, mean: bool = False) -> DataFrame:
+    """``(keys, vec)``: sum (or mean) of ``weight * vec`` over the rows of a key.
+
+    Each key holds a buffer of plain doubles: a hash aggregate that
+    combines map-side and spills. Vectors too wide for generated code go
+    through ML's summarizer, which does the same on objects.
+    """
+    w = F.col(weight).cast("double")
+    if width > MAX_COLUMNS:
+        summary = Summarizer.mean if mean else Summarizer.sum
+        return rows.groupBy(*keys).agg(vector_to_array(summary(array_to_vector("vec"), w)).alias("vec"))
+    cells = [F.sum(w * F.element_at("vec", i + 1)).alias(f"_{i}") for i in range(width)]
+    sums = rows.groupBy(*keys).agg(F.sum(w).alias("_w"), *cells)
+    by = F.col("_w") if mean else F.lit(1.0)
+    return sums.select(*keys, F.array(*[F.col(f"_{i}") / by for i in range(width)]).alias("vec"))
 
 
 # ---- layers --------------------------------------------------------------
 
-def neighbour_mean(views: DataFrame, features: DataFrame) -> DataFrame:
+def neighbour_mean(views: DataFrame, features: DataFrame, width: int) -> DataFrame:
     """``(view, idx, vec)``: weighted mean of the vectors at the sources of the
-    edges into a node. Sums combine map-side, so a node with very many edges
-    is no bottleneck."""
-    at_src = features.select(F.col("idx").alias("src"), F.col("feat").alias("vec"))
-    mean = Summarizer.mean(array_to_vector("vec"), F.col("w").cast("double"))
-    return (
-        views.join(at_src, "src")
-        .groupBy("view", F.col("dst").alias("idx"))
-        .agg(vector_to_array(mean).alias("vec"))
-    )
+    edges into a node. ``features`` is ``(idx, vec)``, the same for every view,
+    or ``(view, idx, vec)``; ``width`` is the length of the vectors. Sums
+    combine map-side, so a node with very many edges is no bottleneck."""
+    at_src = features.withColumnRenamed("idx", "src")
+    on = [c for c in ("view", "src") if c in at_src.columns]
+    messages = views.join(at_src, on).select("view", F.col("dst").alias("idx"), "w", "vec")
+    return weighted_sum(messages, ["view", "idx"], "w", width, mean=True)
 
 
 def mean_shares(views: DataFrame) -> DataFrame:
@@ -198,7 +210,8 @@ def sage_layer(
         .select("view", F.col("dst").alias("idx"), "share", "vec")
     )
     rows = messages.unionByName(own.withColumn("share", F.lit(1.0)))
-    return _weighted_sum(rows, ["view", "idx"], "share").select("view", "idx", "vec")
+    width = max(len(layer.own.bias) for layer in layers.values())
+    return weighted_sum(rows, ["view", "idx"], "share", width)
 
 
 def _with_logit(layer: SageLayer, attention: Linear) -> SageLayer:
@@ -213,11 +226,9 @@ def _with_logit(layer: SageLayer, attention: Linear) -> SageLayer:
 
 
 def view_embeddings(shares: DataFrame, features: DataFrame, weights: ScorerWeights) -> DataFrame:
-    """``(view, idx, vec, logit)`` after two layers with a ReLU in between."""
-    from twinedge.scratch import materialise
-
-    nodes = features.select("idx", F.col("feat").alias("vec"))
-    first = sage_layer(shares, nodes, {v: pair[0] for v, pair in weights.layers.items()})
+    """``(view, idx, vec, logit)`` after two layers with a ReLU in between;
+    ``features`` is ``(idx, vec)``."""
+    first = sage_layer(shares, features, {v: pair[0] for v, pair in weights.layers.items()})
     # read twice by the second layer
     first = materialise(first, "sage-hidden")
     second = {v: _with_logit(pair[1], weights.attention[v]) for v, pair in weights.layers.items()}
@@ -245,11 +256,10 @@ def view_attention(embeddings: DataFrame) -> DataFrame:
     return scaled.join(total, "idx").select("view", "idx", (F.col("share") / F.col("total")).alias("weight"))
 
 
-def node_embeddings(embeddings: DataFrame) -> DataFrame:
+def node_embeddings(embeddings: DataFrame, width: int) -> DataFrame:
     """``(idx, vec)``: attention-weighted sum over the views of a node. The
     softmax denominator cancels in a weighted mean."""
-    mean = Summarizer.mean(array_to_vector("vec"), F.col("share"))
-    return attention_scaled(embeddings).groupBy("idx").agg(vector_to_array(mean).alias("vec"))
+    return weighted_sum(attention_scaled(embeddings), ["idx"], "share", width, mean=True)
 
 
 def edge_scores(edges: DataFrame, nodes: DataFrame, weights: ScorerWeights) -> DataFrame:
@@ -284,4 +294,4 @@ def edge_scores(edges: DataFrame, nodes: DataFrame, weights: ScorerWeights) -> D
 def score_candidates(edges: DataFrame, views: DataFrame, features: DataFrame, weights: ScorerWeights) -> DataFrame:
     """The whole forward function: candidate edges to scores."""
     h = view_embeddings(mean_shares(views), features, weights)
-    return edge_scores(edges, node_embeddings(h), weights)
+    return edge_scores(edges, node_embeddings(h, weights.width), weights)

@@ -191,7 +191,7 @@ SQL = {
     "author_display": "SELECT idx, fullname || ' (ORCID: ' || orcid || ')' AS shown FROM gapped",
     "prune_edges": "SELECT * FROM scored WHERE score >= 0.5",
     "binarise_scores": "SELECT *, round_even(score, 0) AS rounded, CASE WHEN score > 0.5 THEN 1 ELSE 0 END AS above FROM scored",
-    "extreme_edges_high": _extremes("score > 0.99"),
+    "extreme_edges_high": _extremes("score > 0.95"),
     "extreme_edges_low": _extremes("score < 0.35"),
     **{
         f"resolve_{t}": "SELECT src, dst FROM "

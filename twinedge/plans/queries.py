@@ -76,6 +76,14 @@ def all_edges(g: DerivedGraph) -> dict[str, DataFrame]:
     return {t: g.edges(t) for t in EDGE_TYPES}
 
 
+def path_edges(g: DerivedGraph) -> dict[str, DataFrame]:
+    """The edges the views are made of, derived once and read as stored tables."""
+    used = sorted({etype for path in VIEWS.values() for etype in path})
+    return {t: materialise(g.edges(t), f"edges-{t}") for t in used if t != "is_written_by"} | {
+        "is_written_by": g.edges("is_written_by")
+    }
+
+
 def node_ids(g: DerivedGraph, ntype: str) -> DataFrame:
     return (g.authors if ntype == AUTHOR else g.publications).select("id", "idx")
 
@@ -255,7 +263,7 @@ def _(g):
 
 @query("extreme_edges_high")
 def _(g):
-    return metrics.extreme_edges(sim_scored(g), g.authors, is_above("score", 0.99))
+    return metrics.extreme_edges(sim_scored(g), g.authors, is_above("score", 0.95))
 
 
 @query("extreme_edges_low")
@@ -553,7 +561,7 @@ def _(g):
 
 
 def views(g: DerivedGraph) -> DataFrame:
-    return graph.author_views(all_edges(g), g.authors)
+    return graph.author_views(path_edges(g), g.authors)
 
 
 @query("author_views")
@@ -579,7 +587,11 @@ def vector_digest(df: DataFrame, *keys: str) -> DataFrame:
 
 @query("neighbour_mean")
 def _(g):
-    return vector_digest(embed.neighbour_mean(views(g), g.author_features), "view", "idx")
+    return vector_digest(embed.neighbour_mean(views(g), node_vectors(g), 64), "view", "idx")
+
+
+def node_vectors(g: DerivedGraph) -> DataFrame:
+    return g.author_features.select("idx", F.col("feat").alias("vec"))
 
 
 def small_weights() -> embed.ScorerWeights:
@@ -588,13 +600,12 @@ def small_weights() -> embed.ScorerWeights:
 
 @query("sage_layer")
 def _(g):
-    nodes = g.author_features.select("idx", F.col("feat").alias("vec"))
     first = {v: pair[0] for v, pair in small_weights().layers.items()}
-    return vector_digest(embed.sage_layer(embed.mean_shares(views(g)), nodes, first), "view", "idx")
+    return vector_digest(embed.sage_layer(embed.mean_shares(views(g)), node_vectors(g), first), "view", "idx")
 
 
 def embedded(g: DerivedGraph) -> DataFrame:
-    return embed.view_embeddings(embed.mean_shares(views(g)), g.author_features, small_weights())
+    return embed.view_embeddings(embed.mean_shares(views(g)), node_vectors(g), small_weights())
 
 
 @query("view_embeddings")
@@ -609,12 +620,12 @@ def _(g):
 
 @query("node_embeddings")
 def _(g):
-    return vector_digest(embed.node_embeddings(embedded(g)), "idx")
+    return vector_digest(embed.node_embeddings(embedded(g), 8), "idx")
 
 
 @query("edge_scores")
 def _(g):
-    return embed.score_candidates(g.similar, views(g), g.author_features, small_weights())
+    return embed.score_candidates(g.similar, views(g), node_vectors(g), small_weights())
 
 
 _trained: dict[tuple[str, str], tuple[train.TrainedScorer, DataFrame]] = {}
@@ -625,7 +636,7 @@ def trained(g: DerivedGraph) -> tuple[train.TrainedScorer, DataFrame]:
     key = (g.spark.sparkContext.applicationId, g.sf_dir)
     if key not in _trained:
         splits = labels.edge_splits(labels.label_candidates(g.similar, g.equates))
-        vectors = train.training_vectors(splits, materialise(views(g), "views"), g.author_features, 8)
+        vectors = train.training_vectors(splits, materialise(views(g), "views"), node_vectors(g), 8)
         root = new_path(g.spark, "training")
         _trained[key] = (
             train.train_edge_scorer(vectors, root, "run", hidden=8, rounds=6, iterations=8, patience=3),

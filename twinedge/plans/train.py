@@ -28,24 +28,23 @@ from twinedge.sources.store import append_metrics, save_model, training_metrics
 
 
 def reduced_features(features: DataFrame, width: int) -> DataFrame:
-    """Principal components of the node features, ``(idx, feat)``."""
-    vectors = features.select("idx", array_to_vector(F.col("feat").cast("array<double>")).alias("v"))
+    """Principal components of the node vectors, ``(idx, vec)``."""
+    vectors = features.select("idx", array_to_vector(F.col("vec").cast("array<double>")).alias("v"))
     model = PCA(k=width, inputCol="v", outputCol="p").fit(vectors)
-    return model.transform(vectors).select("idx", vector_to_array("p").alias("feat"))
+    return model.transform(vectors).select("idx", vector_to_array("p").alias("vec"))
 
 
-def propagated_features(views: DataFrame, features: DataFrame) -> DataFrame:
-    """``(idx, vec)``: own features, then the means of one and of two steps for
+def propagated_features(views: DataFrame, features: DataFrame, width: int) -> DataFrame:
+    """``(idx, vec)``: own vector, then the means of one and of two steps for
     each view. A node gathers 9 short vectors, whatever its degree."""
-    one = materialise(neighbour_mean(views, features), "mean-1")
-    # the second step stays within its view
-    two = neighbour_mean_by_view(views, one)
+    one = materialise(neighbour_mean(views, features, width), "mean-1")
+    two = neighbour_mean(views, one, width)
     order = {v: k for k, v in enumerate(VIEWS)}
     place = F.element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), F.col("view"))
     slots = reduce(
         DataFrame.unionByName,
         [
-            features.select("idx", F.lit(0).alias("slot"), F.col("feat").alias("vec")),
+            features.select("idx", F.lit(0).alias("slot"), "vec"),
             one.select("idx", (place * 2 + 1).alias("slot"), "vec"),
             two.select("idx", (place * 2 + 2).alias("slot"), "vec"),
         ],
@@ -54,15 +53,6 @@ def propagated_features(views: DataFrame, features: DataFrame) -> DataFrame:
     return slots.groupBy("idx").agg(F.flatten(F.transform(parts, lambda p: p["vec"])).alias("vec"))
 
 
-def neighbour_mean_by_view(views: DataFrame, vectors: DataFrame) -> DataFrame:
-    """As :func:`neighbour_mean` for vectors ``(view, idx, vec)`` of each view."""
-    from twinedge.operators.embed import _weighted_sum, mean_shares
-
-    at_src = vectors.select("view", F.col("idx").alias("src"), "vec")
-    messages = mean_shares(views).join(at_src, ["view", "src"]).withColumnRenamed("dst", "idx")
-    return _weighted_sum(messages, ["view", "idx"], "share")
-
-
 def edge_vectors(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``edges`` with ``features``: the vectors of source and destination."""
     at_src = nodes.select(F.col("idx").alias("src"), F.col("vec").alias("_a"))
@@ -155,5 +145,5 @@ def evaluate_edge_scorer(trained: TrainedScorer, vectors: DataFrame, threshold:
 def training_vectors(splits: DataFrame, views: DataFrame, features: DataFrame, width: int) -> DataFrame:
     """The written-down training table ``(split, label, src, dst, features)``."""
     small = materialise(reduced_features(features, width), "pca")
-    nodes = propagated_features(views, small)
+    nodes = propagated_features(views, small, width)
     return materialise(edge_vectors(expand_copies(splits), nodes), "training-vectors")
