@@ -639,7 +639,7 @@ def trained(g: DerivedGraph) -> tuple[train.TrainedScorer, DataFrame]:
         vectors = train.training_vectors(splits, materialise(views(g), "views"), node_vectors(g), 8)
         root = new_path(g.spark, "training")
         _trained[key] = (
-            train.train_edge_scorer(vectors, root, "run", hidden=8, rounds=6, iterations=8, patience=3),
+            train.train_edge_scorer(vectors, root, "run", hidden=16, rounds=12, iterations=10, patience=3),
             vectors,
         )
     return _trained[key]

@@ -10,11 +10,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     MultilayerPerceptronClassificationModel,
     MultilayerPerceptronClassifier,
 )
-from pyspark.ml.feature import PCA
+from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,10 +29,14 @@ from twinedge.sources.store import append_metrics, save_model, training_metrics
 
 
 def reduced_features(features: DataFrame, width: int) -> DataFrame:
-    """Principal components of the node vectors, ``(idx, vec)``."""
+    """Principal components of the node vectors on a common scale, ``(idx, vec)``."""
     vectors = features.select("idx", array_to_vector(F.col("vec").cast("array<double>")).alias("v"))
-    model = PCA(k=width, inputCol="v", outputCol="p").fit(vectors)
-    return model.transform(vectors).select("idx", vector_to_array("p").alias("vec"))
+    stages = [
+        PCA(k=width, inputCol="v", outputCol="p"),
+        StandardScaler(withMean=True, inputCol="p", outputCol="s"),
+    ]
+    reduced = Pipeline(stages=stages).fit(vectors).transform(vectors)
+    return reduced.select("idx", vector_to_array("s").alias("vec"))
 
 
 def propagated_features(views: DataFrame, features: DataFrame, width: int) -> DataFrame:
