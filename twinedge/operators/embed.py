@@ -228,6 +228,7 @@ def _with_logit(layer: SageLayer, attention: Linear) -> SageLayer:
 def view_embeddings(shares: DataFrame, features: DataFrame, weights: ScorerWeights) -> DataFrame:
     """``(view, idx, vec, logit)`` after two layers with a ReLU in between;
     ``features`` is ``(idx, vec)``."""
+    shares = materialise(shares, "shares")  # read by both layers
     first = sage_layer(shares, features, {v: pair[0] for v, pair in weights.layers.items()})
     # read twice by the second layer
     first = materialise(first, "sage-hidden")

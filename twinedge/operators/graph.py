@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinedge.schema import AUTHOR, EDGE_TYPES, PUBLICATION, VIEWS
-from twinedge.scratch import materialise, materialise_counted
+from twinedge.scratch import at_once, materialise
 
 # A join key whose matches exceed this many output rows is cut into cells.
 HUB_OUTPUT = 50_000_000
@@ -152,7 +152,7 @@ def integrity_report(nodes: Mapping[str, DataFrame], graph: DataFrame) -> DataFr
     a range test replaces the join for the last.
     """
     counts = {
-        t: tuple(df.agg(F.count("idx"), F.min("idx"), F.max("idx")).first()) for t, df in nodes.items()
+        t: tuple(df.agg(F.count(F.lit(1)), F.min("idx"), F.max("idx")).first()) for t, df in nodes.items()
     }
     spark = graph.sparkSession
     gaps = [
@@ -197,10 +197,10 @@ def require_intact(report: DataFrame) -> None:
 
 # ---- metapaths and views -------------------------------------------------
 
-def _hubs(frontier: DataFrame, edges: DataFrame, hub_output: int, side: int) -> tuple[DataFrame, int]:
+def _hubs(frontier: DataFrame, edges: DataFrame, hub_output: int, side: int) -> DataFrame:
     """Join keys with too many matches, and into how many parts to cut each side."""
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    fan = (
+    return (
         frontier.select(F.col("at").alias("key"), one.alias("l"), none.alias("r"))
         .unionByName(edges.select(F.col("src").alias("key"), none.alias("l"), one.alias("r")))
         .groupBy("key")
@@ -213,7 +213,6 @@ def _hubs(frontier: DataFrame, edges: DataFrame, hub_output: int, side: int) ->
             F.ceil(F.col("r") / side).cast("int").alias("r_parts"),
         )
     )
-    return materialise_counted(fan, "hubs")
 
 
 def _hop(frontier: DataFrame, edges: DataFrame, hub_output: int, side: int) -> DataFrame:
@@ -223,13 +222,14 @@ def _hop(frontier: DataFrame, edges: DataFrame, hub_output: int, side: int) -> D
     therefore laid on a grid: the left side is cut by start, the right side by
     end, and each cell (key, i, j) is a join of at most about side x side rows.
     """
-    hubs, found = _hubs(frontier, edges, hub_output, side)
-    if not found:
+    hubs = _hubs(frontier, edges, hub_output, side)
+    if hubs.count() == 0:
         return (
             frontier.join(edges.select(F.col("src").alias("at"), "dst"), "at")
             .select("start", F.col("dst").alias("at"))
             .distinct()
         )
+    hubs = materialise(hubs, "hubs")
     parts = {p: F.coalesce(p, F.lit(1)) for p in ("l_parts", "r_parts")}
 
     def cells(part):
@@ -291,10 +291,9 @@ def with_self_loops(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def author_views(edges: Mapping[str, DataFrame], author_nodes: DataFrame) -> DataFrame:
     """``(view, src, dst, w)``: the four author graphs, each with self-loops."""
-    stacked = []
-    for view, path in VIEWS.items():
-        links = edges[path[0]] if len(path) == 1 else metapath(edges, path)
-        stacked.append(links.select(F.lit(view).alias("view"), "src", "dst"))
+    # a metapath runs jobs of its own; the paths do not depend on each other
+    links = at_once({v: lambda p=p: edges[p[0]] if len(p) == 1 else metapath(edges, p) for v, p in VIEWS.items()})
+    stacked = [links[view].select(F.lit(view).alias("view"), "src", "dst") for view in VIEWS]
     loops = author_nodes.select(
         F.explode(F.array(*[F.lit(v) for v in VIEWS])).alias("view"),
         F.col("idx").alias("src"),

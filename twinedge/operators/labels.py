@@ -104,14 +104,16 @@ def split_sizes(splits: DataFrame) -> DataFrame:
 
 def expand_copies(df: DataFrame, chunk: int = 10_000) -> DataFrame:
     """One row per copy. Rows with many copies are cut into chunks which are
-    spread over all tasks before they are expanded."""
-    chunks = df.withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0), F.expr(f"(copies - 1) div {chunk}")))
+    spread over all tasks before they are expanded. A chunk grows with the
+    root of the copies, so neither step makes a long array of one row."""
+    sized = df.withColumn("_size", F.greatest(F.lit(chunk), F.ceil(F.sqrt("copies"))))
+    chunks = sized.withColumn(
+        "_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(copies - 1) div _size")))
     )
-    spread = chunks.repartition(*[c for c in chunks.columns])
-    last = F.least(F.lit(chunk).cast("long"), F.col("copies") - F.col("_chunk") * chunk)
-    return spread.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), last))).drop(
-        "_copy", "_chunk", "copies"
+    spread = chunks.repartition(*chunks.columns)
+    left = F.least(F.col("_size"), F.col("copies") - F.col("_chunk") * F.col("_size"))
+    return spread.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), left))).drop(
+        "_copy", "_chunk", "_size", "copies"
     )
 
 

@@ -11,7 +11,7 @@ table even where one group holds a third of the rows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,8 +39,12 @@ class DerivedGraph:
     spark: SparkSession
     sf_dir: str
 
+    _read: dict[str, DataFrame] = field(default_factory=dict)
+
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._read[name]
 
     @cached_property
     def num_authors(self) -> int:

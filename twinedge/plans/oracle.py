@@ -106,6 +106,32 @@ CTES = {
     "reach": """SELECT idx, idx AS seen FROM author
               UNION SELECT r.idx, l.b FROM reach r JOIN linked_both l ON l.a = r.seen""",
     "components": "SELECT idx, min(seen) AS component FROM reach GROUP BY idx",
+    # a scorer with weights from a formula, 64 inputs and width 8; what Spark
+    # shuffles as FLOAT is cut to FLOAT here as well
+    "kinds": "SELECT * FROM (VALUES " + ", ".join(f"('{v}', {k})" for k, v in enumerate(_VIEWS_OF)) + ") AS x(view, k)",
+    "dims": "SELECT unnest(range(8)) AS i",
+    "shares": "SELECT view, src, dst, w / sum(w) OVER (PARTITION BY view, dst) AS share FROM views",
+    "l1": """SELECT view, idx, i, CAST(CAST(sum(x * sin(i * 64 + j + 10 * k) / sqrt(8)) + any_value(cos(i + 10 * k) / 8) AS FLOAT) AS DOUBLE) AS own,
+              CAST(CAST(sum(x * sin(i * 64 + j + 10 * k + 1) / sqrt(8)) AS FLOAT) AS DOUBLE) AS near
+              FROM (SELECT idx, unnest(range(64)) AS j, unnest(feat) AS x FROM feats), dims, kinds GROUP BY view, idx, i""",
+    "h1": """SELECT s.view, s.dst AS idx, n.i, any_value(o.own) + sum(share * n.near) AS h FROM shares s
+              JOIN l1 n ON n.view = s.view AND n.idx = s.src JOIN l1 o ON o.view = s.view AND o.idx = s.dst AND o.i = n.i
+              GROUP BY s.view, s.dst, n.i""",
+    "l2_raw": """SELECT view, idx, d.i, k, sum(greatest(h, 0) * sin(d.i * 8 + h1.i + 10 * k + 5) / sqrt(8)) + any_value(cos(d.i + 10 * k + 5) / 8) AS own,
+              sum(greatest(h, 0) * sin(d.i * 8 + h1.i + 10 * k + 6) / sqrt(8)) AS near
+              FROM h1 JOIN kinds USING (view) CROSS JOIN dims d GROUP BY view, idx, d.i, k""",
+    "l2": """SELECT view, idx, i, CAST(CAST(own AS FLOAT) AS DOUBLE) AS own, CAST(CAST(near AS FLOAT) AS DOUBLE) AS near FROM l2_raw
+              UNION ALL SELECT view, idx, 8, CAST(CAST(sum(sin(i + 100 + k) * own) + any_value(cos(100 + k)) AS FLOAT) AS DOUBLE),
+              CAST(CAST(sum(sin(i + 100 + k) * near) AS FLOAT) AS DOUBLE) FROM l2_raw GROUP BY view, idx""",
+    "h2": """SELECT s.view, s.dst AS idx, n.i, any_value(o.own) + sum(share * n.near) AS h FROM shares s
+              JOIN l2 n ON n.view = s.view AND n.idx = s.src JOIN l2 o ON o.view = s.view AND o.idx = s.dst AND o.i = n.i
+              GROUP BY s.view, s.dst, n.i""",
+    "att": """SELECT view, idx, exp(h - max(h) OVER (PARTITION BY idx)) AS e FROM h2 WHERE i = 8""",
+    "attention": "SELECT view, idx, e / sum(e) OVER (PARTITION BY idx) AS weight FROM att",
+    "z": """SELECT idx, i, sum(weight * h) AS z FROM h2 JOIN attention USING (view, idx) WHERE i < 8 GROUP BY idx, i""",
+    "halves": """SELECT idx, d.i, CAST(CAST(sum(z * sin(d.i * 16 + z.i + 200) / sqrt(8)) AS FLOAT) AS DOUBLE) AS a,
+              CAST(CAST(sum(z * sin(d.i * 16 + 8 + z.i + 200) / sqrt(8)) + any_value(cos(d.i + 200) / 8) AS FLOAT) AS DOUBLE) AS b
+              FROM z CROSS JOIN dims d GROUP BY idx, d.i""",
     "cuts": "SELECT unnest([" + ", ".join(f"CAST({t} AS DOUBLE)" for t in THRESHOLDS) + "]) AS t",
     "kept": "SELECT t, src, dst FROM dedup_scored, cuts WHERE score >= t",
     "kept_both": "SELECT t, src AS a, dst AS b FROM kept UNION SELECT t, dst, src FROM kept",
@@ -311,6 +337,13 @@ SQL = {
     "neighbour_mean": """WITH m AS (SELECT view, dst AS idx, pos, sum(w * feat[pos]) / sum(w) AS x
           FROM views JOIN feats ON feats.idx = src CROSS JOIN (SELECT unnest(range(1, 65)) AS pos) GROUP BY view, dst, pos)
         SELECT view, idx, round(max(x) FILTER (pos = 1), 6) AS first, round(sum(x), 4) AS total FROM m GROUP BY view, idx""",
+    "sage_layer": "SELECT view, idx, round(max(h) FILTER (i = 0), 6) AS first, round(sum(h), 4) AS total FROM h1 GROUP BY view, idx",
+    "view_embeddings": """SELECT view, idx, round(max(h) FILTER (i = 0), 6) AS first, round(sum(h), 4) AS total
+        FROM h2 WHERE i < 8 GROUP BY view, idx""",
+    "view_attention": "SELECT view, idx, round(weight, 6) AS weight FROM attention",
+    "node_embeddings": "SELECT idx, round(max(z) FILTER (i = 0), 6) AS first, round(sum(z), 4) AS total FROM z GROUP BY idx",
+    "edge_scores": """SELECT src, dst, round(1 / (1 + exp(-(sum(greatest(s.a + d.b, 0) * sin(s.i + 300)) + cos(300)))), 6) AS score
+        FROM similar_edges JOIN halves s ON s.idx = src JOIN halves d ON d.idx = dst AND d.i = s.i GROUP BY src, dst""",
 }
 
 

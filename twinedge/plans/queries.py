@@ -17,7 +17,7 @@ from twinedge.operators.components import connected_components
 from twinedge.plans import inspect, sweep, train
 from twinedge.plans.fixture import DerivedGraph
 from twinedge.schema import AUTHOR, EDGE_TYPES, NODE_DATASETS, PUBLICATION, RAW_DATASETS, VIEWS
-from twinedge.scratch import materialise, new_path
+from twinedge.scratch import at_once, materialise, new_path
 from twinedge.session import configure
 from twinedge.sources import raw, store
 
@@ -77,11 +77,9 @@ def all_edges(g: DerivedGraph) -> dict[str, DataFrame]:
 
 
 def path_edges(g: DerivedGraph) -> dict[str, DataFrame]:
-    """The edges the views are made of, derived once and read as stored tables."""
-    used = sorted({etype for path in VIEWS.values() for etype in path})
-    return {t: materialise(g.edges(t), f"edges-{t}") for t in used if t != "is_written_by"} | {
-        "is_written_by": g.edges("is_written_by")
-    }
+    """All edges, with those that take a group and a join to derive written once."""
+    grouped = ("cites", "coprojected")
+    return all_edges(g) | at_once({t: lambda t=t: materialise(g.edges(t), f"edges-{t}") for t in grouped})
 
 
 def node_ids(g: DerivedGraph, ntype: str) -> DataFrame:
@@ -547,26 +545,27 @@ for _etype in ("potentially_equates", "collaborates", "similar", "equates", "sim
 
 @query("metapath_colleague")
 def _(g):
-    return graph.metapath(all_edges(g), VIEWS["colleague"])
+    return graph.metapath(path_edges(g), VIEWS["colleague"])
 
 
 @query("metapath_citation")
 def _(g):
-    return graph.metapath(all_edges(g), VIEWS["citation"])
+    return graph.metapath(path_edges(g), VIEWS["citation"])
 
 
 @query("view_with_self_loops")
 def _(g):
-    return graph.with_self_loops(graph.metapath(all_edges(g), VIEWS["citation"]), g.authors)
+    return graph.with_self_loops(graph.metapath(path_edges(g), VIEWS["citation"]), g.authors)
 
 
 def views(g: DerivedGraph) -> DataFrame:
-    return graph.author_views(path_edges(g), g.authors)
+    """The author views as a stored table, as every consumer reads them more than once."""
+    return materialise(graph.author_views(path_edges(g), g.authors), "views")
 
 
 @query("author_views")
 def _(g):
-    return views(g).groupBy("view").agg(
+    return graph.author_views(path_edges(g), g.authors).groupBy("view").agg(
         F.count(F.lit(1)).alias("edges"), F.sum("w").alias("weight"), F.max("w").alias("max_weight")
     )
 
@@ -587,7 +586,8 @@ def vector_digest(df: DataFrame, *keys: str) -> DataFrame:
 
 @query("neighbour_mean")
 def _(g):
-    return vector_digest(embed.neighbour_mean(views(g), node_vectors(g), 64), "view", "idx")
+    found = embed.neighbour_mean(graph.author_views(path_edges(g), g.authors), node_vectors(g), 64)
+    return vector_digest(found, "view", "idx")
 
 
 def node_vectors(g: DerivedGraph) -> DataFrame:
@@ -636,7 +636,7 @@ def trained(g: DerivedGraph) -> tuple[train.TrainedScorer, DataFrame]:
     key = (g.spark.sparkContext.applicationId, g.sf_dir)
     if key not in _trained:
         splits = labels.edge_splits(labels.label_candidates(g.similar, g.equates))
-        vectors = train.training_vectors(splits, materialise(views(g), "views"), node_vectors(g), 8)
+        vectors = train.training_vectors(splits, views(g), node_vectors(g), 8)
         root = new_path(g.spark, "training")
         _trained[key] = (
             train.train_edge_scorer(vectors, root, "run", hidden=16, rounds=12, iterations=10, patience=3),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -55,3 +57,11 @@ def materialise_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     rows = seen.get.get("rows")
     # a plan that AQE proves empty reports no metrics
     return table, int(rows) if rows is not None else table.count()
+
+
+def at_once(builds: Mapping[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
+    """Run independent builds that start jobs side by side, so that a small one
+    does not leave the executors idle."""
+    with ThreadPoolExecutor(len(builds)) as pool:
+        running = {name: pool.submit(build) for name, build in builds.items()}
+        return {name: build.result() for name, build in running.items()}

@@ -43,7 +43,8 @@ class GraphStore:
         folder = f"graph-{uuid.uuid4().hex}"
         for ntype, table in nodes.items():
             table.write.parquet(f"{self.root}/{folder}/nodes_{ntype}")
-        edges.write.partitionBy("etype").parquet(f"{self.root}/{folder}/edges")
+        # few files per type, and a type with most of the edges is split
+        edges.hint("rebalance", "etype").write.partitionBy("etype").parquet(f"{self.root}/{folder}/edges")
         version = latest[0] + 1 if latest else 0
         self.spark.createDataFrame([(version, folder)], COMMIT_SCHEMA).coalesce(1).write.mode("append").json(
             f"{self.root}/commits"
