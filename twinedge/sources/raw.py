@@ -78,19 +78,22 @@ def parse_edges(lines: DataFrame) -> DataFrame:
     ).withColumnsRenamed({"first": "src_id", "second": "dst_id"})
 
 
-def parse_nodes(lines: DataFrame, ntype: str) -> DataFrame:
+def parse_nodes(lines: DataFrame, ntype: str, only: tuple[str, ...] = ()) -> DataFrame:
     """``line, idx`` and the typed payload; ``idx`` and ``id`` are null on a bad line.
 
     A missing ORCID reads as '', a JSON null stays null: two different labels.
+    With ``only`` the other payload fields, such as the vectors, are not parsed.
     """
     schema = AUTHOR_PAYLOAD if ntype == AUTHOR else PUBLICATION_PAYLOAD
-    index = F.try_to_number(F.regexp_extract("line", PLAIN_NODE, 2), F.lit("9" * 18))
+    if only:
+        schema = T.StructType([f for f in schema.fields if f.name in ("id", *only)])
+    index = F.regexp_extract("line", PLAIN_NODE, 2).try_cast("long")
     rows = _pairs(lines, PLAIN_NODE, literal_node, index, "long").withColumnsRenamed(
         {"first": "payload", "second": "idx"}
     )
     rows = rows.withColumn("data", F.from_json("payload", schema))
     fields = [F.col(f"data.{f.name}").alias(f.name) for f in schema.fields if f.name != "orcid"]
-    if ntype == AUTHOR:
+    if "orcid" in schema.names:
         fields.append(_orcid().alias("orcid"))
     return rows.select("line", "idx", *fields).withColumnRenamed(FEATURE_FIELD[ntype], "feat")
 
@@ -117,8 +120,8 @@ def _good(parsed: DataFrame) -> Column:
     return F.col(needed[0]).isNotNull() & F.col(needed[1]).isNotNull()
 
 
-def scan_nodes(spark: SparkSession, raw_dir: str, ntype: str) -> DataFrame:
-    return well_formed(parse_nodes(spark.read.text(f"{raw_dir}/{NODE_DATASETS[ntype]}"), ntype))
+def scan_nodes(spark: SparkSession, raw_dir: str, ntype: str, only: tuple[str, ...] = ()) -> DataFrame:
+    return well_formed(parse_nodes(spark.read.text(f"{raw_dir}/{NODE_DATASETS[ntype]}"), ntype, only))
 
 
 def scan_edges(spark: SparkSession, raw_dir: str, dataset: str) -> DataFrame:
@@ -126,8 +129,8 @@ def scan_edges(spark: SparkSession, raw_dir: str, dataset: str) -> DataFrame:
 
 
 def author_orcids(spark: SparkSession, raw_dir: str) -> DataFrame:
-    """``(idx, orcid)``; column pruning keeps the vectors from being parsed."""
-    return scan_nodes(spark, raw_dir, AUTHOR).select("idx", "orcid")
+    """``(idx, orcid)`` of all author lines."""
+    return scan_nodes(spark, raw_dir, AUTHOR, only=("orcid",)).select("idx", "orcid")
 
 
 def dataset_completeness(spark: SparkSession, raw_dir: str) -> DataFrame:
