@@ -208,6 +208,8 @@ SQL = {
     "sink_json_gz": "SELECT idx, fullname, name, true AS name_written FROM author",
     "graph_store_roundtrip": """SELECT etype, count(*) AS edges, count(DISTINCT src) AS sources,
         count(DISTINCT dst) AS destinations FROM typed GROUP BY etype""",
+    "raw_to_graph": """SELECT etype, count(*) AS edges, count(DISTINCT src) AS sources,
+        count(DISTINCT dst) AS destinations FROM typed GROUP BY etype""",
     "author_id": """SELECT src, dst, '00|author______::' || md5('p' || dst || fullname) AS author_id
         FROM writes JOIN author ON idx = src""",
     "lnfi_key": f"""SELECT idx, CASE WHEN name IS NULL OR name = '' THEN '' ELSE trim(lower({_LNFI})) END AS key FROM author""",

@@ -15,6 +15,7 @@ from twinedge.functions.scalar import is_above
 from twinedge.operators import blocking, embed, graph, labels, metrics, ordering
 from twinedge.operators.components import connected_components
 from twinedge.plans import inspect, sweep, train
+from twinedge.plans.entities import EntityGraph
 from twinedge.plans.fixture import DerivedGraph
 from twinedge.schema import AUTHOR, EDGE_TYPES, NODE_DATASETS, PUBLICATION, RAW_DATASETS, VIEWS
 from twinedge.scratch import at_once, materialise, new_path
@@ -212,6 +213,13 @@ def _(g):
     )
 
 
+@query("raw_to_graph")
+def _(g):
+    """All ten raw datasets through parsing, resolution, checks and the store."""
+    entities = EntityGraph.open(g.spark, write_raw(g, *RAW_DATASETS), new_path(g.spark, "graph"))
+    return graph.graph_summary(entities.edges())
+
+
 # ---- text and scalar functions -------------------------------------------
 
 @query("author_id")
@@ -636,7 +644,8 @@ def trained(g: DerivedGraph) -> tuple[train.TrainedScorer, DataFrame]:
     key = (g.spark.sparkContext.applicationId, g.sf_dir)
     if key not in _trained:
         splits = labels.edge_splits(labels.label_candidates(g.similar, g.equates))
-        vectors = train.training_vectors(splits, views(g), node_vectors(g), 8)
+        reducer = train.fit_reducer(node_vectors(g), 8)
+        vectors = train.training_vectors(splits, train.node_vectors(views(g), node_vectors(g), reducer))
         root = new_path(g.spark, "training")
         _trained[key] = (
             train.train_edge_scorer(vectors, root, "run", hidden=16, rounds=12, iterations=10, patience=3),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     MultilayerPerceptronClassificationModel,
     MultilayerPerceptronClassifier,
@@ -28,15 +28,21 @@ from twinedge.scratch import materialise
 from twinedge.sources.store import append_metrics, save_model, training_metrics
 
 
-def reduced_features(features: DataFrame, width: int) -> DataFrame:
-    """Principal components of the node vectors on a common scale, ``(idx, vec)``."""
-    vectors = features.select("idx", array_to_vector(F.col("vec").cast("array<double>")).alias("v"))
+def _as_vectors(features: DataFrame) -> DataFrame:
+    return features.select("idx", array_to_vector(F.col("vec").cast("array<double>")).alias("v"))
+
+
+def fit_reducer(features: DataFrame, width: int) -> PipelineModel:
+    """Principal components of the node vectors ``(idx, vec)`` on a common scale."""
     stages = [
         PCA(k=width, inputCol="v", outputCol="p"),
         StandardScaler(withMean=True, inputCol="p", outputCol="s"),
     ]
-    reduced = Pipeline(stages=stages).fit(vectors).transform(vectors)
-    return reduced.select("idx", vector_to_array("s").alias("vec"))
+    return Pipeline(stages=stages).fit(_as_vectors(features))
+
+
+def reduced_features(reducer: PipelineModel, features: DataFrame) -> DataFrame:
+    return reducer.transform(_as_vectors(features)).select("idx", vector_to_array("s").alias("vec"))
 
 
 def propagated_features(views: DataFrame, features: DataFrame, width: int) -> DataFrame:
@@ -147,8 +153,12 @@ def evaluate_edge_scorer(trained: TrainedScorer, vectors: DataFrame, threshold:
     return long(loss).unionByName(long(cells))
 
 
-def training_vectors(splits: DataFrame, views: DataFrame, features: DataFrame, width: int) -> DataFrame:
+def node_vectors(views: DataFrame, features: DataFrame, reducer: PipelineModel) -> DataFrame:
+    """``(idx, vec)``: what the classifier sees of a node."""
+    width = reducer.stages[0].getK()
+    return propagated_features(views, materialise(reduced_features(reducer, features), "reduced"), width)
+
+
+def training_vectors(splits: DataFrame, nodes: DataFrame) -> DataFrame:
     """The written-down training table ``(split, label, src, dst, features)``."""
-    small = materialise(reduced_features(features, width), "pca")
-    nodes = propagated_features(views, small, width)
     return materialise(edge_vectors(expand_copies(splits), nodes), "training-vectors")
