@@ -10,7 +10,17 @@ from conftest import rows
 from twinedge.operators import labels, ordering
 
 
-def test_running_total_over_many_partitions(spark):
+@pytest.fixture(params=["true", "false"])
+def coalesced(spark, request):
+    """Ranges joined by AQE, or one per shuffle partition."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, request.param)
+    yield request.param
+    spark.conf.set(key, before)
+
+
+def test_running_total_over_many_partitions(spark, coalesced):
     draw = random.Random(0)
     data = [(draw.randrange(10**6), draw.randrange(5)) for _ in range(2000)]
     data = list({k: v for k, v in data}.items())
@@ -53,8 +63,8 @@ def by_hand(bag, train=0.6, valid=0.2):
     return out
 
 
-@pytest.mark.parametrize("copies", [1, 3, 50])
-def test_splits_with_copies(spark, copies):
+@pytest.mark.parametrize("copies", [1, 50])
+def test_splits_with_copies(spark, copies, coalesced):
     draw = random.Random(copies)
     bag = [(i, i + 1, int(draw.random() < 0.3)) for i in range(60)]
     bag += [bag[0]] * copies + [bag[5]] * copies  # a group of copies in some class

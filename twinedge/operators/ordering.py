@@ -28,8 +28,6 @@ def running_total(
     pass their number as ``amount``, so a row with very many copies is one row
     here and cannot overfill a range.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = T.StructType(
         [*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField(out, T.LongType())]
     )
@@ -42,20 +40,19 @@ def running_total(
             if len(batch):
                 so_far = int(upto.iloc[-1])
 
-    # written down: the sampled range bounds must not change between the passes
+    # written down: the sampled range bounds must not change between the passes.
+    # AQE may join neighbouring ranges, which keeps their order.
     local = materialise(
-        df.repartitionByRange(parts, *order)
-        .sortWithinPartitions(*order)
-        .mapInPandas(within_partition, schema),
+        df.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(within_partition, schema),
         "running-total",
     )
-    # at most `parts` rows, whatever the size of df
+    # at most one row per shuffle partition, whatever the size of df
     totals = {
         row["_part"]: row["total"]
         for row in local.groupBy("_part").agg(F.sum(amount).alias("total")).collect()
     }
-    starts = accumulate((totals.get(p, 0) for p in range(parts)), initial=0)
-    shift = F.array(*[F.lit(start).cast("long") for start, _ in zip(starts, range(parts))])
+    sizes = [totals.get(part, 0) for part in range(max(totals, default=0) + 1)]
+    shift = F.array(*[F.lit(start).cast("long") for start in accumulate([0, *sizes[:-1]])])
     return local.withColumn(out, F.col(out) + F.element_at(shift, F.col("_part") + 1)).drop("_part")
 
 
