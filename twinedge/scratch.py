@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
@@ -10,27 +9,15 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-_local_root: str | None = None
-
 
 def scratch_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session.
+    """``spark.checkpoint.dir`` of the session, or a folder in the warehouse.
 
-    Only a local master may go without the setting; it then gets a temporary
-    folder of its own. On a cluster such a folder is visible to one machine
-    only, so there the missing setting is an error.
+    Both are places that the driver and all executors share, whatever the
+    master is; a machine-local temporary folder is not.
     """
-    global _local_root
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    if _local_root is None:
-        _local_root = "file://" + tempfile.mkdtemp(prefix="twinedge-")
-    return _local_root
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return (root or f"{spark.conf.get('spark.sql.warehouse.dir')}/twinedge-scratch").rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -65,3 +52,19 @@ def at_once(builds: Mapping[str, Callable[[], DataFrame]]) -> dict[str, DataFram
     with ThreadPoolExecutor(len(builds)) as pool:
         running = {name: pool.submit(build) for name, build in builds.items()}
         return {name: build.result() for name, build in running.items()}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of tables that :func:`materialise` wrote.
+
+    Only for tables that nothing lazy still reads.
+    """
+    for table in tables:
+        spark = table.sparkSession
+        root = scratch_root(spark).split("://")[-1]
+        for file in table.inputFiles():
+            folder = file.rsplit("/", 1)[0]
+            if root in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+                break

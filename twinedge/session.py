@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 # Runtime SQL settings only, so they can also be applied to a session that a
@@ -19,11 +24,35 @@ RUNTIME_CONF = {
 }
 
 
+_shipped: SparkContext | None = None
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Make this package importable on the executors, once per context.
+
+    Spark hands the archive to every executor, so the Python workers need
+    neither a shared folder nor this folder as their working directory.
+    """
+    global _shipped
+    if _shipped is not spark.sparkContext:
+        package = os.path.dirname(os.path.abspath(__file__))
+        archive = shutil.make_archive(
+            os.path.join(tempfile.mkdtemp(), "twinedge"), "zip", os.path.dirname(package), os.path.basename(package)
+        )
+        spark.sparkContext.addPyFile(archive)
+        _shipped = spark.sparkContext
+    return spark
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to an existing session."""
+    """Apply the runtime settings to an existing session and ship the package.
+
+    Only settings that the operators need for right results or for skew are
+    set; other settings of the session stay as they are.
+    """
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
-    return spark
+    return ship(spark)
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -34,6 +63,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="twinedge-"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
