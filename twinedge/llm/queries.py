@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinedge.llm import decontaminate, quality
+from twinedge.llm import decontaminate, lines, neardup, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,13 +23,23 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op9_line_dedup": op9_line_dedup,
 }
 
 LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -40,7 +50,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": rf"""
         WITH d AS (
             SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w,
-                list_filter(string_split(coalesce(text, ''), chr(10)), l -> regexp_matches(l, '{WORD}')) AS lines
+                list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '{WORD}')) AS lines
             FROM documents
         ), g AS (
             SELECT doc_id, i, w[i:i + 2] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)
@@ -49,11 +59,11 @@ ORACLE_SQL: dict[str, str] = {
         ), r AS (
             SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id
         ), m AS (
-            SELECT d.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0)::BIGINT AS word_chars,
+            SELECT d.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
                 length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines,
                 len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
-                len(list_filter(w, x -> upper(x) = x AND lower(x) <> x)) AS n_upper,
-                len(list_filter(w, x -> regexp_matches(x, '\pL'))) AS n_letter
+                len(list_filter(w, lambda x: upper(x) = x AND lower(x) <> x)) AS n_upper,
+                len(list_filter(w, lambda x: regexp_matches(x, '\pL'))) AS n_letter
             FROM d LEFT JOIN r USING (doc_id)
         ), f AS (
             SELECT *, CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
