@@ -33,11 +33,14 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: i
             yield batch.slice(a, b - a)
 
 
-def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType, column: str = "text") -> DataFrame:
-    """Run ``work`` on slices of ``df``; a slice may give any number of rows."""
+def map_slices(
+    df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType, column: str | None = "text"
+) -> DataFrame:
+    """Run ``work`` on slices of ``df``, or on its Arrow batches if no column
+    is long (None); a slice may give any number of rows."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, column):
+        for part in text_slices(batches, column) if column else batches:
             out = work(part)
             if out is not None and out.num_rows:
                 yield out
