@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinedge.llm import decontaminate, lines, neardup, packing, quality
+from twinedge.llm import decontaminate, language, lines, neardup, packing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,14 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(language.documents_evidence(table(spark, sf_dir, "documents")), ["doc_id"])
+
+
+def language_id_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(language.pages_evidence(table(spark, sf_dir, "pages")), ["page_id"])
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
@@ -44,7 +52,9 @@ QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op6_language_id": op6_language_id,
     "op9_line_dedup": op9_line_dedup,
+    "language_id_of_pages": language_id_of_pages,
 }
 
 LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
