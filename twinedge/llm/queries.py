@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinedge.llm import decontaminate, language, lines, neardup, packing, quality
+from twinedge.llm import decontaminate, language, lines, neardup, packing, quality, rollup, secret_scan
+from twinedge.scratch import materialise, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +44,29 @@ def language_id_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(language.pages_evidence(table(spark, sf_dir, "pages")), ["page_id"])
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches: all documents come in, repeated texts go, and the counts
+    of the rest are revised to include the end id; the second is sent twice."""
+    version = "word_bpe_49k/1"
+    counts = materialise(rollup.document_counts(table(spark, sf_dir, "documents"), version), "token-counts")
+    totals = rollup.Rollup(spark, new_path(spark, "token-rollup"))
+    totals.commit("load", rollup.inserts(counts))
+    firsts = counts.groupBy("text_hash", "n_tokens").agg(F.min("doc_id").alias("first"))
+    marked = materialise(
+        counts.join(firsts, ["text_hash", "n_tokens"]).withColumn("again", F.col("doc_id") > F.col("first")), "token-repeats"
+    )
+    totals.commit("repeats", rollup.deletes(marked.where("again")))
+    totals.commit("repeats", rollup.deletes(marked.where("again")))
+    rest = marked.where("NOT again")
+    totals.commit("end-id", rollup.revisions(rest, rest.withColumn("n_tokens", F.col("n_tokens") + 1)))
+    totals.compact()
+    return totals.totals()
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
@@ -53,6 +77,8 @@ QUERIES: dict[str, Query] = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op6_language_id": op6_language_id,
+    "op7_token_counts": op7_token_counts,
+    "op8_secret_scan": op8_secret_scan,
     "op9_line_dedup": op9_line_dedup,
     "language_id_of_pages": language_id_of_pages,
 }
