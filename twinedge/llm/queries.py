@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinedge.llm import decontaminate, language, lines, neardup, packing, quality, rollup, secret_scan
+from twinedge.llm import decontaminate, language, lines, neardup, packing, pages, quality, rollup, secret_scan
 from twinedge.scratch import materialise, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(language.documents_evidence(table(spark, sf_dir, "documents")), ["doc_id"])
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_html_extraction": op5_html_extraction,
     "op6_language_id": op6_language_id,
     "op7_token_counts": op7_token_counts,
     "op8_secret_scan": op8_secret_scan,
