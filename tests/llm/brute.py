@@ -37,3 +37,73 @@ def near(rows):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def dedup_lines(rows, boundary=3, limit=50):
+    """doc_id -> (lines with a word, removed, text), by listing every candidate run."""
+    import struct
+
+    import xxhash
+
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    def chained(values, seed=42):
+        for v in values:
+            seed = xxhash.xxh64(struct.pack("<q", v), seed=seed).intdigest()
+        return signed(seed)
+
+    units, runs = {}, {}
+    for i, text in rows:
+        if text is None:
+            continue
+        lines = text.split("\n")
+        units[i] = [(k, line, len(WORD.findall(line))) for k, line in enumerate(lines) if WORD.search(line)]
+        own, u = set(), units[i]
+        h = [signed(xxhash.xxh64(line.encode(), seed=42).intdigest()) for _, line, _ in u]
+        w = [n for *_, n in u]
+        cuts = [k for k in range(len(u)) if k == 0 or chained([h[k - 1], h[k]]) % boundary == 0 or w[k] > limit or w[k - 1] > limit]
+        own |= {(a, b) for a, b in zip(cuts, [*cuts[1:], len(u)]) if b - a > 1}
+        for k in range(len(u)):
+            for step, make in ((1, lambda e: (k, e + 1)), (-1, lambda e: (e, k + 1))):
+                total, e = 0, k
+                while 0 <= e < len(u):
+                    total += w[e]
+                    if total > limit:
+                        own.add(make(e))
+                        break
+                    e += step
+        for a, b in own:
+            runs.setdefault(tuple(line for _, line, _ in u[a:b]), []).append((i, a, b))
+    gone = {}
+    for places in runs.values():
+        for i, a, b in sorted(places)[1:]:
+            gone.setdefault(i, set()).update(range(a, b))
+    out = {}
+    for i, text in rows:
+        if text is None:
+            out[i] = (0, 0, None)
+            continue
+        lost = {units[i][k][0] for k in gone.get(i, ())}
+        lines = text.split("\n")
+        left = "\n".join(line for k, line in enumerate(lines) if k not in lost) if len(lost) < len(units[i]) or not lost else ""
+        out[i] = (len(units[i]), len(lost), left)
+    return out
+
+
+def leaks(docs, items, share=0.75):
+    return {
+        (i, j, len(b), len(a & b))
+        for i, t in docs for j, q in items
+        for a, b in [(shingles(t, min(5, len(words(q)))) if 0 < len(words(q)) < 5 else shingles(t), shingles(q))]
+        if b and len(a & b) >= share * len(b)
+    }
+
+
+def rules(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words"""
+    w = words(text, lower=False)
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    grams = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+    covered = {k + d for k, g in enumerate(grams) if grams.count(g) > 1 for d in range(3)}
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)

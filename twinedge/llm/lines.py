@@ -97,7 +97,8 @@ def _same(a: str, b: str) -> Column:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``, and the columns
-    ``n_lines`` (lines with a word) and ``n_removed`` (of these).
+    ``n_lines`` (lines with a word) and ``n_removed`` (of these), which take
+    the place of columns of these names.
 
     Every row stays. A null text stays null and an empty one empty, with 0
     lines. Lines without a word stay where they are, unless nothing else is
@@ -121,7 +122,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     # one row per document: its own runs, no more than twice its lines
     own = runs.select(F.col("id").alias("_id"), F.col("version").alias("_version"), "_runs")
     path = new_path(spark, "line-runs")
-    names = [c for c in docs.columns]
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *(c.alias(f"_k_{k}") for k, c in keyed.items()))
     marked = whole.join(own, _same("_k_id", "_id") & _same("_k_version", "_version"), "left").select("row", "_runs")
     marked.write.option("compression", "zstd").parquet(path)
