@@ -19,7 +19,13 @@ def raw_dir(spark):
 
 def test_raw_to_evaluations(spark, raw_dir, tmp_path, capsys):
     store = str(tmp_path / "graph")
-    entities = EntityGraph.open(spark, raw_dir, store)
+    with pytest.raises(ValueError, match="writes_rels"):
+        EntityGraph.open(spark, raw_dir, store)
+    entities = EntityGraph.open(spark, raw_dir, store, tolerance=10_000)
+    drops = {r["dataset"]: (r["malformed"], r["unknown_src"], r["unknown_dst"]) for r in entities.drops().collect()}
+    assert drops["authors"] == (4, 0, 0) and drops["publications"] == (0, 0, 0) and drops["writes_rels"][2] > 0
+    assert entities.store.report("quarantine").count() == 4
+    assert entities.store.report("unresolved").count() == sum(n for *_, n in drops.values())
     assert entities.edges("similar").count() == 870
     assert entities.authors.count() == 150
     sizes = {(r["split"], r["label"]): r["n"] for r in entities.splits().groupBy("split", "label").agg({"copies": "sum"}).toDF("split", "label", "n").collect()}

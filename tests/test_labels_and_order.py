@@ -92,3 +92,23 @@ def test_negatives(spark):
     ends = [r["neg_dst"] for r in drawn.collect()]
     assert len(ends) == 800 and 0 <= min(ends) and max(ends) < 10**12
     assert max(ends) > 2**33  # all nodes can be reached, not only 32 bits of them
+
+
+def test_order_does_not_touch_the_data(spark):
+    from twinedge.operators.ordering import dense_index, positional_index
+
+    big = 2**53 + 1
+    df = spark.createDataFrame([(1.0, big), (float("nan"), None), (2.0, big + 2)], "x double, big bigint")
+    found = {r["position"]: (str(r["x"]), r["big"]) for r in positional_index(df, ["x"]).collect()}
+    assert found == {0: ("1.0", big), 1: ("2.0", big + 2), 2: ("nan", None)}
+    values = spark.createDataFrame([(big,), (None,), (big + 1,), (big,)], "v bigint")
+    assert {r["v"]: r["label"] for r in dense_index(values, "v").collect()} == {None: 0, big: 1, big + 1: 2}
+    assert positional_index(df.where("false"), ["x"]).count() == 0
+
+
+def test_split_leakage(spark):
+    from twinedge.operators.labels import split_leakage
+
+    rows_ = [("train", 1, 0, 1, 2), ("valid", 1, 1, 0, 3), ("train", 0, 2, 3, 1), ("test", 0, 4, 5, 1), ("test", 0, 5, 4, 1)]
+    splits = spark.createDataFrame(rows_, "split string, label int, src bigint, dst bigint, copies bigint")
+    assert [tuple(r) for r in split_leakage(splits).collect()] == [(0, 1, "train", "valid", 5)]

@@ -77,16 +77,44 @@ def test_resolution_keeps_copies_and_drops_unknown(spark, raw_dir):
 def test_completeness(spark, raw_dir, tmp_path):
     (tmp_path / "simrels").mkdir()
     (tmp_path / "simrels" / "part-0").write_text("")
-    found = dict(rows(raw.dataset_completeness(spark, raw_dir)))
+    found = {name: (ok, n) for name, ok, n in rows(raw.dataset_completeness(spark, raw_dir))}
     assert set(found) == set(RAW_DATASETS)
-    assert {k for k, ok in found.items() if ok} == {"authors", "writes_rels"}
+    assert {k for k, (ok, _) in found.items() if ok} == {"authors", "writes_rels"}
+    assert all((n > 0) == ok for ok, n in found.values())
+    assert not any(ok for _, ok, _ in rows(raw.dataset_completeness(spark, str(tmp_path / "none"))))
+
+
+def test_odd_lines_are_set_aside(spark):
+    import ast
+
+    lines = [
+        r"('\ud800', 'b')", r"('a\'b', 'c\\d')", r'''("it's", "x\"y")''', "('a', 'b', 'c')", r"('é', 'b')",
+        "('x\x01y', 'b')", r"('a\\', 'b')", r"('a\', 'b')", "(1, 'b')", "", "('', '')",
+    ]
+    parsed = raw.parse_edges(spark.createDataFrame([(x,) for x in lines], "value string"))
+    found = {r["line"]: (r["src_id"], r["dst_id"]) for r in parsed.collect()}
+    for line in lines:
+        try:
+            expected = ast.literal_eval(line)
+            expected = tuple(x.encode().decode() for x in expected) if len(expected) == 2 else (None, None)
+        except Exception:
+            expected = (None, None)
+        assert found[line] == expected, line
+    nodes = [
+        """('{"id": "a"}', 99999999999999999999)""", """('{"id": "a"}', 7)""", """("{'id'}", 7)""",
+        """('{"id": "a, b"}', 9)""", r"""('{"id": "it\'s \\n"}', 3)""",
+    ]
+    parsed = raw.parse_nodes(spark.createDataFrame([(x,) for x in nodes], "value string"), "author", only=("orcid",))
+    found = {r["line"]: (r["idx"], r["id"]) for r in parsed.collect()}
+    assert [found[x] for x in nodes] == [(None, None), (7, "a"), (7, None), (9, "a, b"), (3, "it's \n")]
 
 
 def test_json_sink(spark, tmp_path):
     path = str(tmp_path / "out")
     raw.write_json_gz(spark.createDataFrame([("é", None)], "a string, b string"), path)
-    part = next((tmp_path / "out").glob("part-*.json.gz"))
-    assert gzip.open(part, "rt", encoding="utf-8").read() == '{"a":"é","b":null}\n'
+    # empty partitions write empty parts
+    parts = sorted((tmp_path / "out").glob("part-*.json.gz"))
+    assert "".join(gzip.open(part, "rt", encoding="utf-8").read() for part in parts) == '{"a":"é","b":null}\n'
 
 
 def test_graph_store(spark, tmp_path):

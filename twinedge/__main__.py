@@ -25,15 +25,17 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--graph", required=True, help="folder of the stored graph")
     parser.add_argument("--model", help="folder of the trained scorer")
     parser.add_argument("--force-reload", action="store_true")
+    parser.add_argument("--tolerance", type=int, default=0, help="unusable lines and edges that a build may set aside")
     parser.add_argument("--width", type=int, default=16, help="principal components per node")
     parser.add_argument("--hidden", type=int, default=100)
     parser.add_argument("--rounds", type=int, default=800)
     args = parser.parse_args(argv)
 
     spark = configure(SparkSession.builder.appName("twinedge").getOrCreate())
-    entities = EntityGraph.open(spark, args.raw, args.graph, args.force_reload)
+    entities = EntityGraph.open(spark, args.raw, args.graph, args.force_reload, args.tolerance)
     if args.task == "build":
         graph_summary(entities.edges()).show(truncate=False)
+        entities.drops().show(truncate=False)
         return
     if not args.model:
         parser.error("--model is needed")
@@ -43,7 +45,10 @@ def main(argv: list[str] | None = None) -> None:
         found.metrics(spark).orderBy("epoch", "split", "metric").show(1000, truncate=False)
         print(found.model_path)
         return
-    newest = stored_models(spark, f"{args.model}/models")[-1]
+    models = stored_models(spark, f"{args.model}/models")
+    if not models:
+        parser.error(f"no trained scorer in {args.model}; run the task train first")
+    newest = models[-1]
     scorer = trained_scorer(train.TrainedScorer(f"{args.model}/models/{newest}", f"{args.model}/metrics"))
     if args.task == "sweep":
         entities.evaluate_thresholds(scorer).orderBy("threshold").show(100, truncate=False)

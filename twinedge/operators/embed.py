@@ -295,4 +295,26 @@ def edge_scores(edges: DataFrame, nodes: DataFrame, weights: ScorerWeights) -> D
 def score_candidates(edges: DataFrame, views: DataFrame, features: DataFrame, weights: ScorerWeights) -> DataFrame:
     """The whole forward function: candidate edges to scores."""
     h = view_embeddings(mean_shares(views), features, weights)
-    return edge_scores(edges, node_embeddings(h, weights.width), weights)
+    # small, and read by both halves
+    nodes = materialise(node_embeddings(h, weights.width), "node-embeddings")
+    return edge_scores(edges, nodes, weights)
+
+
+def cosine_scores(edges: DataFrame, features: DataFrame) -> DataFrame:
+    """``edges`` with ``score``: (1 + cosine of the endpoint vectors) / 2 to 6
+    places; ``features`` is ``(idx, vec)``. A zero vector has no direction, its
+    edges score null. Products are taken on Arrow batches, not per element."""
+
+    @F.arrow_udf("double")
+    def cosine(a: pa.Array, b: pa.Array) -> pa.Array:
+        if len(a) == 0:
+            return pa.array([], pa.float64())
+        x, y = _matrix(a).astype(np.float64), _matrix(b).astype(np.float64)
+        norm = np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
+        product = np.einsum("ij,ij->i", x, y)
+        return pa.array(np.divide(product, norm, out=np.zeros_like(norm), where=norm > 0), mask=norm == 0)
+
+    at_src = features.select(F.col("idx").alias("src"), F.col("vec").alias("_a"))
+    at_dst = features.select(F.col("idx").alias("dst"), F.col("vec").alias("_b"))
+    both = edges.join(at_src, "src").join(at_dst, "dst")
+    return both.withColumn("score", F.round((1 + cosine("_a", "_b")) / 2, 6)).drop("_a", "_b")

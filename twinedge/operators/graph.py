@@ -33,8 +33,22 @@ def resolve_relations(
 ) -> DataFrame:
     """``(etype, src, dst)`` for all relations at once.
 
-    The relations are stacked and the two node sets are one lookup keyed by
-    (type, id), so 2 joins serve all of them instead of 2 per relation.
+    Edges with an unknown end are left out; :func:`marked_relations` keeps them.
+    """
+    marked = marked_relations(raw, authors, publications)
+    return marked.where("src IS NOT NULL AND dst IS NOT NULL").select("etype", "src", "dst")
+
+
+def marked_relations(
+    raw: Mapping[str, DataFrame], authors: DataFrame, publications: DataFrame
+) -> DataFrame:
+    """``(etype, src, dst, src_id, dst_id, line)`` for all relations at once: an
+    index is null where its id is unknown, and only then the ids are kept.
+
+    ``raw[etype]`` has ``src_id, dst_id`` and, if it was not sifted yet, ``line``
+    with the text of malformed lines. The relations are stacked and the two
+    node sets are one lookup keyed by (type, id), so 2 joins serve all of them
+    instead of 2 per relation.
     """
     nodes = authors.select(F.lit(AUTHOR).alias("ntype"), "id", "idx").unionByName(
         publications.select(F.lit(PUBLICATION).alias("ntype"), "id", "idx")
@@ -48,16 +62,28 @@ def resolve_relations(
                 "src_id",
                 F.lit(EDGE_TYPES[etype].dst_type).alias("dst_type"),
                 "dst_id",
+                (F.col("line") if "line" in edges.columns else F.lit(None).cast("string")).alias("line"),
             )
             for etype, edges in raw.items()
         ],
     )
     at_src = nodes.toDF("src_type", "src_id", "src")
     at_dst = nodes.toDF("dst_type", "dst_id", "dst")
+    unknown = F.col("src").isNull() | F.col("dst").isNull()
     return (
-        stacked.join(at_src, ["src_type", "src_id"])
-        .join(at_dst, ["dst_type", "dst_id"])
-        .select("etype", "src", "dst")
+        stacked.join(at_src, ["src_type", "src_id"], "left")
+        .join(at_dst, ["dst_type", "dst_id"], "left")
+        .select("etype", "src", "dst", *[F.when(unknown, F.col(c)).alias(c) for c in ("src_id", "dst_id")], "line")
+    )
+
+
+def dropped_edges(marked: DataFrame) -> DataFrame:
+    """``(etype, malformed, unknown_src, unknown_dst)`` of marked relations."""
+    read = F.col("line").isNull()
+    return marked.groupBy("etype").agg(
+        F.count_if(~read).alias("malformed"),
+        F.count_if(read & F.col("src").isNull()).alias("unknown_src"),
+        F.count_if(read & F.col("dst").isNull()).alias("unknown_dst"),
     )
 
 
@@ -190,7 +216,7 @@ def integrity_report(nodes: Mapping[str, DataFrame], graph: DataFrame) -> DataFr
 
 
 def require_intact(report: DataFrame) -> None:
-    broken = report.where("violations > 0").limit(20).collect()
+    broken = report.where("violations > 0").collect()  # a row per check and edge type
     if broken:
         raise ValueError(f"graph is not sound: {[tuple(r) for r in broken]}")
 
@@ -222,14 +248,8 @@ def _hop(frontier: DataFrame, edges: DataFrame, hub_output: int, side: int) -> D
     therefore laid on a grid: the left side is cut by start, the right side by
     end, and each cell (key, i, j) is a join of at most about side x side rows.
     """
-    hubs = _hubs(frontier, edges, hub_output, side)
-    if hubs.count() == 0:
-        return (
-            frontier.join(edges.select(F.col("src").alias("at"), "dst"), "at")
-            .select("start", F.col("dst").alias("at"))
-            .distinct()
-        )
-    hubs = materialise(hubs, "hubs")
+    # without hubs every key is one cell, and this is the plain join
+    hubs = materialise(_hubs(frontier, edges, hub_output, side), "hubs")
     parts = {p: F.coalesce(p, F.lit(1)) for p in ("l_parts", "r_parts")}
 
     def cells(part):
@@ -271,9 +291,8 @@ def metapath(
     """
     first, *rest = path
     frontier = edges[first].select(F.col("src").alias("start"), F.col("dst").alias("at")).distinct()
-    for n, etype in enumerate(rest):
-        if n:
-            frontier = materialise(frontier, "frontier")
+    for etype in rest:
+        frontier = materialise(frontier, "frontier")
         frontier = _hop(frontier, edges[etype].select("src", "dst"), hub_output, side)
     return frontier.select(F.col("start").alias("src"), F.col("at").alias("dst"))
 

@@ -98,6 +98,15 @@ def edge_splits(
     )
 
 
+def split_leakage(splits: DataFrame) -> DataFrame:
+    """``(a, b, first_split, last_split, copies)``: unordered pairs whose edges
+    are in more than one split, in either direction."""
+    pair = splits.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    return pair.agg(
+        F.min("split").alias("first_split"), F.max("split").alias("last_split"), F.sum("copies").alias("copies")
+    ).where("first_split <> last_split")
+
+
 def split_sizes(splits: DataFrame) -> DataFrame:
     return splits.groupBy("split", "label").agg(F.sum("copies").alias("edges"))
 

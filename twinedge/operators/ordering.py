@@ -10,7 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,28 +33,30 @@ def running_total(
         [*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField(out, T.LongType())]
     )
 
-    def within_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def within_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, so_far = TaskContext.get().partitionId(), 0
         for batch in batches:
-            upto = batch[amount].cumsum() + so_far
-            yield batch.assign(_part=part, **{out: upto - batch[amount]})
-            if len(batch):
-                so_far = int(upto.iloc[-1])
+            own = batch.column(amount)
+            upto = pc.add(pc.cumulative_sum(own), so_far)
+            columns = [*batch.columns, pa.array([part] * len(own), pa.int32()), pc.subtract(upto, own)]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            if len(own):
+                so_far = upto[-1].as_py()
 
     # written down: the sampled range bounds must not change between the passes.
-    # AQE may join neighbouring ranges, which keeps their order.
+    # AQE may join neighbouring ranges, which keeps their order. The other
+    # columns stay Arrow columns and are not converted.
     local = materialise(
-        df.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(within_partition, schema),
+        df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(within_partition, schema),
         "running-total",
     )
-    # at most one row per shuffle partition, whatever the size of df
-    totals = {
-        row["_part"]: row["total"]
-        for row in local.groupBy("_part").agg(F.sum(amount).alias("total")).collect()
-    }
-    sizes = [totals.get(part, 0) for part in range(max(totals, default=0) + 1)]
-    shift = F.array(*[F.lit(start).cast("long") for start in accumulate([0, *sizes[:-1]])])
-    return local.withColumn(out, F.col(out) + F.element_at(shift, F.col("_part") + 1)).drop("_part")
+    # one row per shuffle partition, whatever the size of df
+    totals = sorted((r["_part"], r["total"]) for r in local.groupBy("_part").agg(F.sum(amount).alias("total")).collect())
+    starts = accumulate([0, *(total for _, total in totals)])
+    shifts = [(part, start) for (part, _), start in zip(totals, starts)]
+    offsets = df.sparkSession.createDataFrame(shifts, "_part int, _shift bigint")
+    shifted = local.join(F.broadcast(offsets), "_part")
+    return shifted.withColumn(out, F.col(out) + F.col("_shift")).drop("_part", "_shift")
 
 
 def positional_index(df: DataFrame, order: Sequence[str], out: str = "position") -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -21,24 +21,55 @@ from twinedge.sources.store import GraphStore
 Scorer = Callable[["EntityGraph", DataFrame], DataFrame]
 
 
-def build_graph(spark: SparkSession, raw_dir: str) -> tuple[dict[str, DataFrame], DataFrame]:
-    """``(nodes, edges)`` of the ten raw datasets, checked for soundness."""
+def build_graph(
+    spark: SparkSession, raw_dir: str, tolerance: int = 0
+) -> tuple[dict[str, DataFrame], DataFrame, dict[str, DataFrame]]:
+    """``(nodes, edges, reports)`` of the ten raw datasets, checked for soundness.
+
+    The reports are ``quarantine`` (dataset, line), ``unresolved`` (dataset,
+    src_id, dst_id) and ``drops`` (dataset, malformed, unknown_src, unknown_dst).
+    More than ``tolerance`` malformed lines and unresolved edges are an error.
+    """
     missing = [r["dataset"] for r in raw.dataset_completeness(spark, raw_dir).where("NOT ok").collect()]
     if missing:
         raise FileNotFoundError(f"no data for {missing} in {raw_dir}")
     # text is parsed once, not once for each relation and check
-    nodes = {
-        t: materialise(raw.scan_nodes(spark, raw_dir, t), name) for t, name in NODE_DATASETS.items()
+    parsed = {
+        t: materialise(raw.sifted(raw.parse_nodes(spark.read.text(f"{raw_dir}/{name}"), t)), name)
+        for t, name in NODE_DATASETS.items()
     }
+    nodes = {t: raw.well_formed(rows) for t, rows in parsed.items()}
     relations = {
-        t: raw.scan_edges(spark, raw_dir, kind.dataset) for t, kind in EDGE_TYPES.items() if kind.dataset
+        t: raw.sifted(raw.parse_edges(spark.read.text(f"{raw_dir}/{kind.dataset}")))
+        for t, kind in EDGE_TYPES.items() if kind.dataset
+    }
+    marked = materialise(graph.marked_relations(relations, nodes[AUTHOR], nodes[PUBLICATION]), "relations")
+    dataset = F.col("etype")
+    for etype, kind in EDGE_TYPES.items():
+        dataset = F.when(F.col("etype") == etype, F.lit(kind.dataset)).otherwise(dataset)
+    by_node = [
+        rows.agg(F.lit(NODE_DATASETS[t]).alias("dataset"), F.count("line").alias("malformed"))
+        .withColumn("unknown_src", F.lit(0).cast("long")).withColumn("unknown_dst", F.lit(0).cast("long"))
+        for t, rows in parsed.items()
+    ]
+    by_edge = graph.dropped_edges(marked).withColumn("dataset", dataset).drop("etype")
+    drops = materialise(reduce(DataFrame.unionByName, [*by_node, by_edge]), "drops")
+    # a row per dataset
+    lost = {r["dataset"]: tuple(r)[1:] for r in drops.select("dataset", "malformed", "unknown_src", "unknown_dst").collect() if any(tuple(r)[1:])}
+    if sum(map(sum, lost.values())) > tolerance:
+        raise ValueError(f"more than {tolerance} lines or edges are unusable; (malformed, unknown source, unknown destination) by dataset: {lost}")
+    quarantine = [raw.quarantine(rows).select(F.lit(NODE_DATASETS[t]).alias("dataset"), "line") for t, rows in parsed.items()]
+    quarantine.append(marked.where("line IS NOT NULL").select(dataset.alias("dataset"), "line"))
+    reports = {
+        "quarantine": reduce(DataFrame.unionByName, quarantine),
+        "unresolved": marked.where("line IS NULL AND (src IS NULL OR dst IS NULL)").select(dataset.alias("dataset"), "src_id", "dst_id"),
+        "drops": drops,
     }
-    resolved = graph.resolve_relations(relations, nodes[AUTHOR], nodes[PUBLICATION])
+    resolved = marked.where("src IS NOT NULL AND dst IS NOT NULL").select("etype", "src", "dst")
     written_by = graph.reverse_edges(graph.subgraph(resolved, "writes"))
     edges = resolved.unionByName(written_by.select(F.lit("is_written_by").alias("etype"), "src", "dst"))
-    edges = materialise(edges, "edges")
     graph.require_intact(graph.integrity_report(nodes, edges))
-    return nodes, edges
+    return nodes, edges, reports
 
 
 class EntityGraph:
@@ -49,10 +80,16 @@ class EntityGraph:
         self.spark = store.spark
 
     @classmethod
-    def open(cls, spark: SparkSession, raw_dir: str, save_dir: str, force_reload: bool = False) -> EntityGraph:
+    def open(
+        cls, spark: SparkSession, raw_dir: str, save_dir: str, force_reload: bool = False, tolerance: int = 0
+    ) -> EntityGraph:
         """Use the stored graph, or build it from the raw datasets first."""
         stored = GraphStore(spark, save_dir)
-        return cls(stored.load_or_build(lambda: build_graph(spark, raw_dir), force_reload))
+        return cls(stored.load_or_build(lambda: build_graph(spark, raw_dir, tolerance), force_reload))
+
+    def drops(self) -> DataFrame:
+        """``(dataset, malformed, unknown_src, unknown_dst)`` of the build."""
+        return self.store.report("drops")
 
     def edges(self, etype: str | None = None) -> DataFrame:
         table = self.store.edges().select("etype", "src", "dst")

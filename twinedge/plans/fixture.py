@@ -17,6 +17,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinedge.operators.embed import cosine_scores
 from twinedge.schema import EDGE_TYPES
 
 # Names with the letters and gaps that the text helpers must handle.
@@ -196,24 +197,8 @@ class DerivedGraph:
         return self.similar.where("(src + dst) % 3 <> 0")
 
     def cosine_scores(self, edges: DataFrame) -> DataFrame:
-        """(1 + cosine of the endpoint features) / 2 to 6 places.
-
-        Stands in for a trained scorer. Norms are taken once per author.
-        """
-
-        def dot(x, y):
-            return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-
-        unit = self.author_features.withColumn("norm", F.sqrt(dot("feat", "feat")))
-        at_src = unit.select(F.col("idx").alias("src"), F.col("feat").alias("f"), F.col("norm").alias("nf"))
-        at_dst = unit.select(F.col("idx").alias("dst"), F.col("feat").alias("g"), F.col("norm").alias("ng"))
-        cosine = dot("f", "g") / (F.col("nf") * F.col("ng"))
-        return (
-            edges.join(at_src, "src")
-            .join(at_dst, "dst")
-            .withColumn("score", F.round((1 + cosine) / 2, 6))
-            .drop("f", "g", "nf", "ng")
-        )
+        """Cosine scores of the author features, which stand in for a trained scorer."""
+        return cosine_scores(edges, self.author_features.select("idx", F.col("feat").alias("vec")))
 
     def edges(self, etype: str) -> DataFrame:
         if etype == "is_written_by":

@@ -22,7 +22,7 @@ from twinedge.scratch import materialise
 def _long(row: DataFrame, section: str) -> DataFrame:
     values = row.select([F.col(c).cast("double").alias(c) for c in row.columns])
     return values.unpivot([], values.columns, "item", "value").select(
-        F.lit(section).alias("section"), "item", "value", F.lit(None).cast("string").alias("example")
+        F.lit(section).alias("section"), "item", "value", *[F.lit(None).cast("string").alias(c) for c in ("source", "target")]
     )
 
 
@@ -35,7 +35,7 @@ def inspection_report(
     k: int = EXAMPLES,
     threshold: float = CUT_THRESHOLD,
 ) -> DataFrame:
-    """``(section, item, value, example)``: counts, confusion metrics, and the
+    """``(section, item, value, source, target)``: counts, confusion metrics, and the
     first edges scored surely right or surely wrong."""
     # scores are costly and read four times
     labelled = materialise(label_candidates(scored, truth), "inspect")
@@ -55,7 +55,8 @@ def inspection_report(
                 F.lit(section).alias("section"),
                 F.concat_ws("-", "src", "dst").alias("item"),
                 F.col("score").alias("value"),
-                F.concat("source", F.lit("  --->  "), "target").alias("example"),
+                "source",
+                "target",
             )
         )
     return reduce(DataFrame.unionByName, parts)

@@ -180,6 +180,7 @@ def _agreement(rows: str, more: str) -> str:
 def _raw(etype: str) -> str:
     kind, prefix = EDGE_TYPES[etype], {"author": "a", "publication": "p"}
     s, d = prefix[kind.src_type], prefix[kind.dst_type]
+    etype = {"similar": "similar_edges", "similar_for_dedup": "dedup"}.get(etype, etype)
     return (
         f"SELECT '{s}' || src AS src_id, '{d}' || dst AS dst_id FROM {etype} "
         f"UNION ALL SELECT '{s}' || src, 'x' || dst FROM {etype} WHERE src % 50 = 0"
@@ -204,7 +205,36 @@ SQL = {
     "quarantined_lines": """SELECT '(''{"id": "' || id || '"'', ' AS line FROM author WHERE idx % 40 = 0""",
     "scan_edges": _raw("writes"),
     "author_orcids": "SELECT idx, orcid FROM gapped",
-    "dataset_completeness": "SELECT unnest(" + _list(RAW_DATASETS) + ") AS dataset, dataset <> 'simrels_dedup' AS ok",
+    "dataset_completeness": "SELECT 'authors' AS dataset, true AS ok, count(*) + count(*) FILTER (idx % 40 = 0) AS rows FROM author"
+    " UNION ALL SELECT 'publications', true, count(*) FROM orders"
+    + "".join(
+        f" UNION ALL SELECT {quoted(k.dataset)}, true, count(*) FROM ({_raw(t)})" if k.dataset != "simrels_dedup"
+        else f" UNION ALL SELECT {quoted(k.dataset)}, false, 0"
+        for t, k in EDGE_TYPES.items() if k.dataset
+    ),
+    "raw_to_graph_drops": """SELECT 'authors' AS dataset, count(*) FILTER (idx % 40 = 0) AS malformed, CAST(0 AS BIGINT) AS unknown_src,
+        CAST(0 AS BIGINT) AS unknown_dst FROM author UNION ALL SELECT 'publications', 0, 0, 0"""
+    + "".join(
+        f" UNION ALL SELECT {quoted(k.dataset)}, 0, 0, count(*) FILTER (dst_id LIKE 'x%') FROM ({_raw(t)})" for t, k in EDGE_TYPES.items() if k.dataset
+    ),
+    "model_store_roundtrip": "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS differing, CAST(1 AS BIGINT) AS models_kept FROM embeddings",
+    "train_edge_scorer": "SELECT true AS kept_is_best, true AS loss_fell, true AS stopped_in_time",
+    "training_metrics": "SELECT CAST(0 AS BIGINT) AS incomplete, true AS from_one, true AS no_gap",
+    "evaluate_edge_scorer": """WITH c AS (SELECT count(*) FILTER (e.src IS NOT NULL) AS pos, count(*) FILTER (e.src IS NULL) AS neg
+          FROM similar_edges s LEFT JOIN (SELECT DISTINCT src, dst FROM equates) e ON e.src = s.src AND e.dst = s.dst)
+        SELECT CAST(unnest([0, 1]) AS INTEGER) AS label, least(pos, neg) - CAST(floor(0.8 * least(pos, neg)) AS BIGINT) AS edges FROM c""",
+    "split_leakage": """SELECT least(src, dst) AS a, greatest(src, dst) AS b, min(split) AS first_split, max(split) AS last_split, count(*) AS copies
+        FROM split GROUP BY 1, 2 HAVING min(split) <> max(split)""",
+    "graph_integrity_broken": """WITH a AS (SELECT idx, CASE WHEN idx = 12 THEN 3 ELSE len(feat) END AS w FROM feats WHERE idx < 5 OR idx > 9),
+          twice AS (SELECT * FROM a UNION ALL SELECT * FROM a WHERE idx IN (1, 2)),
+          e AS (SELECT src, dst FROM similar_edges UNION ALL SELECT -1 - src, dst FROM similar_edges WHERE src % 11 = 0), n AS (SELECT count(*) AS n FROM twice)
+        SELECT 'contiguous' AS "check", 'author' AS subject, CAST(1 AS BIGINT) AS violations
+        UNION ALL SELECT 'contiguous', 'publication', CASE WHEN min(o_orderkey) = 0 AND max(o_orderkey) = count(*) - 1 THEN 0 ELSE 1 END FROM orders
+        UNION ALL SELECT 'unique', 'author', count(*) - count(DISTINCT idx) FROM twice
+        UNION ALL SELECT 'unique', 'publication', count(*) - count(DISTINCT o_orderkey) FROM orders
+        UNION ALL SELECT 'feature_width', 'author', count(*) FILTER (w = 3) FROM twice
+        UNION ALL SELECT 'feature_width', 'publication', 0
+        UNION ALL SELECT 'edge_range', 'similar', count(*) FILTER (src < 0 OR dst < 0 OR src >= n OR dst >= n) FROM e CROSS JOIN n""",
     "sink_json_gz": "SELECT idx, fullname, name, true AS name_written FROM author",
     "graph_store_roundtrip": """SELECT etype, count(*) AS edges, count(DISTINCT src) AS sources,
         count(DISTINCT dst) AS destinations FROM typed GROUP BY etype""",
@@ -299,14 +329,14 @@ SQL = {
     "best_threshold": "SELECT threshold, f1 FROM sweep ORDER BY f1 DESC, threshold LIMIT 1",
     "cosine_scores": "SELECT * FROM scored",
     "inspection_report": f"""{_CELLS}, c AS (SELECT 'simrels' AS section, unnest(['simrels', 'correct', 'wrong']) AS item,
-          unnest([CAST(count(*) AS DOUBLE), CAST(sum(label) AS DOUBLE), CAST(sum(1 - label) AS DOUBLE)]) AS value, CAST(NULL AS VARCHAR) AS example FROM labelled)
+          unnest([CAST(count(*) AS DOUBLE), CAST(sum(label) AS DOUBLE), CAST(sum(1 - label) AS DOUBLE)]) AS value, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS target FROM labelled)
         SELECT * FROM c
-        UNION ALL SELECT 'confusion', unnest(['tn', 'fp', 'fn', 'tp']), unnest([CAST(tn AS DOUBLE), CAST(fp AS DOUBLE), CAST(fn AS DOUBLE), CAST(tp AS DOUBLE)]), NULL FROM q
+        UNION ALL SELECT 'confusion', unnest(['tn', 'fp', 'fn', 'tp']), unnest([CAST(tn AS DOUBLE), CAST(fp AS DOUBLE), CAST(fn AS DOUBLE), CAST(tp AS DOUBLE)]), NULL, NULL FROM q
         UNION ALL SELECT 'metrics', unnest(['accuracy', 'tpr', 'tnr', 'fnr', 'fpr', 'precision', 'f1', 'balanced_accuracy']),
           unnest([round((tp + tn) / (tn + fp + fn + tp), 6), round(tp / (fn + tp), 6), round(tn / (tn + fp), 6), round(fn / (fn + tp), 6),
-          round(fp / (tn + fp), 6), round(tp / (tp + fp), 6), round(2 * tp / (2 * tp + fp + fn), 6), round((tp / (fn + tp) + tn / (tn + fp)) / 2, 6)]), NULL FROM q
-        UNION ALL SELECT 'inferred right', src || '-' || dst, score, source || '  --->  ' || target FROM ({_extremes("score > 0.99")})
-        UNION ALL SELECT 'inferred wrong', src || '-' || dst, score, source || '  --->  ' || target FROM ({_extremes("score < 0.35")})""",
+          round(fp / (tn + fp), 6), round(tp / (tp + fp), 6), round(2 * tp / (2 * tp + fp + fn), 6), round((tp / (fn + tp) + tn / (tn + fp)) / 2, 6)]), NULL, NULL FROM q
+        UNION ALL SELECT 'inferred right', src || '-' || dst, score, source, target FROM ({_extremes("score > 0.99")})
+        UNION ALL SELECT 'inferred wrong', src || '-' || dst, score, source, target FROM ({_extremes("score < 0.35")})""",
     "global_index": "SELECT c_custkey AS idx, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS position FROM customer",
     "balanced_edges": f"{_GROUPED_BAG} FROM ranked WHERE r < m GROUP BY ALL",
     "edge_splits": "SELECT split, label, src, dst, count(*) AS copies FROM split GROUP BY ALL",
@@ -325,7 +355,8 @@ SQL = {
         SELECT 'contiguous' AS "check", subject, CAST(CASE WHEN lo = 0 AND hi = n - 1 THEN 0 ELSE 1 END AS BIGINT) AS violations FROM s
         UNION ALL SELECT 'unique', subject, n - d FROM s
         UNION ALL SELECT 'feature_width', subject, CAST(CASE WHEN w1 = w2 THEN 0 ELSE 1 END AS BIGINT) FROM s
-        UNION ALL SELECT 'edge_range', etype, count(*) FILTER (src < 0 OR dst < 0) FROM typed GROUP BY etype""",
+        UNION ALL SELECT 'edge_range', etype, count(*) FILTER (src < 0 OR dst < 0 OR src >= CASE WHEN etype IN ('cites', 'coprojected', 'is_written_by') THEN np ELSE na END
+          OR dst >= CASE WHEN etype IN ('cites', 'coprojected', 'writes') THEN np ELSE na END) FROM typed CROSS JOIN (SELECT max(n) FILTER (subject = 'author') AS na, max(n) FILTER (subject = 'publication') AS np FROM s) GROUP BY etype""",
     **{
         f"subgraph_{t}": "SELECT src, dst FROM "
         + {"similar": "similar_edges", "similar_for_dedup": "dedup"}.get(t, t)
@@ -338,12 +369,12 @@ SQL = {
     "connected_components": "SELECT * FROM components",
     "neighbour_mean": """WITH m AS (SELECT view, dst AS idx, pos, sum(w * feat[pos]) / sum(w) AS x
           FROM views JOIN feats ON feats.idx = src CROSS JOIN (SELECT unnest(range(1, 65)) AS pos) GROUP BY view, dst, pos)
-        SELECT view, idx, round(max(x) FILTER (pos = 1), 6) AS first, round(sum(x), 4) AS total FROM m GROUP BY view, idx""",
-    "sage_layer": "SELECT view, idx, round(max(h) FILTER (i = 0), 6) AS first, round(sum(h), 4) AS total FROM h1 GROUP BY view, idx",
-    "view_embeddings": """SELECT view, idx, round(max(h) FILTER (i = 0), 6) AS first, round(sum(h), 4) AS total
+        SELECT view, idx, round(max(x) FILTER (pos = 1), 6) AS first, round(sum(x), 4) AS total, round(sum(x * pos), 2) AS placed FROM m GROUP BY view, idx""",
+    "sage_layer": "SELECT view, idx, round(max(h) FILTER (i = 0), 6) AS first, round(sum(h), 4) AS total, round(sum(h * (i + 1)), 2) AS placed FROM h1 GROUP BY view, idx",
+    "view_embeddings": """SELECT view, idx, round(max(h) FILTER (i = 0), 6) AS first, round(sum(h), 4) AS total, round(sum(h * (i + 1)), 2) AS placed
         FROM h2 WHERE i < 8 GROUP BY view, idx""",
     "view_attention": "SELECT view, idx, round(weight, 6) AS weight FROM attention",
-    "node_embeddings": "SELECT idx, round(max(z) FILTER (i = 0), 6) AS first, round(sum(z), 4) AS total FROM z GROUP BY idx",
+    "node_embeddings": "SELECT idx, round(max(z) FILTER (i = 0), 6) AS first, round(sum(z), 4) AS total, round(sum(z * (i + 1)), 2) AS placed FROM z GROUP BY idx",
     "edge_scores": """SELECT src, dst, round(1 / (1 + exp(-(sum(greatest(s.a + d.b, 0) * sin(s.i + 300)) + cos(300)))), 6) AS score
         FROM similar_edges JOIN halves s ON s.idx = src JOIN halves d ON d.idx = dst AND d.i = s.i GROUP BY src, dst""",
 }

@@ -77,10 +77,13 @@ def all_edges(g: DerivedGraph) -> dict[str, DataFrame]:
     return {t: g.edges(t) for t in EDGE_TYPES}
 
 
-def path_edges(g: DerivedGraph) -> dict[str, DataFrame]:
-    """All edges, with those that take a group and a join to derive written once."""
-    grouped = ("cites", "coprojected")
-    return all_edges(g) | at_once({t: lambda t=t: materialise(g.edges(t), f"edges-{t}") for t in grouped})
+def path_edges(g: DerivedGraph, *names: str) -> dict[str, DataFrame]:
+    """The edges on the paths of some views (all if none is named), with those
+    that take a group and a join to derive written once."""
+    types = sorted({t for v in names or VIEWS for t in VIEWS[v]})
+    grouped = [t for t in ("cites", "coprojected") if t in types]
+    written = at_once({t: lambda t=t: materialise(g.edges(t), f"edges-{t}") for t in grouped}) if grouped else {}
+    return {t: g.edges(t) for t in types} | written
 
 
 def node_ids(g: DerivedGraph, ntype: str) -> DataFrame:
@@ -205,19 +208,32 @@ def _(g):
         trainer.setInitialWeights(model.weights)
     again = MultilayerPerceptronClassificationModel.load(path)
     before, after = (train.with_scores(m, rows.withColumn("label", F.col("label"))) for m in (model, again))
-    sums = [d.agg(F.count(F.lit(1)).alias("rows"), F.sum("score").alias("score_sum")) for d in (before, after)]
-    kept = ",".join(store.stored_models(g.spark, root))
-    return (
-        sums[0].withColumn("model", F.lit("kept in memory"))
-        .unionByName(sums[1].withColumn("model", F.lit(f"reloaded {kept}")))
+    tagged = [d.select(F.lit(k).alias("again"), F.hash("features").alias("h"), "score") for k, d in enumerate((before, after))]
+    by_row = tagged[0].unionByName(tagged[1]).groupBy("h").agg(
+        F.count_if(F.col("again") == 0).alias("n"), F.min("score").alias("a"), F.max("score").alias("b")
+    )
+    singles = tagged[0].groupBy("h").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    differing = by_row.join(singles, "h").select("n", ((F.col("a") != F.col("lo")) | (F.col("b") != F.col("hi"))).alias("differs"))
+    return differing.agg(
+        F.sum("n").alias("rows"), F.count_if("differs").alias("differing"), F.lit(len(store.stored_models(g.spark, root))).cast("long").alias("models_kept")
     )
 
 
 @query("raw_to_graph")
 def _(g):
     """All ten raw datasets through parsing, resolution, checks and the store."""
-    entities = EntityGraph.open(g.spark, write_raw(g, *RAW_DATASETS), new_path(g.spark, "graph"))
-    return graph.graph_summary(entities.edges())
+    return graph.graph_summary(raw_graph(g).edges())
+
+
+def raw_graph(g: DerivedGraph) -> EntityGraph:
+    # the test lines hold broken ones and unknown ids on purpose
+    return EntityGraph.open(g.spark, write_raw(g, *RAW_DATASETS), new_path(g.spark, "graph"), tolerance=1 << 40)
+
+
+@query("raw_to_graph_drops")
+def _(g):
+    """What the same build set aside, by dataset."""
+    return raw_graph(g).drops()
 
 
 # ---- text and scalar functions -------------------------------------------
@@ -501,6 +517,11 @@ def _(g):
     return labels.balanced_edges(candidates_with_copies(g))
 
 
+@query("split_leakage")
+def _(g):
+    return labels.split_leakage(labels.edge_splits(candidates_with_copies(g)))
+
+
 @query("edge_splits")
 def _(g):
     return labels.edge_splits(candidates_with_copies(g))
@@ -541,6 +562,19 @@ def _(g):
     return report
 
 
+@query("graph_integrity_broken")
+def _(g):
+    """The report on a graph with a doubled node, a gap, a short vector, and
+    edges below and above the range."""
+    odd = g.author_features.where("idx < 5").union(g.author_features.where("idx > 9")).withColumn(
+        "feat", F.when(F.col("idx") == 12, F.slice("feat", 1, 3)).otherwise(F.col("feat"))
+    )
+    nodes = {AUTHOR: odd.union(odd.where("idx IN (1, 2)")), PUBLICATION: g.publication_features}
+    similar = graph.edge_table({"similar": g.similar})
+    below = similar.where("src % 11 = 0").select("etype", (-1 - F.col("src")).alias("src"), "dst")
+    return graph.integrity_report(nodes, similar.unionByName(below))
+
+
 def _register_subgraph(etype: str) -> None:
     @query(f"subgraph_{etype}")
     def _(g):
@@ -553,17 +587,17 @@ for _etype in ("potentially_equates", "collaborates", "similar", "equates", "sim
 
 @query("metapath_colleague")
 def _(g):
-    return graph.metapath(path_edges(g), VIEWS["colleague"])
+    return graph.metapath(path_edges(g, "colleague"), VIEWS["colleague"])
 
 
 @query("metapath_citation")
 def _(g):
-    return graph.metapath(path_edges(g), VIEWS["citation"])
+    return graph.metapath(path_edges(g, "citation"), VIEWS["citation"])
 
 
 @query("view_with_self_loops")
 def _(g):
-    return graph.with_self_loops(graph.metapath(path_edges(g), VIEWS["citation"]), g.authors)
+    return graph.with_self_loops(graph.metapath(path_edges(g, "citation"), VIEWS["citation"]), g.authors)
 
 
 def views(g: DerivedGraph) -> DataFrame:
@@ -586,10 +620,11 @@ def _(g):
 # ---- embeddings, scoring, training ---------------------------------------
 
 def vector_digest(df: DataFrame, *keys: str) -> DataFrame:
-    """First element and sum of a vector column, to compare across engines."""
+    """First element, sum, and sum weighted by place of a vector column."""
     vec = F.col("vec").cast("array<double>")
     total = F.aggregate(vec, F.lit(0.0), lambda a, x: a + x)
-    return df.select(*keys, F.element_at(vec, 1).alias("first"), F.round(total, 4).alias("total"))
+    placed = F.aggregate(F.transform(vec, lambda x, k: x * (k + 1)), F.lit(0.0), lambda a, x: a + x)
+    return df.select(*keys, F.element_at(vec, 1).alias("first"), F.round(total, 4).alias("total"), F.round(placed, 2).alias("placed"))
 
 
 @query("neighbour_mean")
@@ -636,37 +671,38 @@ def _(g):
     return embed.score_candidates(g.similar, views(g), node_vectors(g), small_weights())
 
 
-_trained: dict[tuple[str, str], tuple[train.TrainedScorer, DataFrame]] = {}
-
-
 def trained(g: DerivedGraph) -> tuple[train.TrainedScorer, DataFrame]:
-    """Train once per session and data folder."""
-    key = (g.spark.sparkContext.applicationId, g.sf_dir)
-    if key not in _trained:
-        splits = labels.edge_splits(labels.label_candidates(g.similar, g.equates))
-        reducer = train.fit_reducer(node_vectors(g), 8)
-        vectors = train.training_vectors(splits, train.node_vectors(views(g), node_vectors(g), reducer))
-        root = new_path(g.spark, "training")
-        _trained[key] = (
-            train.train_edge_scorer(vectors, root, "run", hidden=16, rounds=12, iterations=10, patience=3),
-            vectors,
-        )
-    return _trained[key]
+    splits = labels.edge_splits(labels.label_candidates(g.similar, g.equates))
+    reducer = train.fit_reducer(node_vectors(g), 8)
+    vectors = train.training_vectors(splits, train.node_vectors(views(g), node_vectors(g), reducer))
+    root = new_path(g.spark, "training")
+    return train.train_edge_scorer(vectors, root, "run", hidden=16, rounds=12, iterations=10, patience=3), vectors
 
 
 @query("train_edge_scorer")
 def _(g):
+    """Facts that hold for every run: the kept round has the smallest loss, the
+    loss fell, and training stopped in time."""
     scorer, _vectors = trained(g)
-    rounds = scorer.metrics(g.spark).groupBy("epoch", "split").pivot("metric", ["loss", "accuracy"]).agg(F.first("value"))
-    best = int(scorer.model_path.rsplit("epoch", 1)[1])
-    return rounds.withColumn("is_best", F.col("epoch") == best)
+    kept = int(scorer.model_path.rsplit("epoch", 1)[1])
+    valid = scorer.metrics(g.spark).where("split = 'valid' AND metric = 'loss'")
+    return valid.agg(
+        (F.min("value") == F.min(F.when(F.col("epoch") == kept, F.col("value")))).alias("kept_is_best"),
+        (F.min("value") < F.min(F.when(F.col("epoch") == 1, F.col("value")))).alias("loss_fell"),
+        ((F.max("epoch") == 12) | (F.max("epoch") == kept + 2)).alias("stopped_in_time"),
+    )
 
 
 @query("training_metrics")
 def _(g):
-    return trained(g)[0].metrics(g.spark)
+    """Rounds that do not have four finite values; rounds are numbered from 1."""
+    rounds = trained(g)[0].metrics(g.spark).groupBy("epoch").agg(F.count_if(F.abs("value") < float("inf")).alias("n"))
+    return rounds.agg(F.count_if(F.col("n") != 4).alias("incomplete"), (F.min("epoch") == 1).alias("from_one"), (F.max("epoch") == F.count(F.lit(1))).alias("no_gap"))
 
 
 @query("evaluate_edge_scorer")
 def _(g):
-    return train.evaluate_edge_scorer(*trained(g))
+    """Test edges per class, from the confusion cells."""
+    cells = {r["metric"]: r["value"] for r in train.evaluate_edge_scorer(*trained(g)).collect()}  # six rows
+    rows = [(0, int(cells["tn"] + cells["fp"])), (1, int(cells["fn"] + cells["tp"]))]
+    return g.spark.createDataFrame(rows, "label int, edges bigint")

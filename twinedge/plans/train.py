@@ -7,6 +7,7 @@ from the weights of the last, with the best round by validation loss kept.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -104,8 +105,9 @@ def train_edge_scorer(
 ) -> TrainedScorer:
     """Fit on split ``train``, keep the best model by the loss on ``valid``.
 
-    ``vectors(split, label, features)`` is read once per round. An equal loss
-    counts as better, and the patience is spent in the round that restores it.
+    ``vectors(split, label, features)`` is read once per round. The best round
+    has the smallest loss, the latest of equals; training ends when
+    ``patience - 1`` rounds have passed since the best one.
     """
     spark = vectors.sparkSession
     width = vectors.select("features").first()["features"].size
@@ -115,7 +117,8 @@ def train_edge_scorer(
         layers=[width, hidden, 2], maxIter=iterations, seed=seed, tol=0.0
     )
     metrics_path = f"{root}/metrics"
-    best_loss, best_path, left = float("inf"), "", patience
+    losses: dict[int, float] = {}
+    kept = ""
     for round_no in range(1, rounds + 1):
         model = trainer.fit(fit_on)
         trainer = trainer.setInitialWeights(model.weights)
@@ -130,14 +133,18 @@ def train_edge_scorer(
             metrics_path,
             [(run_id, round_no, r["split"], m, float(r[m])) for r in by_split for m in ("loss", "accuracy")],
         )
-        loss = next(r["loss"] for r in by_split if r["split"] == "valid")
-        if best_loss >= loss:
-            left, best_loss = patience, loss
-            best_path = save_model(spark, model, f"{root}/models", round_no)
-        left -= 1
-        if left <= 0:
+        found = {r["split"]: r["loss"] for r in by_split}
+        if "valid" not in found:
+            raise ValueError("split 'valid' is empty: there is nothing to choose a round by")
+        losses[round_no] = found["valid"]
+        if math.isnan(losses[round_no]):
+            raise ValueError(f"the loss on split 'valid' is not a number in round {round_no}")
+        best_round = min(losses, key=lambda n: (losses[n], -n))
+        if best_round == round_no:
+            kept = save_model(spark, model, f"{root}/models", round_no)
+        if round_no - best_round >= patience - 1:
             break
-    return TrainedScorer(best_path, metrics_path)
+    return TrainedScorer(kept, metrics_path)
 
 
 def evaluate_edge_scorer(trained: TrainedScorer, vectors: DataFrame, threshold: float = CUT_THRESHOLD) -> DataFrame:

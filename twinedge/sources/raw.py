@@ -1,13 +1,14 @@
 """Raw text datasets: one Python tuple per line, possibly gzipped.
 
-Lines are never evaluated. Tuples without quotes or escapes inside, nearly all
-of them, are taken apart by a regular expression in the JVM; only the others
-are sent to Python, where ``ast.literal_eval`` reads them.
+Lines are never evaluated. Tuples in either quote style, with escaped quotes and
+backslashes inside, are taken apart in the JVM; only lines with other escapes
+and malformed ones are sent to Python, where ``ast.literal_eval`` reads them.
 """
 
 from __future__ import annotations
 
 import ast
+from functools import reduce
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -24,8 +25,12 @@ from twinedge.schema import (
     RAW_DATASETS,
 )
 
-PLAIN_EDGE = r"^\('([^'\\]*)', '([^'\\]*)'\)$"
-PLAIN_NODE = r"^\('([^'\\]*)', (\d{1,18})\)$"
+_ONE = r"""'([^'\\]*)'"""
+_TWO = r'''"([^"\\]*)"'''
+PLAIN_EDGE = rf"^\((?:{_ONE}|{_TWO}), (?:{_ONE}|{_TWO})\)$"
+PLAIN_NODE = rf"^\((?:{_ONE}|{_TWO}), \d{{1,18}}\)$"
+# escapes that are taken apart in the JVM, each by a character that stands in for it
+ESCAPES = (("\\\\", "\x01", "\\"), ("\\'", "\x02", "'"), ('\\"', "\x03", '"'))
 
 # as objects: a type string would need a running session at import
 EDGE_STRUCT = T.StructType([T.StructField("first", T.StringType()), T.StructField("second", T.StringType())])
@@ -40,9 +45,17 @@ def _literal_pair(lines: pd.Series, second: type) -> pd.DataFrame:
             first, other = ast.literal_eval(line)
         except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
             return None, None
-        if isinstance(first, str) and isinstance(other, second) and not isinstance(other, bool):
-            return first, other
-        return None, None
+        if not isinstance(first, str) or not isinstance(other, second) or isinstance(other, bool):
+            return None, None
+        try:
+            for text in (first, other):
+                if isinstance(text, str):
+                    text.encode()  # a lone surrogate is no text
+        except UnicodeEncodeError:
+            return None, None
+        if isinstance(other, int) and not -(1 << 63) <= other < 1 << 63:
+            return None, None
+        return first, other
 
     return pd.DataFrame([parse(line) for line in lines], columns=["first", "second"], dtype=object)
 
@@ -57,25 +70,45 @@ def literal_node(lines: pd.Series) -> pd.DataFrame:
     return _literal_pair(lines, int)
 
 
-def _pairs(lines: DataFrame, plain: str, literal, second: Column, kind: str) -> DataFrame:
-    """``line, first, second``; both null where the line is not such a tuple."""
-    # plain lines reach Python as nulls, which cost next to nothing
-    simple = F.col("line").rlike(plain)
-    parsed = lines.select(F.col("value").alias("line")).withColumn(
-        "parsed", literal(F.when(~simple, F.col("line")))
+def _sheltered(line: Column) -> Column:
+    """The line with each simple escape replaced by its stand-in; from left to
+    right, so a backslash that is escaped itself escapes nothing."""
+    for escape, stand_in, _ in ESCAPES:
+        line = F.replace(line, F.lit(escape), F.lit(stand_in))
+    return line
+
+
+def _restored(text: Column) -> Column:
+    for _, stand_in, meant in ESCAPES:
+        text = F.replace(text, F.lit(stand_in), F.lit(meant))
+    return text
+
+
+def _pairs(lines: DataFrame, plain: str, literal, first: Column, second: Column, kind: str) -> DataFrame:
+    """``line, first, second``; both null where the line is not such a tuple.
+
+    ``first`` and ``second`` take apart the sheltered line ``s``.
+    """
+    # a line with a stand-in of its own, or other escapes, goes to Python; the
+    # others reach it as nulls, which cost next to nothing
+    foreign = F.col("line").rlike("[\x01-\x03]")
+    held = lines.select(F.col("value").alias("line")).withColumn("s", _sheltered(F.col("line")))
+    parsed = held.withColumn("simple", ~foreign & F.col("s").rlike(plain)).withColumn(
+        "parsed", literal(F.when(~F.col("simple"), F.col("line")))
     )
     return parsed.select(
         "line",
-        F.when(simple, F.regexp_extract("line", plain, 1)).otherwise(F.col("parsed.first")).alias("first"),
-        F.when(simple, second).otherwise(F.col("parsed.second")).cast(kind).alias("second"),
+        F.when(F.col("simple"), _restored(first)).otherwise(F.col("parsed.first")).alias("first"),
+        F.when(F.col("simple"), second).otherwise(F.col("parsed.second")).cast(kind).alias("second"),
     )
 
 
 def parse_edges(lines: DataFrame) -> DataFrame:
     """``line, src_id, dst_id``; ids are null on a malformed line."""
-    return _pairs(
-        lines, PLAIN_EDGE, literal_edge, F.regexp_extract("line", PLAIN_EDGE, 2), "string"
-    ).withColumnsRenamed({"first": "src_id", "second": "dst_id"})
+    def part(one: int) -> Column:
+        return F.concat(F.regexp_extract("s", PLAIN_EDGE, one), F.regexp_extract("s", PLAIN_EDGE, one + 1))
+
+    return _pairs(lines, PLAIN_EDGE, literal_edge, part(1), _restored(part(3)), "string").withColumnsRenamed({"first": "src_id", "second": "dst_id"})
 
 
 def parse_nodes(lines: DataFrame, ntype: str, only: tuple[str, ...] = ()) -> DataFrame:
@@ -87,8 +120,11 @@ def parse_nodes(lines: DataFrame, ntype: str, only: tuple[str, ...] = ()) -> Dat
     schema = AUTHOR_PAYLOAD if ntype == AUTHOR else PUBLICATION_PAYLOAD
     if only:
         schema = T.StructType([f for f in schema.fields if f.name in ("id", *only)])
-    index = F.regexp_extract("line", PLAIN_NODE, 2).try_cast("long")
-    rows = _pairs(lines, PLAIN_NODE, literal_node, index, "long").withColumnsRenamed(
+    # ('payload', index): cut by place, the shape is known
+    tail = F.substring_index("s", ", ", -1)
+    index = F.rtrim(tail, F.lit(")")).try_cast("long")
+    payload = F.substr("s", F.lit(3), F.length("s") - F.length(tail) - 5)
+    rows = _pairs(lines, PLAIN_NODE, literal_node, payload, index, "long").withColumnsRenamed(
         {"first": "payload", "second": "idx"}
     )
     rows = rows.withColumn("data", F.from_json("payload", schema))
@@ -115,6 +151,12 @@ def quarantine(parsed: DataFrame) -> DataFrame:
     return parsed.where(~_good(parsed)).select("line")
 
 
+def sifted(parsed: DataFrame) -> DataFrame:
+    """Parsed rows with ``line`` kept only where it could not be read, so one
+    written table serves both :func:`well_formed` and :func:`quarantine`."""
+    return parsed.withColumn("line", F.when(~_good(parsed), F.col("line")))
+
+
 def _good(parsed: DataFrame) -> Column:
     needed = ("idx", "id") if "idx" in parsed.columns else ("src_id", "dst_id")
     return F.col(needed[0]).isNotNull() & F.col(needed[1]).isNotNull()
@@ -134,19 +176,22 @@ def author_orcids(spark: SparkSession, raw_dir: str) -> DataFrame:
 
 
 def dataset_completeness(spark: SparkSession, raw_dir: str) -> DataFrame:
-    """``(dataset, ok)`` for the ten raw datasets: it exists and holds a line.
-
-    One line per dataset is read, so the check costs the same at any size.
-    """
-    found = []
+    """``(dataset, ok, rows)`` for the ten raw datasets: it exists, holds a
+    line, and how many lines it holds (all are counted, in one job)."""
+    found, counts = [], []
     for name in RAW_DATASETS:
         try:
-            ok = not spark.read.text(f"{raw_dir}/{name}").isEmpty()
+            lines = spark.read.text(f"{raw_dir}/{name}")
         except AnalysisException:
-            ok = False
-        found.append((name, ok))
-    schema = T.StructType([T.StructField("dataset", T.StringType()), T.StructField("ok", T.BooleanType())])
-    return spark.createDataFrame(found, schema)
+            continue
+        found.append(name)
+        counts.append(lines.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("dataset"), "rows"))
+    names = spark.createDataFrame([(n,) for n in RAW_DATASETS], "dataset string")
+    if not found:
+        return names.select("dataset", F.lit(False).alias("ok"), F.lit(0).cast("long").alias("rows"))
+    counted = names.join(reduce(DataFrame.unionByName, counts), "dataset", "left")
+    rows = F.coalesce("rows", F.lit(0).cast("long"))
+    return counted.select("dataset", (rows > 0).alias("ok"), rows.alias("rows"))
 
 
 def write_json_gz(df: DataFrame, path: str) -> None:

@@ -38,13 +38,15 @@ class GraphStore:
     def has_graph(self) -> bool:
         return self._latest() is not None
 
-    def save(self, nodes: Mapping[str, DataFrame], edges: DataFrame) -> None:
+    def save(self, nodes: Mapping[str, DataFrame], edges: DataFrame, reports: Mapping[str, DataFrame] | None = None) -> None:
         latest = self._latest()
         folder = f"graph-{uuid.uuid4().hex}"
         for ntype, table in nodes.items():
             table.write.parquet(f"{self.root}/{folder}/nodes_{ntype}")
         # few files per type, and a type with most of the edges is split
         edges.hint("rebalance", "etype").write.partitionBy("etype").parquet(f"{self.root}/{folder}/edges")
+        for name, table in (reports or {}).items():
+            table.write.parquet(f"{self.root}/{folder}/report_{name}")
         version = latest[0] + 1 if latest else 0
         self.spark.createDataFrame([(version, folder)], COMMIT_SCHEMA).coalesce(1).write.mode("append").json(
             f"{self.root}/commits"
@@ -62,9 +64,13 @@ class GraphStore:
     def nodes(self, ntype: str) -> DataFrame:
         return self._table(f"nodes_{ntype}")
 
+    def report(self, name: str) -> DataFrame:
+        """A table that was stored with the graph, such as ``drops``."""
+        return self._table(f"report_{name}")
+
     def load_or_build(self, build, force_reload: bool = False) -> GraphStore:
         """Build and store the graph unless one is stored; ``build()`` returns
-        ``(nodes, edges)``."""
+        ``(nodes, edges)`` or ``(nodes, edges, reports)``."""
         if force_reload or not self.has_graph():
             self.save(*build())
         return self
@@ -95,8 +101,10 @@ def save_model(spark: SparkSession, model, root: str, epoch: int) -> str:
 
 
 def stored_models(spark: SparkSession, root: str) -> list[str]:
+    """Names of the stored models, by class and then by epoch number."""
     fs, folder = _filesystem(spark, root)
-    return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted(names, key=lambda n: (n.rpartition("epoch")[0], int(n.rpartition("epoch")[2]) if n.rpartition("epoch")[2].isdigit() else -1))
 
 
 # ---- training metrics ----------------------------------------------------
