@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinedge.scratch import materialise, materialise_counted
+from twinedge.scratch import discard, materialise, materialise_counted
 
 
 def undirected(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -72,7 +72,8 @@ def linked_nodes(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     while left or not moves:
         reps = materialise(_representatives(edges, keys, len(moves)), "cc-reps")
         moves.append(reps)
-        edges, left = materialise_counted(_rewrite(edges, reps, keys), "cc-edges")
+        before, (edges, left) = edges, materialise_counted(_rewrite(edges, reps, keys), "cc-edges")
+        discard(before)
 
     # follow the moves backwards: a representative without a later move is final
     placed = moves.pop()
