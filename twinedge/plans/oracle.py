@@ -369,6 +369,10 @@ SQL = {
     "neighbour_mean": """WITH m AS (SELECT view, dst AS idx, pos, sum(w * feat[pos]) / sum(w) AS x
           FROM views JOIN feats ON feats.idx = src CROSS JOIN (SELECT unnest(range(1, 65)) AS pos) GROUP BY view, dst, pos)
         SELECT view, idx, round(max(x) FILTER (pos = 1), 6) AS first, round(sum(x), 4) AS total, round(sum(x * pos), 2) AS placed FROM m GROUP BY view, idx""",
+    "neighbour_mean_wide": """WITH m AS (SELECT view, dst AS idx, pos, sum(w * feat[pos]) / sum(w) AS x
+          FROM views JOIN feats ON feats.idx = src CROSS JOIN (SELECT unnest(range(1, 65)) AS pos) GROUP BY view, dst, pos)
+        SELECT view, idx, round(max(x) FILTER (pos = 1), 6) AS first, round(10 * sum(x), 4) AS total,
+          round(sum(x * (10 * pos + 64 * 20)), 2) AS placed FROM m GROUP BY view, idx""",
     "sage_layer": "SELECT view, idx, round(max(h) FILTER (i = 0), 6) AS first, round(sum(h), 4) AS total, round(sum(h * (i + 1)), 2) AS placed FROM h1 GROUP BY view, idx",
     "view_embeddings": """SELECT view, idx, round(max(h) FILTER (i = 0), 6) AS first, round(sum(h), 4) AS total, round(sum(h * (i + 1)), 2) AS placed
         FROM h2 WHERE i < 8 GROUP BY view, idx""",

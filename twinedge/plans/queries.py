@@ -633,6 +633,15 @@ def _(g):
     return vector_digest(found, "view", "idx")
 
 
+@query("neighbour_mean_wide")
+def _(g):
+    """Vectors of 256: the features four times, times 1 to 4; too wide for
+    generated sums, so this runs the path that wide features take."""
+    blocks = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.transform("feat", lambda x: x * k))
+    wide = g.author_features.select("idx", F.flatten(blocks).alias("vec"))
+    return vector_digest(embed.neighbour_mean(graph.author_views(path_edges(g), g.authors), wide, 256), "view", "idx")
+
+
 def node_vectors(g: DerivedGraph) -> DataFrame:
     return g.author_features.select("idx", F.col("feat").alias("vec"))
 
