@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinedge.llm.words import map_slices, sums, text_bytes, text_slices, words_of
+from twinedge.llm.words import bounded_sample, map_slices, sums, text_bytes, text_slices, words_of
 from twinedge.scratch import materialise
 
 TRAIN_ROWS = 4000
@@ -58,8 +58,7 @@ def fit(rows: DataFrame, limit: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray
     """Languages and their trigram log-probabilities, from at most ``limit``
     labelled rows ``(text, declared)``; labels that are blank are no labels."""
     labelled = rows.where("text IS NOT NULL AND trim(declared) <> ''").select("text", "declared")
-    # a top-k by hash: each task keeps at most `limit` rows
-    sample = labelled.orderBy(F.xxhash64("text", "declared"), "declared").limit(limit)
+    sample = bounded_sample(labelled, limit, "text", "declared")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}

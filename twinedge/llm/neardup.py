@@ -10,29 +10,37 @@ with probability 4e-5.
 A collection value that only one set has cannot be part of a shared key, so
 values are counted first (16 rows per set) and only shared ones are paired up.
 
-A bucket is never expanded into its pairs. Members are compared with a pivot of
-the bucket, confirmed links are contracted, and only buckets that still hold
-more than one component go on, with four times as many pivots per round, until
-every pair of them has been compared; so no link is lost and groups of copies
-cost a row per member. Rows with equal sets are one node from the start.
+A bucket is not expanded into its pairs. Members are first compared with one
+pivot of the bucket and confirmed links are contracted, so a group of near
+copies costs a row per member. In buckets that still hold more than one
+component, members of different components meet, but only where the sets can be
+similar at all. For that, each set has a bit vector of the shingles that other
+sets have too (shingles of its own, as edits make them, are left out): what two
+sets share is at most the number of bits they share, plus what shares a bit
+within the smaller one. The bound is never too small, so no link is lost. Rows
+with equal sets are one node from the start.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinedge.llm.words import map_slices, mixed, shingle_sets, words_of
+from twinedge.llm.words import map_slices, mixed, shingle_sets, sums, words_of
 from twinedge.operators.components import linked_nodes, undirected
-from twinedge.scratch import materialise, materialise_counted
+from twinedge.scratch import materialise
 
 WIDTH = 5
 SIMILAR = 75
 COLLECTIONS = 16
 DEPTH = 2
+LONGS = 16
+"""Size of the bit vector of a set's shared shingles."""
+BITS = [f"b{k}" for k in range(LONGS)]
 FILTER_BITS = 23
 """log2 of the bits of the fixed-size filter that spares rebuilding sets nobody asks for."""
 
@@ -52,6 +60,12 @@ def _signatures(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _signature_bytes(shingles: np.ndarray, starts: np.ndarray) -> list[bytes | None]:
+    """The signature of each set, null for an empty one."""
+    found = iter(_signatures(shingles, starts))
+    return [next(found).tobytes() if n else None for n in np.diff(starts).tolist()]
+
+
 def _summaries(rows: DataFrame) -> DataFrame:
     """``(doc_id, n, k1, k2, sig)``: set size, 128-bit hash of the set, signature."""
 
@@ -59,15 +73,11 @@ def _summaries(rows: DataFrame) -> DataFrame:
         shingles, starts = shingle_sets(words_of(batch.column("text")), WIDTH)
         n = np.diff(starts)
         full = n > 0
-        signature = iter(_signatures(shingles, starts))
         keys = np.zeros((len(n), 2), np.int64)
-        sig: list[bytes | None] = []
         for k, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())):
             if b > a:
                 keys[k] = np.frombuffer(xxhash.xxh3_128_digest(shingles[a:b].tobytes()), np.int64)
-                sig.append(next(signature).tobytes())
-            else:
-                sig.append(None)
+        sig = _signature_bytes(shingles, starts)
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(n), pa.array(keys[:, 0], mask=~full), pa.array(keys[:, 1], mask=~full), pa.array(sig, pa.binary())],
             names=["doc_id", "n", "k1", "k2", "sig"],
@@ -151,27 +161,89 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(k)
         return batch.select(["u", "v"]).take(pa.array(keep, pa.int64()))
 
-    with_a = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
+    with_a = pairs.select("u", "v").join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
     with_b = with_a.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     return map_slices(with_b.select("u", "v", "a", "b"), work, "u long, v long", "a")
 
 
-def _round(buckets: DataFrame, comp: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
-    """Candidates of a round: members of buckets of several components against
-    pivots of another component, as ``(u, v, n)``; and the buckets still open."""
-    placed = buckets.join(comp, "node")
-    drawn = F.xxhash64("node", F.lit(number))
+def _shared_sizes(sets: DataFrame) -> DataFrame:
+    """``(node, n, shared, doubled, b0...)``: size of each set, how many of its
+    shingles may be in another set too, a bit vector of these, and how many of
+    them have no bit of their own.
+
+    Shingles are hashed to a bit vector of 8 bits per shingle, at most 8 MB;
+    where two meet by chance ``shared`` is too large, which only costs time.
+    """
+    total = (sets.agg(F.sum(F.length("shingles"))).first()[0] or 0) // 8
+    bits = min(26, max(16, (8 * total).bit_length()))
+    fan = min(bits - 10, max(0, (total >> 20).bit_length()))
+    shift, part_shift = np.uint64(64 - bits), np.uint32(bits - fan)
+
+    def places(batch: pa.RecordBatch) -> np.ndarray:
+        return (mixed(np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.uint64)) >> shift).astype(np.uint32)
+
+    def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = np.sort(places(batch))
+        edge = np.searchsorted(at >> part_shift, np.arange((1 << fan) + 1))
+        blobs = [at[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(1 << fan, dtype=np.int32)), pa.array(blobs, pa.binary())], names=["part", "at"])
+
+    def twice(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        at = np.sort(np.frombuffer(b"".join(rows["at"]), np.uint32))
+        seen = np.zeros(1 << int(part_shift), bool)
+        seen[at[1:][at[1:] == at[:-1]] & np.uint32((1 << int(part_shift)) - 1)] = True
+        return pd.DataFrame({"part": [key[0]], "seen": [np.packbits(seen).tobytes()]})
+
+    parts = map_slices(sets.select("shingles"), spread, "part int, at binary", "shingles").groupBy("part").applyInPandas(twice, "part int, seen binary")
+    vector = np.zeros((1 << bits) // 8, np.uint8)
+    for row in parts.toLocalIterator():
+        size = (1 << int(part_shift)) // 8
+        vector[row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(row["seen"], np.uint8)
+    shipped = sets.sparkSession.sparkContext.broadcast(vector)
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = places(batch)
+        hit = (shipped.value[at >> np.uint32(3)] >> (np.uint32(7) - (at & np.uint32(7))).astype(np.uint8)) & 1
+        n = np.array([len(x) // 8 for x in batch.column("shingles").to_pylist()], np.int64)
+        ends = np.concatenate([[0], np.cumsum(n)])
+        hit = hit.astype(bool)
+        bits = np.zeros((len(n), 64 * LONGS), bool)
+        values = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.uint64)[hit]
+        bits[np.repeat(np.arange(len(n)), n)[hit], (values % np.uint64(64 * LONGS)).astype(np.int64)] = True
+        shared = sums(hit.astype(np.int64), ends)
+        packed = np.packbits(bits, axis=1).view(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [batch.column("node"), pa.array(n), pa.array(shared), pa.array(shared - bits.sum(axis=1)), *(pa.array(x) for x in packed.T.copy())],
+            names=["node", "n", "shared", "doubled", *BITS],
+        )
+
+    return map_slices(sets, count, "node long, n long, shared long, doubled long, " + ", ".join(f"{b} long" for b in BITS), "shingles")
+
+
+def _possible() -> Column:
+    """Whether two members can be similar: what they share is bounded, and must
+    be SIMILAR / (100 + SIMILAR) of both sizes."""
+    common = sum((F.bit_count(F.col(b).bitwiseAND(F.col(f"{b}_2"))) for b in BITS[1:]), F.bit_count(F.col(BITS[0]).bitwiseAND(F.col(f"{BITS[0]}_2"))))
+    bound = F.least("shared", "shared_2", common + F.least("doubled", "doubled_2"))
+    return (100 + SIMILAR) * bound >= SIMILAR * (F.col("n") + F.col("n_2"))
+
+
+def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """Members ``(key, node, n, shared, comp, least)`` of buckets of several
+    components; ``least`` is the smallest hash of a member."""
+    placed = members.join(comp, "node")
     state = placed.groupBy("key").agg(
-        F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"), F.min(drawn).alias("least")
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.xxhash64("node")).alias("least")
     ).where("low < high")
     # one row per key on the right, so a large bucket can be split
-    open_rows = materialise(placed.join(state.select("key", "size", "least"), "key"), "open-buckets")
-    chance = F.lit(float(4**number)) / F.col("size")
-    lot = F.pmod(F.xxhash64("node", "key", F.lit(number)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = (drawn == F.col("least")) | ((lot < chance) if number else F.lit(False))
-    pivots = open_rows.where(chosen).select("key", F.col("node").alias("pivot"), F.col("comp").alias("there"))
-    met = open_rows.join(pivots, "key").where("comp <> there").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v"))
-    return met.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")), open_rows
+    return placed.join(state.select("key", "least"), "key")
+
+
+def _meetings(rows: DataFrame, others: DataFrame, where: Column) -> DataFrame:
+    """Pairs ``(u, v)`` of members of different components that can be similar."""
+    renamed = others.select("key", *[F.col(c).alias(f"{c}_2") for c in ("node", "comp", "n", "shared", "doubled", *BITS)])
+    met = rows.join(renamed, "key").where((F.col("comp") != F.col("comp_2")) & where & _possible())
+    return met.select(F.least("node", "node_2").alias("u"), F.greatest("node", "node_2").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -191,46 +263,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = member.where("doc_id <> node").select(F.col("node").alias("u"), F.col("doc_id").alias("v")).distinct()
 
     at_node = solid.join(first.select("k1", "k2", "node"), ["k1", "k2"]).where("doc_id = node")
-    buckets = materialise(_buckets(at_node.select("node", "sig").dropDuplicates(["node", "sig"])).distinct(), "minhash-buckets")
+    buckets = materialise(_buckets(at_node.select("node", "sig").dropDuplicates(["node"])), "minhash-buckets")
     crowded = buckets.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key")
     buckets = materialise(buckets.join(crowded, "key"), "crowded-buckets")
     wanted = materialise(buckets.select("node").distinct(), "wanted-sets")
     sets = materialise(_sets(rows, wanted), "shingle-sets")
 
+    sizes = _shared_sizes(sets).where(100 * F.col("shared") >= SIMILAR * F.col("n"))
+    members = materialise(buckets.join(sizes, "node"), "bucket-members")
     comp = wanted.select("node", F.col("node").alias("comp"))
-    links: DataFrame | None = None
-    tried: DataFrame | None = None
-    number = 0
-    while True:
-        pairs, buckets = _round(buckets, comp, number)
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs, left = materialise_counted(pairs, "candidate-pairs")
-        widest = buckets.agg(F.max("size")).first()[0] or 0
-        if left:
-            # the pair that shares most tables first; the rest only where that did not join them
-            for final in (False, True):
-                if final:
-                    at_u = comp.select(F.col("node").alias("u"), F.col("comp").alias("cu"))
-                    at_v = comp.select(F.col("node").alias("v"), F.col("comp").alias("cv"))
-                    some = pairs.join(at_u, "u").join(at_v, "v").where("cu <> cv").select("u", "v")
-                else:
-                    some = pairs.groupBy("u").agg(F.max_by("v", "n").alias("v"))
-                some, count = materialise_counted(some, "checked-pairs")
-                if not count:
-                    continue
-                tried = some if tried is None else tried.unionByName(some)
-                good, count = materialise_counted(_confirmed(some, sets), "links")
-                if count:
-                    links = good if links is None else links.unionByName(good)
-                    comp = _components(wanted, links)
-        # each round's rows are only those of buckets that were open before
-        buckets = buckets.select("key", "node")
-        if not widest or 4**number >= widest:
-            break
-        number += 1
-
-    every = known if links is None else known.unionByName(links)
+    # every member against the pivot of its bucket
+    rows = _open(members, comp)
+    star = materialise(_meetings(rows, rows.where(F.xxhash64("node") == F.col("least")), F.lit(True)), "pivot-pairs")
+    links = materialise(_confirmed(star, sets), "pivot-links")
+    comp = _components(wanted, links)
+    # members that this left in different components
+    rows = materialise(_open(members, comp), "open-buckets")
+    rest = materialise(_meetings(rows, rows, F.col("node") < F.col("node_2")).join(star, ["u", "v"], "left_anti"), "open-pairs")
+    links = links.unionByName(_confirmed(rest, sets))
+
+    every = known.unionByName(links)
     grouped = linked_nodes(undirected(every.select(F.col("u").alias("src"), F.col("v").alias("dst"))))
     placed = grouped.select(F.col("idx").alias("doc_id"), F.col("component"))
     return (

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinedge.llm.words import plain, text_slices
+from twinedge.llm.words import bounded_sample, plain, text_slices
 
 TRAIN_PAGES = 300
 EPOCHS = 80
@@ -309,7 +309,7 @@ def train(pages: Sequence[tuple[Sequence[Block], Sequence[int]]], epochs: int =
 
 def fitted(pages: DataFrame, limit: int = TRAIN_PAGES) -> Crf:
     """A model for ``pages(html)``, from at most ``limit`` of them and composed ones."""
-    sample = pages.where("html IS NOT NULL").select("html").orderBy(F.xxhash64("html"), "html").limit(limit)
+    sample = bounded_sample(pages.where("html IS NOT NULL").select("html"), limit, "html")
     labelled, texts = [], []
     for row in sample.toLocalIterator():
         blocks = blocks_of(row["html"])

@@ -125,6 +125,26 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
             n_repeat_words::BIGINT AS n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed::BIGINT AS failed FROM f""",
+    "op3_minhash_near_dedup": f"""
+        WITH RECURSIVE d AS ({DOC_WORDS}), s AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), shared AS (
+            SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+        ), links AS (
+            SELECT u, v FROM shared JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * c >= 75 * (a.n + b.n - c)
+        ), both_ways AS (
+            SELECT u, v FROM links UNION ALL SELECT v, u FROM links
+        ), reach AS (
+            SELECT u AS doc_id, u AS other FROM both_ways UNION SELECT r.doc_id, e.v FROM reach r JOIN both_ways e ON e.u = r.other
+        ), least AS (
+            SELECT doc_id, min(other) AS component FROM reach GROUP BY doc_id
+        )
+        SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(component, d.doc_id) AS component_id,
+            coalesce(component, d.doc_id) = d.doc_id AS kept
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)""",
     "op4_benchmark_decontamination": f"""
         WITH d AS ({DOC_WORDS}), b AS (
             SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {LETTERS}), '{WORD}') AS w FROM benchmark

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinedge.llm.words import map_slices, plain, text_slices
+from twinedge.llm.words import bounded_sample, map_slices, plain, text_slices
 
 SAMPLE_ROWS = 4000
 EXAMPLES = 200
@@ -209,7 +209,7 @@ def examples(prefix: str, alphabet: str, length: int, n: int = EXAMPLES) -> list
 
 def labelled(docs: DataFrame, limit: int = SAMPLE_ROWS) -> dict[str, list[str]]:
     """Labelled credentials and ordinary tokens of at most ``limit`` documents."""
-    texts = docs.where("text IS NOT NULL").select("text").orderBy(F.xxhash64("text"), "text").limit(limit)
+    texts = bounded_sample(docs.where("text IS NOT NULL").select("text"), limit, "text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, set[str]] = defaultdict(set)

@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SLICE_BYTES = 6 << 20
@@ -48,6 +49,20 @@ def map_slices(
     return df.mapInArrow(task, schema)
 
 
+def bounded_sample(rows: DataFrame, limit: int, *by: str) -> DataFrame:
+    """At most ``limit`` rows, drawn by a hash of the columns ``by``, so that the
+    same rows come out whatever the partitioning.
+
+    The hash is first cut where about twice ``limit`` rows pass, so that the
+    final top-k sees a few thousand rows and not some of every partition.
+    """
+    n = rows.count()
+    drawn = F.xxhash64(*by)
+    if n > 2 * limit:
+        rows = rows.where(drawn < int((2 * limit / n - 0.5) * 2.0**64))
+    return rows.orderBy(drawn, *by).limit(limit)
+
+
 @dataclass
 class Words:
     """Words of several texts: text k has the codes ``codes[starts[k]:starts[k + 1]]``."""
