@@ -296,6 +296,15 @@ def test_scores(docs, corpus):
         assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(full, rel=0.02)
 
 
+def test_count_codes_are_not_clipped():
+    import numpy as np
+
+    counts = np.array([0, 1, 255, 256, 257, 10**4, 10**7, 10**8, 10**9, 10**10, 10**11, 1 << 62, (1 << 63) - 1], np.int64)
+    assert ngrams._count(ngrams._code(counts)) == pytest.approx(counts.astype(float), rel=0.0014)
+    small = np.arange(256)
+    assert (ngrams._count(ngrams._code(small)) == small).all()
+
+
 def test_scores_odd_rows(odd, nothing):
     rows = ngrams.scored(odd).collect()
     assert sorted(r["doc_id"] or 0 for r in rows) == [0, 0, 7, 7, 8, 8, 9] and not any(r["held_out"] for r in rows if r["doc_id"] is None)

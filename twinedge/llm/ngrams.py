@@ -231,14 +231,15 @@ def _level_one(chunks: DataFrame, parts: int) -> DataFrame:
 
 
 def _code(count: np.ndarray) -> np.ndarray:
-    """A count in a byte: exact below 128, then in steps of an 8th of a doubling."""
-    large = 128 + np.clip(np.round(8 * (np.log2(np.maximum(count, 128)) - 7)), 0, 127)
-    return np.where(count < 128, count, large).astype(np.uint8)
+    """A count of up to 2^63 in two bytes: exact below 256, then in steps of a
+    256th of a doubling, so that it is off by at most 0.14%."""
+    large = 256 + np.round(256 * (np.log2(np.maximum(count, 256)) - 8))
+    return np.where(count < 256, count, large).astype(np.uint16)
 
 
 def _count(code: np.ndarray) -> np.ndarray:
     code = code.astype(np.float64)
-    return np.where(code < 128, code, 2.0 ** (7 + (code - 128) / 8))
+    return np.where(code < 256, code, 2.0 ** (8 + (code - 256) / 256))
 
 
 def _spread(context: np.ndarray, word: np.ndarray, count: np.ndarray, shards: int) -> np.ndarray:
@@ -307,7 +308,7 @@ def scored(docs: DataFrame, mu: float = MU) -> DataFrame:
             times = np.diff(np.append(new, len(p)))
             data = _packed(
                 _planes(np.diff(p[new], prepend=np.uint64(0))), _planes(np.add.reduceat(learnt_from[own].astype(np.int64), new).astype(np.uint32)),
-                _code(counts[codes[own[new]]]), _planes(counts[before[own[new]]].astype(np.uint32)), _planes(times.astype(np.uint32)),
+                _planes(_code(counts[codes[own[new]]])), _planes(counts[before[own[new]]]), _planes(times.astype(np.uint32)),
                 _planes(owner[own].astype(np.uint32)), texts,
             )
             out.append((k, key[0], False, data))
@@ -324,7 +325,7 @@ def scored(docs: DataFrame, mu: float = MU) -> DataFrame:
             pairs = [np.cumsum(_numbers(x[1], np.uint64)) for x in asked]
             grown = np.concatenate(pairs)
             seen = np.concatenate([_numbers(x[2], np.uint32) for x in asked]).astype(np.int64)
-            of_context = np.concatenate([_numbers(x[4], np.uint32) for x in asked])
+            of_context = np.concatenate([_numbers(x[4], np.int64) for x in asked])
             order = np.argsort(grown)
             ordered = grown[order]
             new = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
@@ -343,8 +344,8 @@ def scored(docs: DataFrame, mu: float = MU) -> DataFrame:
                     at = successors.find(np.maximum(context, 0).astype(np.uint64) * universe + (pair & np.uint64(0xFFFFFFFF)))
                     at = np.where(context >= 0, at, -1)
                     upper = np.where(at >= 0, 10.0 ** (-shares[np.maximum(at, 0)].astype(np.float64) / STEPS) if len(shares) else 0.0, 0.0)
-                    total = _numbers(total, np.uint32).astype(np.float64)
-                    value = np.log10(upper + mu / (total + mu) * (_count(word_code) + 1) / floor)
+                    total = _numbers(total, np.int64).astype(np.float64)
+                    value = np.log10(upper + mu / (total + mu) * (_count(_numbers(word_code, np.uint16)) + 1) / floor)
                     sums = np.bincount(_numbers(owner, np.uint32), np.repeat(value, _numbers(times, np.uint32)), texts)
                     out.append((chunk, False, _packed(sums)))
         return pd.DataFrame(out, columns=["chunk", "plain", "data"])
