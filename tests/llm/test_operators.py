@@ -183,6 +183,21 @@ def test_languages(spark):
     assert left.columns == docs.columns and left.count() == len(rows) - 2
 
 
+def test_rare_labels_are_learnt(spark):
+    rows = [(f"the cat number {k} and the dog", "en") for k in range(3000)] + [(f"il gatto numero {k} e il cane", "it") for k in range(6)]
+    rows += [("ein Hund", "de")] * 4
+    names, table = language.fit(spark.createDataFrame(rows, "text string, declared string").repartition(5), limit=20)
+    assert names == ["en", "it"] and table.shape == (language.BUCKETS, 2)
+
+
+def test_copies_do_not_crowd_out_training_texts(spark):
+    rows = spark.createDataFrame([(f"words {k * k} and {k}", "en") for k in range(500)], "text string, declared string")
+    first = rows.orderBy(F.xxhash64("text", "declared")).limit(1).union(rows.orderBy(F.xxhash64("text")).limit(1))
+    copies = first.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(400)))).drop("k")
+    one, two = language.fit(rows, limit=50), language.fit(rows.union(copies).repartition(7), limit=50)
+    assert one[0] == two[0] == ["en"] and (one[1] == two[1]).all()
+
+
 def test_language_without_labels(docs, nothing):
     found = by_id(language.identify(language.documents_evidence(docs.withColumn("lang", F.lit(None).cast("string"))), ["doc_id"]))
     assert all(r["language"] is None and r["kept"] == (r["n_words"] > 0) for r in found.values())

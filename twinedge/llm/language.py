@@ -12,9 +12,9 @@ Each is a term of one log posterior:
 * host: the share of languages on the host, shrunk towards the share on its
   domain, which is shrunk towards that of all documents.
 
-The trigram models are fitted on at most ``TRAIN_ROWS`` labelled rows, drawn by
-a hash of their text; counts of declarations, suffixes and hosts cover all
-documents. A document is rejected if it has no word, if no known language
+The trigram models are fitted on at most ``TRAIN_ROWS`` distinct texts of each
+label, drawn by a hash; every label with ``LEAST_ROWS`` rows in the whole table
+is learnt. Counts of declarations, suffixes and hosts cover all documents. A document is rejected if it has no word, if no known language
 explains its text better than bytes drawn at random, or if the best language
 has a posterior below ``CONFIDENT``.
 """
@@ -25,15 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinedge.llm.words import bounded_sample, map_slices, sums, text_bytes, text_slices, words_of
+from twinedge.llm.words import map_slices, sums, text_bytes, text_slices, words_of
 from twinedge.scratch import materialise
 
 TRAIN_ROWS = 4000
+"""Distinct texts of a label that its model is fitted on, at most."""
 LEAST_ROWS = 5
-"""Labels with fewer training rows are not learnt."""
+"""Labels with fewer rows in the whole table are not learnt."""
 TEMPER = 20.0
 CONFIDENT = 0.5
 STRENGTH = 10.0
@@ -54,15 +55,54 @@ def _trigrams(vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (gram * np.uint32(2654435761)) >> np.uint32(16), ends
 
 
+def _training_texts(labelled: DataFrame, limit: int) -> tuple[list[str], DataFrame]:
+    """Labels with enough rows, and ``(declared, text)``: about the ``limit``
+    distinct texts of each such label with the smallest hashes, or all it has.
+
+    Copies are told by their hash, so a text with many rows counts once, and
+    only hashes are shuffled until a label's last hash is known.
+    """
+    hashed = labelled.withColumn("drawn", F.xxhash64("text"))
+    sizes = hashed.groupBy("declared").agg(F.count("*").alias("rows"), F.approx_count_distinct("drawn").alias("texts"))
+    # one row per label
+    sizes = [r for r in sizes.collect() if r["rows"] >= LEAST_ROWS]
+    if not sizes:
+        return [], labelled.where("false")
+    spark = labelled.sparkSession
+    # where about twice the limit pass: the exact bound sees a few thousand hashes of a label
+    cut = [(r["declared"], min(2**64 * 2 * limit // max(1, r["texts"]), 2**64 - 1) - 2**63) for r in sizes]
+    cuts = spark.createDataFrame(cut, "declared string, cut long")
+    near = hashed.join(F.broadcast(cuts), "declared").where("drawn <= cut").select("declared", "drawn").distinct()
+    place = F.row_number().over(Window.partitionBy("declared").orderBy("drawn"))
+    last = near.withColumn("place", place).where(F.col("place") <= limit).groupBy("declared").agg(F.max("drawn").alias("cut"))
+    cuts = spark.createDataFrame([(r["declared"], r["cut"]) for r in last.collect()], "declared string, cut long")
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()  # at most ``limit`` of each label
+        for batch in batches:
+            new = []
+            for k, key in enumerate(zip(batch.column("declared").to_pylist(), batch.column("drawn").to_pylist())):
+                if key not in seen:
+                    seen.add(key)
+                    new.append(k)
+            if new:
+                yield batch.take(pa.array(new))
+
+    drawn = hashed.join(F.broadcast(cuts), "declared").where("drawn <= cut").select("declared", "drawn", "text")
+    once = drawn.mapInArrow(firsts, "declared string, drawn long, text string")
+    texts = once.groupBy("declared", "drawn").agg(F.min("text").alias("text")).select("declared", "text")
+    return sorted(r["declared"] for r in sizes), texts
+
+
 def fit(rows: DataFrame, limit: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and their trigram log-probabilities, from at most ``limit``
-    labelled rows ``(text, declared)``; labels that are blank are no labels."""
+    distinct texts of each label in ``(text, declared)``; labels that are blank
+    are no labels."""
     labelled = rows.where("text IS NOT NULL AND trim(declared) <> ''").select("text", "declared")
-    sample = bounded_sample(labelled, limit, "text", "declared")
+    names, sample = _training_texts(labelled, limit)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
-        seen: dict[str, int] = {}
         for batch in text_slices(batches):
             words = words_of(batch.column("text"))
             gram, starts = _trigrams(words.vocabulary)
@@ -70,29 +110,28 @@ def fit(rows: DataFrame, limit: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray
             for k, label in enumerate(labels):
                 own = words.codes[words.starts[k] : words.starts[k + 1]]
                 total = counts.setdefault(label, np.zeros(BUCKETS, np.int64))
-                seen[label] = seen.get(label, 0) + 1
                 distinct, times = np.unique(own, return_counts=True)
                 size = np.diff(starts)[distinct]
                 at = np.arange(int(size.sum())) + np.repeat(starts[:-1][distinct] - (np.cumsum(size) - size), size)
                 total += np.bincount(gram[at], np.repeat(times, size), BUCKETS).astype(np.int64)
         for label, total in counts.items():
             used = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([label] * len(used)), pa.array(used.astype(np.int32)), pa.array(total[used]), pa.array([seen[label]] + [0] * (len(used) - 1))]
-                if len(used) else [pa.array([label]), pa.array([0], pa.int32()), pa.array([0]), pa.array([seen[label]])],
-                names=["label", "bucket", "n", "rows"],
-            )
-
-    counted = sample.mapInArrow(count, "label string, bucket int, n long, rows long")
-    # at most labels of `limit` rows times BUCKETS numbers
-    labels: dict[str, np.ndarray] = {}
-    rows_of: dict[str, int] = {}
-    for row in counted.groupBy("label", "bucket").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).collect():
-        labels.setdefault(row["label"], np.zeros(BUCKETS))[row["bucket"]] += row["n"]
-        rows_of[row["label"]] = rows_of.get(row["label"], 0) + row["rows"]
-    names = sorted(x for x in labels if rows_of[x] >= LEAST_ROWS)
-    table = np.stack([np.log((labels[x] + 0.1) / (labels[x].sum() + 0.1 * BUCKETS)) for x in names], axis=1) if names else np.zeros((BUCKETS, 0))
-    return names, table.astype(np.float64)
+            if len(used):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([label] * len(used)), pa.array(used.astype(np.int32)), pa.array(total[used])], names=["label", "bucket", "n"]
+                )
+
+    if not names:
+        return [], np.zeros((BUCKETS, 0))
+    counted = sample.mapInArrow(count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+    # at most BUCKETS numbers for each label, in columns
+    found = counted.toArrow()
+    place = {x: k for k, x in enumerate(names)}
+    table = np.zeros((BUCKETS, len(names)))
+    for part in found.to_batches():
+        column = np.array([place[x] for x in part.column("label").to_pylist()], np.int64)
+        table[part.column("bucket").to_numpy(zero_copy_only=False), column] = part.column("n").to_numpy(zero_copy_only=False)
+    return names, np.log((table + 0.1) / (table.sum(axis=0) + 0.1 * BUCKETS))
 
 
 def _likelihoods(rows: DataFrame, keys: list[str], table: np.ndarray) -> DataFrame:
