@@ -269,6 +269,29 @@ def test_secrets(spark):
     assert secret_scan.scan(docs.where("false")).count() == 0
 
 
+def test_secrets_within_tokens(spark):
+    fresh = {name: secret_scan.examples(*f, n=203)[-1] for name, f in secret_scan.FORMATS.items()}
+    rows = [
+        (1, "STRIPE=" + fresh["stripe"]), (2, "GITHUB_PAT=" + fresh["github"]), (3, "https://host/hook/" + fresh["slack"]),
+        (4, "file.txt/" + fresh["google"] + "/more"), (5, f"{fresh['npm']}={fresh['github']}"), (6, "https://www.example.com/some/path/index_of_pages.html"),
+        (7, "x/" + "0123456789abcdef" * 2 + "/" + fresh["github"]),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    words = ["undchenkeitkeitlich", "index_of_all_pages.html", "https://www.example.org/news", "Internationalisation", "some-long-name-of-it", "path/to/some/other/file"]
+    grammar = secret_scan.infer(spark.createDataFrame([(k, f"{w} and{w}") for k, w in enumerate(words)], "doc_id bigint, text string"))
+    found = secret_scan.scan(docs, grammar).collect()
+    spans = {r["doc_id"]: [(s["kind"], rows[r["doc_id"] - 1][1][s["start"] : s["end"]]) for s in r["spans"]] for r in found}
+    assert spans == {
+        1: [("format", fresh["stripe"])], 2: [("format", fresh["github"])], 3: [("format", fresh["slack"])], 4: [("format", fresh["google"])],
+        5: [("format", fresh["npm"]), ("format", fresh["github"])], 6: [], 7: [("hex", "0123456789abcdef" * 2), ("format", fresh["github"])],
+    }
+
+
+def test_time_of_a_long_run_grows_with_its_length():
+    grammar = secret_scan.Grammar([secret_scan.Automaton(["a/b" * 30] * 20)], secret_scan.Background(()))
+    assert grammar.spans("a/b" * 20000)
+
+
 def test_state_merging_generalises():
     a = secret_scan.Automaton(["ab" * k + "c" for k in range(1, 4)] * 40)
     assert a.states < 20

@@ -4,9 +4,12 @@ Three base patterns find assignments, access keys and hex strings. For formats
 that no pattern lists, a grammar is inferred from labelled credentials: their
 prefix tree is turned into a probabilistic automaton by merging states whose
 futures are statistically compatible (a Hoeffding test on every branch, the
-ALERGIA algorithm). Long tokens are candidates; one is reported when its format
-likelihood under some automaton exceeds that under a Markov model of ordinary
-long tokens by ``MARGIN`` nats a character.
+ALERGIA algorithm). Within a long token, a credential may begin at the token's
+start or after a separator, and ends where its automaton ends best. Spans are
+reported whose likelihood under some automaton exceeds that under a Markov
+model of ordinary long tokens by ``MARGIN`` nats a character; of those that
+overlap, the ones with the largest sum of what exceeds the margin, each as long
+as it stays above it.
 
 Labels: what the base patterns find in at most ``SAMPLE_ROWS`` documents, and
 ``EXAMPLES`` generated strings of each public format below. The automata have
@@ -36,7 +39,9 @@ LABELS = 1000
 """Labelled strings per kind that a grammar is inferred from, at most."""
 MARGIN = 0.5
 LONGEST = 96
-"""Characters of a candidate that are scored; a longer one goes on in its last state."""
+"""Characters of a label that an automaton is inferred from; candidates are scored whole."""
+SHORTEST = 16
+SEPARATORS = frozenset("=/._-")
 ALPHA = 0.05
 
 KINDS = ("assign", "access", "hex", "format")
@@ -83,7 +88,7 @@ SIZE = {"0": 10, "a": 6, "z": 20, "A": 6, "Z": 20}
 
 
 def _symbols(text: str) -> list[str]:
-    return [_symbol(k, c) for k, c in enumerate(text[:LONGEST])]
+    return [_symbol(k, c) for k, c in enumerate(text)]
 
 
 class Automaton:
@@ -95,7 +100,7 @@ class Automaton:
         for text in samples:
             state = 0
             self.count[0] += 1
-            for s in _symbols(text):
+            for s in _symbols(text[:LONGEST]):
                 self.used[state][s] = self.used[state].get(s, 0) + 1
                 if s not in self.next[state]:
                     self.next[state][s] = len(self.count)
@@ -105,7 +110,7 @@ class Automaton:
                     self.used.append({})
                 state = self.next[state][s]
                 self.count[state] += 1
-            self.end[state] += 1
+            self.end[state] += len(text) <= LONGEST
         self._merge()
 
     def _differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
@@ -160,12 +165,20 @@ class Automaton:
     def log_likelihood(self, text: str) -> float:
         total, state = 0.0, 0
         for s in _symbols(text):
-            p = 0.0
-            if state >= 0:
-                p = self.used[state].get(s, 0) / self.count[state]
-                state = self.next[state].get(s, -1)
-            total += math.log((0.98 * p + 0.02 / 64) / (1 if len(s) > 1 else SIZE.get(s, 1)) if p else 0.02 / 4096)
-        return total + math.log(0.98 * self.end[state] / self.count[state] + 0.01 if state >= 0 else 0.01)
+            step = self.step(state, s) if state >= 0 else None
+            state = step[1] if step else -1
+            total += step[0] if step else math.log(0.02 / 4096)
+        return total + (self.stop(state) if state >= 0 else math.log(0.01))
+
+    def step(self, state: int, s: str) -> tuple[float, int] | None:
+        """Log-probability of a symbol and the state after it."""
+        if s not in self.next[state]:
+            return None
+        p = self.used[state][s] / self.count[state]
+        return math.log((0.98 * p + 0.02 / 64) / SIZE.get(s, 1)), self.next[state][s]
+
+    def stop(self, state: int) -> float:
+        return math.log(0.98 * self.end[state] / self.count[state] + 0.01)
 
 
 class Background:
@@ -181,15 +194,15 @@ class Background:
 
     @staticmethod
     def _classes(text: str) -> list[str]:
-        return [_symbol(8, c) for c in text[:LONGEST]]
+        return [_symbol(8, c) for c in text]
+
+    def step(self, before: str, s: str) -> float:
+        p = (self.pairs[before][s] if before in self.pairs else 0) + 0.5
+        return math.log(p / (self.totals.get(before, 0) + 5) / SIZE.get(s, 1))
 
     def log_likelihood(self, text: str) -> float:
-        total, before = 0.0, ""
-        for s in self._classes(text):
-            p = (self.pairs[before][s] if before in self.pairs else 0) + 0.5
-            total += math.log(p / (self.totals.get(before, 0) + 5) / SIZE.get(s, 1))
-            before = s
-        return total
+        classes = self._classes(text)
+        return sum(self.step(a, b) for a, b in zip(["", *classes], classes))
 
 
 class Grammar:
@@ -199,7 +212,70 @@ class Grammar:
     def score(self, token: str) -> float:
         """Nats a character by which the best format explains a token better."""
         ordinary = self.background.log_likelihood(token)
-        return (max(a.log_likelihood(token) for a in self.automata) - ordinary) / min(len(token), LONGEST)
+        return (max(a.log_likelihood(token) for a in self.automata) - ordinary) / len(token)
+
+    def spans(self, run: str, fresh: bool = True) -> list[tuple[int, int, float]]:
+        """``(start, end, score)`` of the best non-overlapping spans of a run of
+        candidate characters; ``fresh`` tells whether one may begin at its start.
+
+        Two walks of one automaton in one state go on alike once they are
+        SHORTEST long, and only the better one is kept: the time grows with the
+        length of the run, however many separators it has.
+        """
+        classes = Background._classes(run)
+        best, back = [0.0] * (len(run) + 1), [(-1, 0)] * (len(run) + 1)
+        young: list[tuple[int, int, int, float]] = []  # start, automaton, state, value
+        grown: dict[tuple[int, int], tuple[float, int]] = {}
+        for j, c in enumerate(run):
+            best[j + 1], back[j + 1] = best[j], (-1, 0)
+            if fresh if j == 0 else run[j - 1] in SEPARATORS:
+                young += [(j, k, 0, best[j]) for k in range(len(self.automata))]
+            if not young and not grown:
+                continue
+            cost = self.background.step(classes[j - 1] if j else "", classes[j]) + MARGIN
+            walks = [(start, k, state, value) for (k, state), (value, start) in grown.items()] + young
+            young, grown = [], {}
+            for start, k, state, value in walks:
+                step = self.automata[k].step(state, _symbol(j - start, c))
+                if step is None:
+                    continue
+                value += step[0] - (cost if start < j else self.background.step("", classes[j]) + MARGIN)
+                state = step[1]
+                if j + 1 - start < SHORTEST:
+                    young.append((start, k, state, value))
+                    continue
+                if (k, state) not in grown or grown[k, state][0] < value:
+                    grown[k, state] = value, start
+                whole = value + self.automata[k].stop(state)
+                if whole > best[j + 1] and self._may_end(run, classes, j + 1, k, state):
+                    best[j + 1], back[j + 1] = whole, (start, k)
+        found, j, free = [], len(run), len(run)
+        while j:
+            start, k = back[j]
+            if start < 0:
+                j -= 1
+            else:
+                found.append((start, *self._longest(run, classes, start, j, free, k)))
+                j = free = start
+        return found[::-1]
+
+    def _may_end(self, run: str, classes: list[str], end: int, k: int, state: int) -> bool:
+        """A word that the automaton can go on with does not end inside."""
+        return end == len(run) or not run[end].isalnum() or self.automata[k].step(state, classes[end]) is None
+
+    def _longest(self, run: str, classes: list[str], start: int, end: int, free: int, k: int) -> tuple[int, float]:
+        """The last end up to ``free`` at which a span is above the margin, and its score."""
+        value, state, score = 0.0, 0, 0.0
+        for j in range(start, free):
+            step = self.automata[k].step(state, _symbol(j - start, run[j]))
+            if step is None:
+                break
+            value += step[0] - self.background.step(classes[j - 1] if j > start else "", classes[j])
+            state = step[1]
+            whole = (value + self.automata[k].stop(state)) / (j + 1 - start)
+            if j + 1 == end or (j + 1 > end and whole >= MARGIN and self._may_end(run, classes, j + 1, k, state)):
+                end, score = j + 1, whole
+        return end, score
 
 
 def examples(prefix: str, alphabet: str, length: int, n: int = EXAMPLES) -> list[str]:
@@ -259,16 +335,18 @@ def scan(docs: DataFrame, grammar: Grammar | None = None) -> DataFrame:
         texts = plain(batch.column("text"))
         masks = {k: pc.match_substring_regex(texts, hint).to_numpy(zero_copy_only=False) for k, hint in HINTS.items()}
         spans: list[list[tuple]] = [[] for _ in range(len(texts))]
-        known: dict[str, float] = {}
+        known: dict[tuple[str, bool], list[tuple[int, int, float]]] = {}
         for k in np.flatnonzero(np.logical_or.reduce(list(masks.values()))).tolist():
             text = texts[k].as_py()
             base = base_spans(text) if masks["assign"][k] or masks["access"][k] or masks["hex"][k] else []
             found = [(*s, None) for s in base]
+            taken = sorted((a, b) for _, a, b in base)
             for m in CANDIDATE.finditer(text) if masks["format"][k] else ():
-                if m[0] not in known:
-                    known[m[0]] = model.score(m[0])
-                if known[m[0]] >= MARGIN and not any(a < m.end() and m.start() < b for _, a, b in base):
-                    found.append(("format", *m.span(), known[m[0]]))
+                for a, b in _free(*m.span(), taken):
+                    key = text[a:b], a == m.start() or text[a - 1] in SEPARATORS
+                    if key not in known:
+                        known[key] = model.spans(*key)
+                    found += [("format", a + x, a + y, score) for x, y, score in known[key]]
             found.sort(key=lambda s: (s[1], rank[s[0]]))
             spans[k] = [dict(zip(("kind", "start", "end", "score"), s)) for s in found]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, types)], names=["doc_id", "spans"])
@@ -276,6 +354,20 @@ def scan(docs: DataFrame, grammar: Grammar | None = None) -> DataFrame:
     return map_slices(rows, work, schema)
 
 
+def _free(start: int, end: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of a run between the sorted spans ``taken`` that are long enough."""
+    for a, b in taken:
+        if b <= start:
+            continue
+        if a >= end:
+            break
+        if a - start >= SHORTEST:
+            yield start, a
+        start = max(start, b)
+    if end - start >= SHORTEST:
+        yield start, end
+
+
 def _plain_grammar(grammar: Grammar) -> dict:
     """Plain containers, which any worker can read."""
     return {
