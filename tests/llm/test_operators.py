@@ -122,6 +122,17 @@ def test_contained_items_in_small_blocks(spark, docs, corpus, monkeypatch):
     assert found == brute.leaks(corpus, items)
 
 
+@pytest.mark.parametrize("size", [8, 1 << 20])
+def test_repeated_items(spark, monkeypatch, size):
+    monkeypatch.setattr(decontaminate, "BLOCK_SHINGLES", size)
+    one, two = " ".join(f"w{k}" for k in range(20)), " ".join(f"v{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, " ".join(one.split()[:10])), (2, one), (3, two), (4, f"{one} {two}"), (5, "so it is short x y"), (6, "p q r s")], "doc_id bigint, text string")
+    items = [(1, one), (1, one), (1, one), (2, one), (2, two), (3, "short"), (3, "short"), (3, two), (4, "p q"), (4, "r s"), (4, "p q"), (5, "SHORT x")]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string").repartition(3)
+    found = [(r["doc_id"], r["item_id"], r["n_item"], r["n_shared"], r["containment"]) for r in decontaminate.contained_items(docs, benchmark).collect()]
+    assert sorted(found) == [(2, 1, 16, 16, 1.0), (3, 3, 16, 16, 1.0), (4, 1, 16, 16, 1.0), (4, 2, 32, 32, 1.0), (4, 3, 16, 16, 1.0), (5, 3, 1, 1, 1.0), (5, 5, 1, 1, 1.0), (6, 4, 1, 1, 1.0)]
+
+
 def test_no_items(spark, docs, nothing):
     empty = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.contained_items(docs, empty).count() == 0

@@ -13,7 +13,8 @@ which are looked up directly) are verified by exact containment of the full
 shingle sets, in the same task, which has both sets at hand: no shuffle.
 
 The items' index is sent to the tasks in blocks of at most ``BLOCK_SHINGLES``
-distinct shingles, read one block at a time, whatever the number of items.
+distinct shingles, read one block at a time, whatever the number of items. Rows
+of the benchmark that repeat an item_id are one item before blocks are cut.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinedge.llm.words import map_slices, mixed, shingle_sets, text_slices, window_hashes, words_of
+from twinedge.scratch import materialise
 
 WIDTH = 5
 CONTAINMENT = 0.75
@@ -56,10 +58,15 @@ def sketch(shingles: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class ItemBlock:
-    """Distinct shingles of one block of test items, sorted, with their items."""
+    """Distinct shingles of one block of test items, sorted, with their items.
 
-    def __init__(self, shingles: np.ndarray, items: np.ndarray, sizes: dict[int, int], widths: dict[int, int]):
+    Item k of the block has the id ``ids[k]``, ``sizes[k]`` shingles and words
+    in runs of ``widths[k]``.
+    """
+
+    def __init__(self, shingles: np.ndarray, items: np.ndarray, ids: list[int], sizes: list[int], widths: list[int]):
         order = np.argsort(shingles, kind="stable")
+        self.ids = np.array(ids, np.int64)
         self.owners, listed = items[order], shingles[order]
         self.values, self.first = np.unique(listed, return_index=True)
         self.end = np.append(self.first[1:], len(listed))
@@ -81,6 +88,9 @@ class ItemBlock:
 
 
 def _item_rows(benchmark: DataFrame) -> DataFrame:
+    """``(item_id, width, own, sets)``: an item with the distinct shingle sets of
+    its texts of five words or more, and one for each distinct shorter text."""
+
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = words_of(batch.column("text"))
         shingles, starts = shingle_sets(words, WIDTH)
@@ -89,35 +99,39 @@ def _item_rows(benchmark: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [
                 batch.column("item_id").take(pa.array(keep)),
-                pa.array(sizes[keep]),
                 pa.array(np.minimum(n[keep], WIDTH)),
                 pa.array([shingles[starts[k] : starts[k + 1]].tobytes() for k in keep], pa.binary()),
             ],
-            names=["item_id", "n", "width", "shingles"],
+            names=["item_id", "width", "shingles"],
         )
 
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    return map_slices(rows.where("item_id IS NOT NULL"), work, "item_id long, n long, width long, shingles binary")
+    found = map_slices(rows.where("item_id IS NOT NULL"), work, "item_id long, width long, shingles binary")
+    # a text of fewer than five words is looked for by itself
+    own = F.when(F.col("width") < WIDTH, F.col("shingles"))
+    return found.groupBy("item_id", "width", own.alias("own")).agg(F.collect_set("shingles").alias("sets"))
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[ItemBlock]:
     """Items in blocks; the driver holds one block at a time."""
-    ids: list[np.ndarray] = []
-    shingles: list[np.ndarray] = []
-    sizes: dict[int, int] = {}
-    widths: dict[int, int] = {}
+    ids, sizes, widths, shingles = [], [], [], []
     held = 0
-    for row in _item_rows(benchmark).toLocalIterator():
-        values = np.frombuffer(row["shingles"], np.uint64)
+
+    def block() -> ItemBlock:
+        return ItemBlock(np.concatenate(shingles), np.repeat(np.arange(len(ids)), sizes), ids, sizes, widths)
+
+    for row in materialise(_item_rows(benchmark), "benchmark-items").toLocalIterator():
+        values = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in row["sets"]]))
         if held and held + len(values) > BLOCK_SHINGLES:
-            yield ItemBlock(np.concatenate(shingles), np.concatenate(ids), sizes, widths)
-            ids, shingles, sizes, widths, held = [], [], {}, {}, 0
-        ids.append(np.full(len(values), row["item_id"], np.int64))
+            yield block()
+            ids, sizes, widths, shingles, held = [], [], [], [], 0
+        ids.append(row["item_id"])
+        sizes.append(len(values))
+        widths.append(row["width"])
         shingles.append(values)
-        sizes[row["item_id"]], widths[row["item_id"]] = len(values), row["width"]
         held += len(values)
     if held:
-        yield ItemBlock(np.concatenate(shingles), np.concatenate(ids), sizes, widths)
+        yield block()
 
 
 def _short_windows(words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,6 +151,8 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, containment: float =
     An item of fewer than five words is its whole sequence and must occur as
     such. Null texts, empty texts and items without words match nothing; rows
     without an item id are no items; repeated rows of a document give one row.
+    Rows that repeat an item id are one item: the shingles of its texts are
+    pooled, but each text of fewer than five words stands for the item itself.
     Extra columns of either table are ignored.
     """
     schema = "doc_id long, item_id long, n_item long, n_shared long, containment double"
@@ -154,8 +170,8 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, containment: float =
 def _searcher(shipped, containment: float):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shipped.value
-        short = sorted({w for w in block.widths.values() if w < WIDTH})
-        direct = np.array(sorted(i for i, n in block.sizes.items() if n * containment < SURE), np.int64)
+        short = sorted({w for w in block.widths if w < WIDTH})
+        direct = np.array([i for i, n in enumerate(block.sizes) if n * containment < SURE], np.int64)
         for batch in text_slices(batches):
             words = words_of(batch.column("text"))
             shingles, starts = shingle_sets(words, WIDTH)
@@ -182,7 +198,7 @@ def _searcher(shipped, containment: float):
             if out:
                 at, item, size, n = (np.array(x, np.int64) for x in zip(*sorted(out)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(at)), pa.array(item), pa.array(size), pa.array(n), pa.array(n / size)],
+                    [batch.column("doc_id").take(pa.array(at)), pa.array(block.ids[item]), pa.array(size), pa.array(n), pa.array(n / size)],
                     names=["doc_id", "item_id", "n_item", "n_shared", "containment"],
                 )
 
