@@ -100,6 +100,14 @@ def test_near_duplicates_odd_rows(odd, nothing):
     assert neardup.near_duplicates(nothing).count() == 0
 
 
+def test_near_duplicates_of_every_text_of_an_id(spark):
+    one, two = [f"a{k}" for k in range(60)], [f"b{k}" for k in range(60)]
+    rows = [(5, one), (5, two), (9, [*two[:-1], "x"]), (10, [*one[:-1], "y"]), (11, [f"c{k}" for k in range(60)])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string").repartition(2)
+    found = {(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs).collect()}
+    assert found == {(5, 5, True), (9, 5, False), (10, 5, False), (11, 11, True)}
+
+
 # 4 decontamination
 
 def test_contained_items(spark, docs, corpus):

@@ -66,6 +66,15 @@ def _signature_bytes(shingles: np.ndarray, starts: np.ndarray) -> list[bytes | N
     return [next(found).tobytes() if n else None for n in np.diff(starts).tolist()]
 
 
+def _set_keys(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Both halves of a 128-bit hash of each set; the first names its node."""
+    keys = np.zeros((len(starts) - 1, 2), np.int64)
+    for k, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())):
+        if b > a:
+            keys[k] = np.frombuffer(xxhash.xxh3_128_digest(shingles[a:b].tobytes()), np.int64)
+    return keys
+
+
 def _summaries(rows: DataFrame) -> DataFrame:
     """``(doc_id, n, k1, k2, sig)``: set size, 128-bit hash of the set, signature."""
 
@@ -73,10 +82,7 @@ def _summaries(rows: DataFrame) -> DataFrame:
         shingles, starts = shingle_sets(words_of(batch.column("text")), WIDTH)
         n = np.diff(starts)
         full = n > 0
-        keys = np.zeros((len(n), 2), np.int64)
-        for k, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())):
-            if b > a:
-                keys[k] = np.frombuffer(xxhash.xxh3_128_digest(shingles[a:b].tobytes()), np.int64)
+        keys = _set_keys(shingles, starts)
         sig = _signature_bytes(shingles, starts)
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(n), pa.array(keys[:, 0], mask=~full), pa.array(keys[:, 1], mask=~full), pa.array(sig, pa.binary())],
@@ -113,8 +119,8 @@ def _buckets(nodes: DataFrame) -> DataFrame:
 
 
 def _id_filter(nodes: DataFrame) -> np.ndarray:
-    """A bit for each hash of a node; 1 MB whatever the number of nodes."""
-    at = F.pmod(F.xxhash64("node"), F.lit(1 << FILTER_BITS))
+    """A bit for each hash of a node's document; 1 MB whatever the number of nodes."""
+    at = F.pmod(F.xxhash64("rep"), F.lit(1 << FILTER_BITS))
     bits = (
         nodes.select((at + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
@@ -127,7 +133,8 @@ def _id_filter(nodes: DataFrame) -> np.ndarray:
 
 
 def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(node, shingles)`` for the wanted nodes, from the texts again."""
+    """``(node, shingles)`` for the wanted ``(node, rep)``, from the texts of
+    the documents ``rep`` again."""
     asked = rows.sparkSession.sparkContext.broadcast(np.packbits(_id_filter(wanted)))
     place = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << FILTER_BITS))
 
@@ -139,10 +146,11 @@ def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         batch = batch.take(pa.array(near))
         shingles, starts = shingle_sets(words_of(batch.column("text")), WIDTH)
         packed = [shingles[a:b].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["node", "shingles"])
+        node = pa.array(_set_keys(shingles, starts)[:, 0])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), node, pa.array(packed, pa.binary())], names=["rep", "node", "shingles"])
 
-    found = map_slices(rows.select("doc_id", place.alias("place"), "text"), work, "node long, shingles binary")
-    return found.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    found = map_slices(rows.select("doc_id", place.alias("place"), "text"), work, "rep long, node long, shingles binary")
+    return found.join(wanted, ["node", "rep"], "left_semi").select("node", "shingles").dropDuplicates(["node"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -257,16 +265,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     summary = materialise(_summaries(rows), "minhash-summary")
     solid = summary.where("n > 0 AND doc_id IS NOT NULL")
-    first = solid.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("other"))
-    member = materialise(solid.join(first.select("k1", "k2", "node"), ["k1", "k2"]).select("doc_id", "node"), "set-members")
+    # a node is a set, named by the first half of its hash; ``rep`` is its smallest doc_id
+    first = materialise(solid.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "distinct-sets")
+    member = solid.join(first, ["k1", "k2"])
     # equal sets under two ids, or one id with two sets: both are links already
-    known = member.where("doc_id <> node").select(F.col("node").alias("u"), F.col("doc_id").alias("v")).distinct()
+    known = member.where("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v")).distinct()
 
-    at_node = solid.join(first.select("k1", "k2", "node"), ["k1", "k2"]).where("doc_id = node")
-    buckets = materialise(_buckets(at_node.select("node", "sig").dropDuplicates(["node"])), "minhash-buckets")
+    at_node = member.where("doc_id = rep").select(F.col("k1").alias("node"), "sig").dropDuplicates(["node"])
+    buckets = materialise(_buckets(at_node), "minhash-buckets")
     crowded = buckets.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key")
     buckets = materialise(buckets.join(crowded, "key"), "crowded-buckets")
-    wanted = materialise(buckets.select("node").distinct(), "wanted-sets")
+    reps = first.select(F.col("k1").alias("node"), "rep")
+    wanted = materialise(buckets.select("node").distinct().join(reps, "node"), "wanted-sets")
     sets = materialise(_sets(rows, wanted), "shingle-sets")
 
     sizes = _shared_sizes(sets).where(100 * F.col("shared") >= SIMILAR * F.col("n"))
@@ -282,7 +292,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = materialise(_meetings(rows, rows, F.col("node") < F.col("node_2")).join(star, ["u", "v"], "left_anti"), "open-pairs")
     links = links.unionByName(_confirmed(rest, sets))
 
-    every = known.unionByName(links)
+    # from sets to documents: all sets of one doc_id meet in it
+    for end in ("u", "v"):
+        links = links.join(wanted.select(F.col("node").alias(end), F.col("rep").alias(f"doc_{end}")), end)
+    every = known.unionByName(links.where("doc_u <> doc_v").select(F.col("doc_u").alias("u"), F.col("doc_v").alias("v")))
     grouped = linked_nodes(undirected(every.select(F.col("u").alias("src"), F.col("v").alias("dst"))))
     placed = grouped.select(F.col("idx").alias("doc_id"), F.col("component"))
     return (
