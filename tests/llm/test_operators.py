@@ -306,6 +306,16 @@ def test_secrets_within_tokens(spark):
     }
 
 
+def test_labels_are_not_the_first_of_the_alphabet():
+    values = [f"{c}{k:020d}" for c in "0Az" for k in range(1000)]
+    assert {v[0] for v in secret_scan._drawn(values)} == {*"0Az"} and len(secret_scan._drawn(values)) == secret_scan.LABELS
+
+
+def test_whole_candidates_are_scored():
+    grammar = secret_scan.Grammar([secret_scan.Automaton(["ab1" * 10] * 30)], secret_scan.Background(["xyz" * 10] * 30))
+    assert grammar.score("ab1" * 32 + "xyz" * 20) < grammar.score("ab1" * 32 + "ab1" * 20)
+
+
 def test_time_of_a_long_run_grows_with_its_length():
     grammar = secret_scan.Grammar([secret_scan.Automaton(["a/b" * 30] * 20)], secret_scan.Background(()))
     assert grammar.spans("a/b" * 20000)

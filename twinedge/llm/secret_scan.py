@@ -23,11 +23,12 @@ import random
 import re
 import string
 from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -283,6 +284,11 @@ def examples(prefix: str, alphabet: str, length: int, n: int = EXAMPLES) -> list
     return [prefix + "".join(draw.choice(alphabet) for _ in range(length)) for _ in range(n)]
 
 
+def _drawn(values: Iterable[str]) -> list[str]:
+    """At most ``LABELS`` of the values, drawn by a hash."""
+    return sorted(sorted(values, key=lambda v: (xxhash.xxh3_64_intdigest(v.encode()), v))[:LABELS])
+
+
 def labelled(docs: DataFrame, limit: int = SAMPLE_ROWS) -> dict[str, list[str]]:
     """Labelled credentials and ordinary tokens of at most ``limit`` documents."""
     texts = bounded_sample(docs.where("text IS NOT NULL").select("text"), limit, "text")
@@ -297,7 +303,7 @@ def labelled(docs: DataFrame, limit: int = SAMPLE_ROWS) -> dict[str, list[str]]:
                 for m in CANDIDATE.finditer(text):
                     if not any(a < m.end() and m.start() < b for _, a, b in spans):
                         found["ordinary"].add(m[0])
-        rows = [(k, v) for k, values in found.items() for v in sorted(values)[:LABELS]]
+        rows = [(k, v) for k, values in found.items() for v in _drawn(values)]
         if rows:
             kinds, values = zip(*rows)
             yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(values)], names=["kind", "value"])
@@ -306,7 +312,7 @@ def labelled(docs: DataFrame, limit: int = SAMPLE_ROWS) -> dict[str, list[str]]:
     # at most LABELS values of each kind from the one partition of the limit
     for row in texts.mapInArrow(task, "kind string, value string").distinct().collect():
         out[row["kind"]].append(row["value"])
-    return {k: sorted(v)[:LABELS] for k, v in out.items()}
+    return {k: _drawn(v) for k, v in out.items()}
 
 
 def infer(docs: DataFrame) -> Grammar:
