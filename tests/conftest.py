@@ -28,7 +28,3 @@ def micro(spark):
             list(enumerate(["A", "A", "A", "", "", "B"])), "idx bigint, orcid string"
         ),
     }
-
-
-def rows(df):
-    return sorted(tuple(r) for r in df.collect())

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from twinedge.operators.components import connected_components, linked_nodes, undirected
 

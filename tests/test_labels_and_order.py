@@ -5,7 +5,7 @@ import random
 from collections import Counter
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from twinedge.operators import labels, ordering
 

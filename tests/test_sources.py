@@ -4,7 +4,7 @@ import gzip
 import json
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.linalg import Vectors
 

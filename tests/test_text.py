@@ -3,7 +3,7 @@
 import hashlib
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from twinedge.functions import text
 
