@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinedge.llm import decontaminate, language, lines, neardup, ngrams, packing, pages, quality, rollup, secret_scan
+from twinedge.llm import (
+    alignment,
+    decontaminate,
+    language,
+    lines,
+    merkle,
+    neardup,
+    ngrams,
+    packing,
+    pages,
+    quality,
+    rollup,
+    search,
+    secret_scan,
+)
 from twinedge.scratch import materialise, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +93,18 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.scored(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
@@ -90,11 +116,15 @@ QUERIES: dict[str, Query] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_merkle_fingerprints": op12_merkle_fingerprints,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
     "language_id_of_pages": language_id_of_pages,
 }
 
 LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 WORD = r"[^\x20\x09-\x0D]+"
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 DOC_WORDS = f"""SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {LETTERS}), '{WORD}') AS w FROM documents"""
 
 ORACLE_SQL: dict[str, str] = {
@@ -163,4 +193,25 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, item_id, n_item::BIGINT AS n_item, n_shared::BIGINT AS n_shared, n_shared / n_item AS containment
         FROM hits JOIN n USING (item_id) WHERE n_shared >= 0.75 * n_item
         UNION ALL SELECT doc_id, item_id, 1, 1, 1.0 FROM short""",
+    "op11_ranked_search": rf"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(text, {LETTERS}), '{TERM}') AS w FROM documents WHERE text IS NOT NULL
+        ), own AS (
+            SELECT doc_id, w, len(w) AS n FROM d WHERE len(w) > 0
+        ), total AS (
+            SELECT count(*) AS n_docs, sum(n)::BIGINT AS all_terms FROM own
+        ), b AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, {LETTERS}), '{TERM}')) AS term FROM benchmark
+        ), tf AS (
+            SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM own) WHERE term IN (SELECT term FROM b) GROUP BY ALL
+        ), weight AS (
+            SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM tf, total GROUP BY term
+        ), norm AS (
+            SELECT doc_id, 10 + 90 * n * n_docs // all_terms AS m FROM own, total
+        ), s AS (
+            SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+            FROM b JOIN tf USING (term) JOIN weight USING (term) JOIN norm USING (doc_id) GROUP BY ALL
+        )
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s
+        WHERE score > 0 QUALIFY rank <= 10""",
 }
