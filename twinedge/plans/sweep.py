@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Sequence
 from functools import reduce
 from operator import add
@@ -11,21 +13,32 @@ from pyspark.sql import functions as F
 
 from twinedge.functions.scalar import f1_of, pairs_of, ratio_or_zero
 from twinedge.operators.blocking import pairwise_prf
-from twinedge.operators.components import linked_nodes
+from twinedge.operators.forest import group_statistics, memberships, merge_forest, suffix_sums
 from twinedge.operators.labels import label_candidates
 from twinedge.schema import THRESHOLDS
 from twinedge.scratch import materialise
 
+FEW_THRESHOLDS = 64
 
-def _level(thresholds: Sequence[float]) -> Column:
-    """How many of the ascending thresholds a score reaches; NaN reaches none."""
-    reached = reduce(add, [(F.col("score") >= t).cast("int") for t in thresholds])
-    return F.when(F.isnan("score"), 0).otherwise(reached)
 
+def reached(thresholds: Sequence[float], score: str = "score") -> Column:
+    """How many of the ascending thresholds a score reaches; NaN reaches none.
 
-def _each_reached(df: DataFrame) -> DataFrame:
-    """One row per threshold position below ``level``."""
-    return df.where("level > 0").withColumn("t", F.explode(F.sequence(F.lit(0), F.col("level") - 1)))
+    Few are compared one by one in generated code; more are laid out in about
+    as many shelves as there are on a shelf, so two short scans find the number.
+    """
+    value = F.col(score)
+    if len(thresholds) <= FEW_THRESHOLDS:
+        found = reduce(add, [(value >= t).cast("int") for t in thresholds])
+    else:
+        width = math.isqrt(len(thresholds))
+        shelves = [list(thresholds[k : k + width]) for k in range(0, len(thresholds), width)]
+        heads = F.from_json(F.lit(json.dumps([s[0] for s in shelves])), "array<double>")
+        listed = F.from_json(F.lit(json.dumps(shelves)), "array<array<double>>")
+        full = F.size(F.filter(heads, lambda t: t <= value))
+        last = F.size(F.filter(F.get(listed, full - 1), lambda t: t <= value))
+        found = F.when(full > 0, (full - 1) * width + last).otherwise(0)
+    return F.when(F.isnan(value) | value.isNull(), 0).otherwise(found).cast("int")
 
 
 def threshold_sweep(
@@ -37,77 +50,40 @@ def threshold_sweep(
     """One row per threshold.
 
     ``scored(src, dst, score)``, ``truth(src, dst)``, ``identities(idx, orcid)``
-    with one row per node. All thresholds share the contraction rounds, keyed
-    by ``t``. Nodes without a surviving edge are counted, never listed: they
-    are groups of one, hold no pairs, and their number follows from the total.
+    with one row per node. An edge enters once with the number of thresholds it
+    reaches; the groups of all thresholds are read off one merge tree. Nodes
+    without a surviving edge are counted, never listed: they are groups of one,
+    hold no pairs, and their number follows from the total.
     """
-    thresholds = sorted(set(thresholds))
+    thresholds = sorted({float(t) for t in thresholds})
     labelled = materialise(
-        label_candidates(scored, truth, "correct").select(
-            "src", "dst", "correct", _level(thresholds).alias("level")
-        ),
+        label_candidates(scored, truth, "correct").select("src", "dst", "correct", reached(thresholds).alias("level")),
         "sweep-levels",
     )
-
-    # counted per level first, so no candidate is repeated per threshold here
-    edge_stats = (
-        _each_reached(
-            labelled.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.sum("correct").alias("c"))
-        )
-        .groupBy("t")
-        .agg(F.sum("n").alias("edges"), F.sum("c").alias("right"))
-    )
-
-    # a pair survives as long as its best copy does
-    best = (
-        labelled.where("src <> dst")
-        .groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"))
-        .agg(F.max("level").alias("level"))
-    )
-    members = linked_nodes(_each_reached(best).select("t", "u", "v"), ["t"])
-    cells = (
-        members.join(identities.select("idx", "orcid"), "idx")
-        .groupBy("t", "component", "orcid")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    group_stats = (
-        cells.groupBy("t", "component")
-        .agg(F.sum("n").alias("n"), F.sum(pairs_of("n")).alias("common"))
-        .groupBy("t")
-        .agg(
-            F.count(F.lit(1)).alias("linked_groups"),
-            F.sum("n").alias("linked_nodes"),
-            F.sum(pairs_of("n")).alias("predicted"),
-            F.sum("common").alias("common"),
-        )
-    )
-
+    forest = merge_forest(labelled.select("src", "dst", "level"), len(thresholds))
+    groups = group_statistics(memberships(forest, len(thresholds)), identities, len(thresholds))
+    by_level = labelled.where("level > 0").groupBy("level").agg(F.count(F.lit(1)).alias("edges"), F.sum("correct").alias("right"))
+    edges = suffix_sums(by_level, "level", len(thresholds), "edges", "right")
     # one row of totals, repeated for each threshold
     totals = (
         identities.groupBy("orcid")
         .agg(F.count(F.lit(1)).alias("n"))
         .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("nodes"), F.sum(pairs_of("n")).alias("true"))
     )
-    rows = totals.select(
-        "*", F.posexplode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("t", "threshold")
-    )
-    singles = F.col("nodes") - F.coalesce("linked_nodes", F.lit(0))
+    cuts = F.from_json(F.lit(json.dumps([{"level": k, "threshold": t} for k, t in enumerate(thresholds, 1)])), "array<struct<level:int,threshold:double>>")
+    rows = totals.select("nodes", "true", F.inline(cuts)).join(edges, "level").join(groups, "level")
+    singles = F.col("nodes") - F.col("linked_nodes")
     precision = ratio_or_zero("common", "predicted")
     recall = ratio_or_zero("common", "true")
-    return (
-        rows.join(edge_stats, "t", "left")
-        .join(group_stats, "t", "left")
-        .select(
-            "threshold",
-            F.coalesce("edges", F.lit(0)).alias("edges"),
-            F.try_divide("right", "edges").alias("simrels_accuracy"),
-            (singles + F.coalesce("linked_groups", F.lit(0))).alias("groups"),
-            F.coalesce(F.try_divide(singles, "nodes"), F.lit(0.0)).alias("singleton_fraction"),
-            precision.alias("precision"),
-            recall.alias("recall"),
-        )
-        .withColumn("f1", f1_of("precision", "recall"))
-    )
+    return rows.select(
+        "threshold",
+        "edges",
+        F.try_divide("right", "edges").alias("simrels_accuracy"),
+        (singles + F.col("linked_groups")).alias("groups"),
+        F.coalesce(F.try_divide(singles, "nodes"), F.lit(0.0)).alias("singleton_fraction"),
+        precision.alias("precision"),
+        recall.alias("recall"),
+    ).withColumn("f1", f1_of("precision", "recall"))
 
 
 def threshold_stats(edges: DataFrame, truth: DataFrame, identities: DataFrame, groups: DataFrame) -> DataFrame:
