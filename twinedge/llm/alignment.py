@@ -42,6 +42,12 @@ from twinedge.scratch import materialise
 RUN_CHARS = 1 << 15
 """Pieces are encoded in runs of about this many characters."""
 
+RUNS_AT_ONCE = 8
+"""An encoded run holds some hundred bytes for each id until its ids are copied."""
+
+CHUNK_BYTES = 3 << 20
+"""Texts of a chunk, or one text."""
+
 _SPACE = r"[\s\x0B\x1C-\x1F\x{85}\pZ]"
 ODD = rf"^ | $|{_SPACE} | {_SPACE}|\x{{2581}}"
 """Texts that must be encoded whole."""
@@ -110,10 +116,11 @@ class Tokenizers:
         self.sides = Side.of(tokens_a), Side.of(tokens_b)
 
     def ids(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        b = self.b.encode(texts, num_threads=1)
-        for x, y in zip(a, b):
-            yield np.array(x.ids, np.int64), np.array(y, np.int64)
+        for k in range(0, len(texts), RUNS_AT_ONCE):
+            some = texts[k : k + RUNS_AT_ONCE]
+            a = [np.array(x.ids, np.int64) for x in self.a.encode_batch_fast([" " + t for t in some], add_special_tokens=False)]
+            b = [np.array(y, np.int64) for y in self.b.encode(some, num_threads=1)]
+            yield from zip(a, b)
 
     def lossless(self, text: str, ids: tuple[np.ndarray, np.ndarray]) -> bool:
         whole = b" " + text.encode()
@@ -141,14 +148,14 @@ class Tokenizers:
 
         runs = [np.array(r) for r in runs if r]
         joined = [" ".join([pieces[k] for k in run]) for run in runs]
-        for run, text, ids in zip(runs, joined, self.ids(joined) if joined else ()):
+        for run, text, ids in zip(runs, joined, self.ids(joined)):
             ends = np.cumsum([1 + len(pieces[k].encode()) for k in run])
             upto = [np.cumsum(side.sizes(own)) for side, own in zip(self.sides, ids)]
             if self.lossless(text, ids) and all(np.isin(ends, u, assume_unique=True).all() for u in upto):
                 add(tuple(run[np.searchsorted(ends, u)] for u in upto), ids)
             else:
                 odd.extend(run.tolist())
-        for k, ids in zip(odd, self.ids([pieces[k] for k in odd]) if odd else ()):
+        for k, ids in zip(odd, self.ids([pieces[k] for k in odd])):
             if self.lossless(pieces[k], ids):
                 add(tuple(np.full(len(x), k) for x in ids), ids)
             else:
@@ -261,7 +268,7 @@ def aligned_texts(texts: DataFrame, file_a: str, file_b: str) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizers(file_a, file_b)
         chunk = TaskContext.get().partitionId() << 32
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, size=CHUNK_BYTES):
             order, starts, codes, vocabulary = _pieces(batch.column("text"))
             found = align(tok, vocabulary)
             n, text_of = len(order), np.repeat(np.arange(len(order)), np.diff(starts))
