@@ -107,3 +107,91 @@ def rules(text):
     grams = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
     covered = {k + d for k, g in enumerate(grams) if grams.count(g) > 1 for d in range(3)}
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def terms(text):
+    return TERM.findall((text or "").translate(UPPER))
+
+
+def search(docs, items, k=10):
+    """(item, rank, doc, score) by scoring every document for every item; rows
+    with equal item id are one item."""
+    from collections import Counter
+    from math import floor, log
+
+    own = [(i, Counter(terms(t))) for i, t in docs]
+    own = [(i, c) for i, c in own if c]
+    n_docs, all_terms = len(own), sum(sum(c.values()) for _, c in own)
+    df = Counter(t for _, c in own for t in c)
+    asked = {}
+    for item, text in items:
+        asked.setdefault(item, set()).update(terms(text))
+    out = []
+    for item, wanted in asked.items():
+        scores = []
+        for i, c in own:
+            m = 10 + 90 * sum(c.values()) * n_docs // all_terms
+            s = sum(floor(1000 * log((2 * n_docs + 2) / (2 * df[t] + 1))) * (1000000000 * c[t] // (1000 * c[t] + 8 * m)) for t in wanted if c[t])
+            if s > 0:
+                scores.append((-s, i is None, i or 0, i))
+        out += [(item, rank, i, -s) for rank, (s, _, _, i) in enumerate(sorted(scores)[:k], 1)]
+    return out
+
+
+def tree(text):
+    """(root, pieces as {hash: length}) by the definition of the Merkle tree."""
+    import hashlib
+
+    import regex
+    import xxhash
+
+    section = regex.compile(r"(?<=\n[\x20\t]{0,8}\n)|(?<=\n)(?=[#0-9A-Fa-f])")
+    piece = regex.compile(r"(?<=[^\p{L}\p{N}\x20\t\n][\x20\t])|(?<=[dnry]\x20)")
+
+    def cut(pattern, s):
+        places = sorted({0, len(s), *(m.start() for m in pattern.finditer(s))})
+        return [s[a:b] for a, b in zip(places, places[1:])]
+
+    def digest(s):
+        return hashlib.sha256(s.encode()).hexdigest()
+
+    held, roots = {}, []
+    for part in cut(section, text or ""):
+        lines = cut(regex.compile(r"(?<=\n)"), part)
+        roots.append(digest(",".join(map(digest, lines))))
+        for line in lines:
+            for x in cut(piece, line):
+                held[xxhash.xxh64(x.encode(), seed=42).intdigest() >> 20, len(x)] = len(x)
+    return digest(";".join(roots)), held
+
+
+def likeness(a, b):
+    (root_a, a), (root_b, b) = a, b
+    if root_a == root_b:
+        return 1.0
+    total = sum(a.values()) + sum(b.values())
+    return min(0.999, 2.0 * sum(a[x] for x in a.keys() & b.keys()) / total) if total else 0.0
+
+
+def align(tok, text):
+    """(groups, links) of one text, token by token; None if it has no tokens."""
+    if not text:
+        return None
+    ids = next(tok.ids([text]))
+    if not tok.lossless(text, ids):
+        return None
+    tokens = [[(int(i), int(side.sizes(i))) for i in own] for side, own in zip(tok.sides, ids)]
+    upto, groups, at = [0, 0], [([], [])], [0, 0]
+    while at[0] < len(tokens[0]) or at[1] < len(tokens[1]):
+        side = 0 if upto[0] <= upto[1] and at[0] < len(tokens[0]) else 1
+        i, size = tokens[side][at[side]]
+        groups[-1][side].append(i)
+        upto[side] += size
+        at[side] += 1
+        if upto[0] == upto[1]:
+            groups.append(([], []))
+    groups.pop()
+    return groups, [(a, b) for x, y in groups for a in x for b in y]
