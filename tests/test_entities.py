@@ -3,11 +3,13 @@
 import pytest
 
 from twinedge import __main__ as cli
-from twinedge.operators.embed import formula_weights
+from twinedge.operators.embed import formula_weights, save_weights
 from twinedge.plans.entities import EntityGraph, build_graph, weights_scorer
 from twinedge.plans.fixture import DerivedGraph
 from twinedge.plans.queries import write_raw
+from twinedge.plans.train import stored_scorer
 from twinedge.schema import RAW_DATASETS
+from twinedge.sources.runs import stored_runs
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -37,10 +39,18 @@ def test_raw_to_evaluations(spark, raw_dir, tmp_path, capsys):
 
     model = str(tmp_path / "model")
     common = ["--raw", raw_dir, "--graph", store, "--model", model]
-    cli.main(["train", *common, "--width", "4", "--hidden", "4", "--rounds", "2"])
+    for run, rounds in (("one", "2"), ("two", "1"), ("two", "2")):
+        cli.main(["train", *common, "--width", "4", "--hidden", "4", "--rounds", rounds, "--run", run])
+    assert stored_runs(spark, model) == ["one", "two"]
+    assert all(stored_scorer(spark, model, run).model().weights.size for run in ("one", "two"))
     cli.main(["sweep", *common])
-    cli.main(["inspect", *common])
+    cli.main(["inspect", *common, "--run", "one"])
+    cli.main(["evaluate", *common, "--run", "one"])
     shown = capsys.readouterr().out
+    assert "accuracy" in shown and "loss" in shown
+    save_weights(spark, formula_weights(64, 8), str(tmp_path / "weights"))
+    cli.main(["sweep", "--raw", raw_dir, "--graph", store, "--weights", str(tmp_path / "weights")])
+    assert "singleton_fraction" in capsys.readouterr().out
     assert "valid" in shown and "singleton_fraction" in shown and "balanced_accuracy" in shown
 
 

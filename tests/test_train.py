@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 
 from twinedge.plans import train
+from twinedge.sources import runs
+from twinedge.sources.store import stored_models
 
 
 @pytest.fixture(scope="module")
@@ -44,3 +46,44 @@ def test_means_of_one_and_two_steps(spark):
         expected = [float(i)] * 9
         expected[k], expected[k + 1] = one, two
         assert found[i] == pytest.approx(expected)
+
+
+def test_resumed_run_equals_one_without_cut(spark, vectors, tmp_path):
+    options = {"hidden": 4, "iterations": 5, "patience": 50}
+    root = str(tmp_path)
+    whole = train.train_edge_scorer(vectors, root, "whole", rounds=6, **options)
+    first = train.train_edge_scorer(vectors, root, "cut", rounds=4, **options)
+    kept = first.model_path
+    again = train.train_edge_scorer(vectors, root, "cut", rounds=6, **options)
+
+    def history(t):
+        return {tuple(r)[1:4]: r["value"] for r in t.metrics(spark).collect()}
+
+    assert history(again) == pytest.approx(history(whole), abs=1e-6)
+    assert again.model_path.rsplit("/", 1)[1] == whole.model_path.rsplit("/", 1)[1]
+    # two runs side by side, each with one model; nothing is left to do for either
+    for run in ("whole", "cut"):
+        assert len(stored_models(spark, f"{root}/{run}/models")) == 1
+    assert train.train_edge_scorer(vectors, root, "cut", rounds=6, **options) == again
+    assert runs.stored_runs(spark, root) == ["cut", "whole"]
+    assert train.stored_scorer(spark, root, "whole") == whole
+    assert kept.rsplit("/", 1)[0] == again.model_path.rsplit("/", 1)[0]
+
+
+def test_a_round_is_committed_once(spark, tmp_path):
+    store = runs.RunStore(spark, str(tmp_path), "r")
+    assert store.latest() is None and store.best_model() is None and store.metrics().count() == 0
+    for n in (1, 2, 3, 4):
+        store.commit(runs.RunState(n, 1, [0.5, float(n)], [(k, "valid", "loss", 1.0 / k) for k in range(1, n + 1)]))
+    with pytest.raises(Exception, match="FileAlreadyExists"):
+        store.commit(runs.RunState(4, 1, [9.0], []))
+    latest = store.latest()
+    assert (latest.round, latest.weights, latest.losses()) == (4, [0.5, 4.0], {k: 1.0 / k for k in range(1, 5)})
+    # a state that was written but not committed does not count, nor an empty commit
+    (tmp_path / "r" / "commits" / "5").touch()
+    assert store.committed_round() == 4
+    store.commit(runs.RunState(5, 1, [1.0], []))
+    assert store.latest().weights == [1.0]
+    assert sorted({p.name.split("-")[0] for p in (tmp_path / "r" / "states").iterdir()}) == ["4", "5"]
+    with pytest.raises(FileNotFoundError):
+        train.stored_scorer(spark, str(tmp_path), "other")

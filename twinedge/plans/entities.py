@@ -16,6 +16,7 @@ from twinedge.plans.sweep import threshold_sweep
 from twinedge.schema import AUTHOR, EDGE_TYPES, HIDDEN_WIDTH, NODE_DATASETS, PUBLICATION
 from twinedge.scratch import materialise
 from twinedge.sources import raw
+from twinedge.sources.runs import RunStore
 from twinedge.sources.store import GraphStore
 
 Scorer = Callable[["EntityGraph", DataFrame], DataFrame]
@@ -124,13 +125,22 @@ class EntityGraph:
         return inspection_report(scorer(self, self.edges("similar")), self.edges("equates"), self.authors, **options)
 
     def train(self, root: str, run_id: str, width: int = HIDDEN_WIDTH, **options) -> train.TrainedScorer:
-        """Train on the balanced splits; the reducer is kept next to the models."""
-        reducer = train.fit_reducer(self.features, width)
-        reducer.write().overwrite().save(f"{root}/reducer")
-        nodes = train.node_vectors(self.views, self.features, reducer)
-        vectors = train.training_vectors(self.splits(), nodes)
+        """Train on the balanced splits, in the folder of the run; a run that was
+        cut off goes on with its own reducer."""
+        run = RunStore(self.spark, root, run_id)
+        if not run.committed_round():
+            train.fit_reducer(self.features, width).write().overwrite().save(run.reducer)
+        vectors = self.training_vectors(run)
         return train.train_edge_scorer(vectors, root, run_id, **options)
 
+    def training_vectors(self, run: RunStore) -> DataFrame:
+        nodes = train.node_vectors(self.views, self.features, PipelineModel.load(run.reducer))
+        return train.training_vectors(self.splits(), nodes)
+
+    def evaluate(self, trained: train.TrainedScorer, **options) -> DataFrame:
+        """Loss, accuracy and confusion cells of a trained scorer on split ``test``."""
+        return train.evaluate_edge_scorer(trained, self.training_vectors(trained.run(self.spark)), **options)
+
 
 def weights_scorer(weights: embed.ScorerWeights) -> Scorer:
     """Score by the forward function with given weights."""
@@ -141,7 +151,7 @@ def trained_scorer(trained: train.TrainedScorer) -> Scorer:
     """Score by a trained classifier."""
 
     def score(g: EntityGraph, edges: DataFrame) -> DataFrame:
-        reducer = PipelineModel.load(trained.model_path.rsplit("/models/", 1)[0] + "/reducer")
+        reducer = PipelineModel.load(trained.run(g.spark).reducer)
         nodes = train.node_vectors(g.views, g.features, reducer)
         scored = train.with_scores(trained.model(), train.edge_vectors(edges, nodes))
         return scored.select(*edges.columns, "score")

@@ -18,6 +18,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +27,8 @@ from twinedge.operators.labels import expand_copies
 from twinedge.operators.metrics import bce_term, confusion_counts, hit_term
 from twinedge.schema import CUT_THRESHOLD, EARLY_STOPPING, EPOCHS, HIDDEN_WIDTH, VIEWS
 from twinedge.scratch import materialise
-from twinedge.sources.store import append_metrics, save_model, training_metrics
+from twinedge.sources.runs import RunState, RunStore
+from twinedge.sources.store import save_model, write_model
 
 
 def _as_vectors(features: DataFrame) -> DataFrame:
@@ -75,16 +77,30 @@ def edge_vectors(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 @dataclass
 class TrainedScorer:
+    """The best model of a run."""
+
+    root: str
+    run_id: str
     model_path: str
-    metrics_path: str
+
+    def run(self, spark: SparkSession) -> RunStore:
+        return RunStore(spark, self.root, self.run_id)
 
     def metrics(self, spark: SparkSession) -> DataFrame:
-        return training_metrics(spark, self.metrics_path)
+        return self.run(spark).metrics()
 
     def model(self) -> MultilayerPerceptronClassificationModel:
         return MultilayerPerceptronClassificationModel.load(self.model_path)
 
 
+def stored_scorer(spark: SparkSession, root: str, run_id: str) -> TrainedScorer:
+    """The scorer of a run that was trained before."""
+    path = RunStore(spark, root, run_id).best_model()
+    if path is None:
+        raise FileNotFoundError(f"no trained scorer of run {run_id} in {root}")
+    return TrainedScorer(root, run_id, path)
+
+
 def with_scores(model: MultilayerPerceptronClassificationModel, edges: DataFrame) -> DataFrame:
     """Score every edge: probability of label 1."""
     scored = model.transform(edges)
@@ -107,19 +123,22 @@ def train_edge_scorer(
 
     ``vectors(split, label, features)`` is read once per round. The best round
     has the smallest loss, the latest of equals; training ends when
-    ``patience - 1`` rounds have passed since the best one.
+    ``patience - 1`` rounds have passed since the best one. Every round is
+    committed to the run's folder; a run that exists goes on after its last
+    committed round, with that round's weights and the losses so far.
     """
     spark = vectors.sparkSession
+    run = RunStore(spark, root, run_id)
+    state = run.latest() or RunState(0, 0, [])
     width = vectors.select("features").first()["features"].size
     fit_on = vectors.where("split = 'train'").select(F.col("label").cast("double").alias("label"), "features")
     judged = vectors.where("split <> 'test'")
     trainer = MultilayerPerceptronClassifier(
         layers=[width, hidden, 2], maxIter=iterations, seed=seed, tol=0.0
     )
-    metrics_path = f"{root}/metrics"
-    losses: dict[int, float] = {}
-    kept = ""
-    for round_no in range(1, rounds + 1):
+    if state.round:
+        trainer = trainer.setInitialWeights(Vectors.dense(state.weights))
+    while state.round < rounds and not (state.round and state.round - state.best_round >= patience - 1):
         model = trainer.fit(fit_on)
         trainer = trainer.setInitialWeights(model.weights)
         by_split = (
@@ -128,28 +147,27 @@ def train_edge_scorer(
             .agg(F.avg(bce_term()).alias("loss"), (F.avg(hit_term()) * 100).alias("accuracy"))
             .collect()  # two rows
         )
-        append_metrics(
-            spark,
-            metrics_path,
-            [(run_id, round_no, r["split"], m, float(r[m])) for r in by_split for m in ("loss", "accuracy")],
-        )
-        found = {r["split"]: r["loss"] for r in by_split}
-        if "valid" not in found:
+        round_no = state.round + 1
+        found = [(round_no, r["split"], m, float(r[m])) for r in by_split for m in ("loss", "accuracy")]
+        state = RunState(round_no, state.best_round, model.weights.toArray().tolist(), [*state.history, *found])
+        losses = state.losses()
+        if round_no not in losses:
             raise ValueError("split 'valid' is empty: there is nothing to choose a round by")
-        losses[round_no] = found["valid"]
         if math.isnan(losses[round_no]):
             raise ValueError(f"the loss on split 'valid' is not a number in round {round_no}")
-        best_round = min(losses, key=lambda n: (losses[n], -n))
-        if best_round == round_no:
-            kept = save_model(spark, model, f"{root}/models", round_no)
-        if round_no - best_round >= patience - 1:
-            break
-    return TrainedScorer(kept, metrics_path)
-
-
-def evaluate_edge_scorer(trained: TrainedScorer, vectors: DataFrame, threshold: float = CUT_THRESHOLD) -> DataFrame:
-    """``(metric, value)`` of the best model on split ``test``."""
-    scored = materialise(with_scores(trained.model(), vectors.where("split = 'test'")).select("label", "score"), "test-scores")
+        state.best_round = min(losses, key=lambda n: (losses[n], -n))
+        if state.best_round == round_no:
+            # before the commit that names it; the older ones go after it
+            write_model(model, run.models, round_no)
+        run.commit(state)
+        if state.best_round == round_no:
+            save_model(spark, model, run.models, round_no, written=True)
+    return stored_scorer(spark, root, run_id)
+
+
+def evaluation(scored: DataFrame, threshold: float = CUT_THRESHOLD) -> DataFrame:
+    """``(metric, value)`` of ``scored(label, score)``: loss, accuracy in percent
+    and the four confusion cells."""
     loss = scored.agg(F.avg(bce_term()).alias("loss"), (F.avg(hit_term()) * 100).alias("accuracy"))
     cells = confusion_counts(scored, threshold)
 
@@ -160,6 +178,12 @@ def evaluate_edge_scorer(trained: TrainedScorer, vectors: DataFrame, threshold:
     return long(loss).unionByName(long(cells))
 
 
+def evaluate_edge_scorer(trained: TrainedScorer, vectors: DataFrame, threshold: float = CUT_THRESHOLD) -> DataFrame:
+    """:func:`evaluation` of the best model on split ``test``."""
+    scored = with_scores(trained.model(), vectors.where("split = 'test'")).select("label", "score")
+    return evaluation(materialise(scored, "test-scores"), threshold)
+
+
 def node_vectors(views: DataFrame, features: DataFrame, reducer: PipelineModel) -> DataFrame:
     """``(idx, vec)``: what the classifier sees of a node."""
     width = reducer.stages[0].getK()

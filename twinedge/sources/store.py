@@ -84,14 +84,21 @@ def _filesystem(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
-def save_model(spark: SparkSession, model, root: str, epoch: int) -> str:
+def write_model(model, root: str, epoch: int) -> str:
+    """Save under ``<class>-epoch<n>``; others stay."""
+    path = f"{root}/{type(model).__name__}-epoch{epoch}"
+    model.write().overwrite().save(path)
+    return path
+
+
+def save_model(spark: SparkSession, model, root: str, epoch: int, written: bool = False) -> str:
     """Save under ``<class>-epoch<n>``, then delete the older ones of that class.
 
-    In this order a crash leaves one model too many, never none.
+    In this order a crash leaves one model too many, never none. ``written``
+    says that :func:`write_model` has saved it before.
     """
     prefix = f"{type(model).__name__}-epoch"
-    path = f"{root}/{prefix}{epoch}"
-    model.write().overwrite().save(path)
+    path = f"{root}/{prefix}{epoch}" if written else write_model(model, root, epoch)
     fs, folder = _filesystem(spark, root)
     for status in fs.listStatus(folder):
         name = status.getPath().getName()
