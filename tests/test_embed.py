@@ -51,13 +51,24 @@ def test_neighbour_mean(world):
         np.testing.assert_allclose(dense(found.where(found.view == v), INPUTS), expected, atol=1e-6)
 
 
-def test_wide_vectors_take_the_other_way(world, monkeypatch):
+@pytest.mark.parametrize("block", [1, 4, 5, 6])
+def test_blocks_of_any_size(world, monkeypatch, block):
+    """Also where the last block is shorter."""
     x, weight, views, vectors = world
-    narrow = embed.neighbour_mean(views, vectors, INPUTS)
-    monkeypatch.setattr(embed, "MAX_COLUMNS", 1)
-    wide = embed.neighbour_mean(views, vectors.withColumn("vec", vectors.vec.cast("array<double>")), INPUTS)
-    v = next(iter(VIEWS))
-    np.testing.assert_allclose(dense(narrow.where(narrow.view == v), INPUTS), dense(wide.where(wide.view == v), INPUTS), atol=1e-9)
+    monkeypatch.setattr(embed, "BLOCK", block)
+    found = embed.neighbour_mean(views, vectors, INPUTS)
+    for v in VIEWS:
+        expected = weight[v] @ x / weight[v].sum(axis=1, keepdims=True)
+        np.testing.assert_allclose(dense(found.where(found.view == v), INPUTS), expected, atol=1e-6)
+
+
+def test_wide_sums_are_generated_code(world):
+    """No object aggregate, however wide the vectors are."""
+    _, _, views, vectors = world
+    wide = embed.neighbour_mean(views, vectors, 768)
+    plan = wide._jdf.queryExecution().optimizedPlan().toString()
+    physical = wide._jdf.queryExecution().sparkPlan().toString()
+    assert "Summarizer" not in plan and "HashAggregate(keys=[view" in physical and "block" in physical
 
 
 def test_forward(spark, world):

@@ -8,13 +8,11 @@ they are shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,53 +119,73 @@ def _lists(matrix: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.astype(np.float32).ravel()))
 
 
-MAX_COLUMNS = 128
-VECTOR_ROWS = "view string, idx bigint, vec array<float>"
+BLOCK = 64
+"""Numbers in a block of a vector, whatever its length."""
 
 
-def _project(nodes: DataFrame, maps: Mapping[str, Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
-    """``(view, idx, vec)`` with the map of each view applied to the vectors.
+def _project(nodes: DataFrame, maps: Mapping[str, Sequence[Callable[[np.ndarray], np.ndarray]]]) -> DataFrame:
+    """``(view, idx, v0, v1, ...)``: the maps of each view applied to the vectors
+    in one pass.
 
     ``nodes`` is ``(idx, vec)``, used for every view, or ``(view, idx, vec)``.
     """
     by_view = "view" in nodes.columns
+    names = [f"v{k}" for k in range(len(next(iter(maps.values()))))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             views = np.array(batch.column("view").to_pylist()) if by_view else None
-            for view, apply in maps.items():
+            for view, applied in maps.items():
                 part = batch.filter(pa.array(views == view)) if by_view else batch
                 if part.num_rows == 0:
                     continue
+                vectors = _matrix(part.column("vec"))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([view] * part.num_rows),
-                        part.column("idx"),
-                        _lists(apply(_matrix(part.column("vec")))),
-                    ],
-                    ["view", "idx", "vec"],
+                    [pa.array([view] * part.num_rows), part.column("idx"), *[_lists(apply(vectors)) for apply in applied]],
+                    ["view", "idx", *names],
                 )
 
-    return nodes.mapInArrow(run, VECTOR_ROWS)
+    return nodes.mapInArrow(run, ", ".join(["view string", "idx bigint", *[f"{n} array<float>" for n in names]]))
+
+
+def blocked(rows: DataFrame, width: int) -> DataFrame:
+    """``rows`` with one row per block of ``BLOCK`` numbers of ``vec``, numbered
+    by ``block``; the last block may be shorter."""
+    parts = F.transform(F.sequence(F.lit(0), F.lit(_blocks(width) - 1)), lambda b: F.slice("vec", b * BLOCK + 1, BLOCK))
+    return rows.select(*[c for c in rows.columns if c != "vec"], F.posexplode(parts).alias("block", "vec"))
+
+
+def assembled(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """``(keys, vec)`` from blocks."""
+    if _blocks(width) == 1:
+        return rows.select(*keys, F.slice("vec", 1, width).alias("vec"))
+    parts = F.sort_array(F.collect_list(F.struct("block", "vec")))
+    return rows.groupBy(*keys).agg(F.slice(F.flatten(parts["vec"]), 1, width).alias("vec"))
+
+
+def _blocks(width: int) -> int:
+    return max(1, -(-width // BLOCK))
 
 
 def weighted_sum(rows: DataFrame, keys: list[str], weight: str, width: int, mean: bool = False) -> DataFrame:
-    """``(keys, vec)``: sum (or mean) of ``weight * vec`` over the rows of a key.
+    """``(keys, vec)``: sum (or mean) of ``weight * vec`` over the rows of a key."""
+    return _summed(blocked(rows, width), keys, weight, width, mean)
+
+
+def _summed(blocks: DataFrame, keys: list[str], weight: str, width: int, mean: bool) -> DataFrame:
+    """As :func:`weighted_sum`, of rows that are blocked already.
 
-    Each key holds a buffer of plain doubles: a hash aggregate that
-    combines map-side and spills. Vectors too wide for generated code go
-    through ML's summarizer, which does the same on objects.
+    Each key and block holds a buffer of plain doubles: a hash aggregate in
+    generated code that combines map-side and spills, the same for any width.
     """
     w = F.col(weight).cast("double")
-    if width > MAX_COLUMNS:
-        summary = Summarizer.mean if mean else Summarizer.sum
-        return rows.groupBy(*keys).agg(vector_to_array(summary(array_to_vector("vec"), w)).alias("vec"))
-    cells = [F.sum(w * F.element_at("vec", i + 1)).alias(f"_{i}") for i in range(width)]
-    sums = rows.groupBy(*keys).agg(F.sum(w).alias("_w"), *cells)
+    cells = [F.sum(w * F.get("vec", F.lit(i))).alias(f"_{i}") for i in range(min(width, BLOCK))]
+    sums = blocks.groupBy(*keys, "block").agg(F.sum(w).alias("_w"), *cells)
     by = F.col("_w") if mean else F.lit(1.0)
-    return sums.select(*keys, F.array(*[F.col(f"_{i}") / by for i in range(width)]).alias("vec"))
+    vectors = sums.select(*keys, "block", F.array(*[F.col(f"_{i}") / by for i in range(min(width, BLOCK))]).alias("vec"))
+    return assembled(vectors, keys, width)
 
 
 # ---- layers --------------------------------------------------------------
@@ -175,12 +193,13 @@ def weighted_sum(rows: DataFrame, keys: list[str], weight: str, width: int, mean
 def neighbour_mean(views: DataFrame, features: DataFrame, width: int) -> DataFrame:
     """``(view, idx, vec)``: weighted mean of the vectors at the sources of the
     edges into a node. ``features`` is ``(idx, vec)``, the same for every view,
-    or ``(view, idx, vec)``; ``width`` is the length of the vectors. Sums
-    combine map-side, so a node with very many edges is no bottleneck."""
-    at_src = features.withColumnRenamed("idx", "src")
+    or ``(view, idx, vec)``; ``width`` is the length of the vectors. Vectors
+    travel in blocks. Sums combine map-side, so a node with very many edges is
+    no bottleneck."""
+    at_src = blocked(features.withColumnRenamed("idx", "src"), width)
     on = [c for c in ("view", "src") if c in at_src.columns]
-    messages = views.join(at_src, on).select("view", F.col("dst").alias("idx"), "w", "vec")
-    return weighted_sum(messages, ["view", "idx"], "w", width, mean=True)
+    messages = views.join(at_src, on).select("view", F.col("dst").alias("idx"), "w", "block", "vec")
+    return _summed(messages, ["view", "idx"], "w", width, mean=True)
 
 
 def mean_shares(views: DataFrame) -> DataFrame:
@@ -196,20 +215,21 @@ def sage_layer(
 ) -> DataFrame:
     """One convolution for all views: own(h) + mean of near(h) over neighbours.
 
-    The own part joins the sum as one more row of weight 1, which saves a
-    second join with the wide vectors.
+    Both parts come from one pass over the nodes. The own part joins as one more
+    edge of weight 1 from the node to itself, so one join with the wide vectors
+    serves both.
     """
 
     def after_relu(lin: Linear):
         return (lambda x: lin(np.maximum(x, 0.0))) if relu_first else lin
 
-    near = _project(nodes, {v: after_relu(layer.near) for v, layer in layers.items()})
-    own = _project(nodes, {v: after_relu(layer.own) for v, layer in layers.items()})
-    messages = (
-        shares.join(near.withColumnRenamed("idx", "src"), ["view", "src"])
-        .select("view", F.col("dst").alias("idx"), "share", "vec")
+    both = _project(nodes, {v: (after_relu(layer.near), after_relu(layer.own)) for v, layer in layers.items()})
+    each = nodes.select("view", "idx") if "view" in nodes.columns else nodes.select(F.explode(F.array(*[F.lit(v) for v in layers])).alias("view"), "idx")
+    selves = each.select("view", F.col("idx").alias("src"), F.col("idx").alias("dst"), F.lit(1.0).alias("share"), F.lit(True).alias("self"))
+    edges = shares.select("view", "src", "dst", "share", F.lit(False).alias("self")).unionByName(selves)
+    rows = edges.join(both.withColumnRenamed("idx", "src"), ["view", "src"]).select(
+        "view", F.col("dst").alias("idx"), "share", F.when(F.col("self"), F.col("v1")).otherwise(F.col("v0")).alias("vec")
     )
-    rows = messages.unionByName(own.withColumn("share", F.lit(1.0)))
     width = max(len(layer.own.bias) for layer in layers.values())
     return weighted_sum(rows, ["view", "idx"], "share", width)
 
@@ -274,8 +294,10 @@ def edge_scores(edges: DataFrame, nodes: DataFrame, weights: ScorerWeights) -> D
     as_dst = Linear(weights.hidden.weight[:, h:], weights.hidden.bias)
     out = weights.output
 
-    def half(lin: Linear, key: str, name: str) -> DataFrame:
-        return _project(nodes, {"": lin}).select(F.col("idx").alias(key), F.col("vec").alias(name))
+    # one pass over the nodes; each join reads the half it needs
+    halves = materialise(_project(nodes, {"": (as_src, as_dst)}), "halves")
+    at_src = halves.select(F.col("idx").alias("src"), F.col("v0").alias("_a"))
+    at_dst = halves.select(F.col("idx").alias("dst"), F.col("v1").alias("_b"))
 
     @F.arrow_udf("double")
     def score(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -285,8 +307,8 @@ def edge_scores(edges: DataFrame, nodes: DataFrame, weights: ScorerWeights) -> D
         return pa.array(1.0 / (1.0 + np.exp(-logit)))
 
     return (
-        edges.join(half(as_src, "src", "_a"), "src")
-        .join(half(as_dst, "dst", "_b"), "dst")
+        edges.join(at_src, "src")
+        .join(at_dst, "dst")
         .withColumn("score", score("_a", "_b"))
         .drop("_a", "_b")
     )
@@ -295,9 +317,7 @@ def edge_scores(edges: DataFrame, nodes: DataFrame, weights: ScorerWeights) -> D
 def score_candidates(edges: DataFrame, views: DataFrame, features: DataFrame, weights: ScorerWeights) -> DataFrame:
     """The whole forward function: candidate edges to scores."""
     h = view_embeddings(mean_shares(views), features, weights)
-    # small, and read by both halves
-    nodes = materialise(node_embeddings(h, weights.width), "node-embeddings")
-    return edge_scores(edges, nodes, weights)
+    return edge_scores(edges, node_embeddings(h, weights.width), weights)
 
 
 def cosine_scores(edges: DataFrame, features: DataFrame) -> DataFrame:
