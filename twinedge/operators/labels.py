@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from twinedge.operators.ordering import dense_index, running_total
 from twinedge.schema import TRAIN_RATIO, VALID_RATIO
+from twinedge.scratch import materialise
 
 
 def label_candidates(candidates: DataFrame, truth: DataFrame, out: str = "label") -> DataFrame:
@@ -98,6 +99,50 @@ def edge_splits(
     )
 
 
+def grouped_splits(
+    labelled: DataFrame, train_ratio: float = TRAIN_RATIO, valid_ratio: float = VALID_RATIO
+) -> DataFrame:
+    """``(split, label, src, dst, copies)`` as :func:`edge_splits`, but with all
+    edges between two nodes (both directions, all copies, both labels) in one split.
+
+    Groups that hold a right edge come first: in the order of a hash they fill
+    the splits' shares of right edges, a group going where its first right edge
+    falls. The wrong edges they bring count, and groups of wrong edges alone
+    fill up what is missing. At each cut a class exceeds its share by less than
+    one group (and by what mixed groups bring, if that is more).
+    """
+    pair = [F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")]
+    groups = materialise(
+        labelled.groupBy(*pair)
+        .agg(F.count_if(F.col("label") == 1).alias("right"), F.count_if(F.col("label") == 0).alias("wrong"))
+        .withColumn("draw", F.md5(F.concat_ws("|", "a", "b"))),
+        "pair-groups",
+    )
+    sums = groups.agg(F.sum("right").alias("right"), F.sum("wrong").alias("wrong")).first()
+    m = min(sums["right"] or 0, sums["wrong"] or 0)
+    cuts = [0, int(train_ratio * m), int((train_ratio + valid_ratio) * m), m]
+    names = ("train", "valid", "test")
+
+    def placed(rows: DataFrame, amount: str, bounds: list[int]) -> DataFrame:
+        split = F.lit(None).cast("string")
+        for name, lo, hi in reversed(list(zip(names, bounds, bounds[1:]))):
+            split = F.when((F.col("first") >= lo) & (F.col("first") < hi), F.lit(name)).otherwise(split)
+        ranked = running_total(rows, ["draw", "a", "b"], amount, "first")
+        return ranked.withColumn("split", split).where("split IS NOT NULL").select("a", "b", "wrong", "split")
+
+    mixed = materialise(placed(groups.where("right > 0"), "right", cuts), "groups-with-right")
+    brought = {r["split"]: r["n"] for r in mixed.groupBy("split").agg(F.sum("wrong").alias("n")).collect()}  # three rows
+    upto = [0]
+    for name, lo, hi in zip(names, cuts, cuts[1:]):
+        upto.append(upto[-1] + max(0, hi - lo - brought.get(name, 0)))
+    rest = placed(groups.where("right = 0"), "wrong", upto)
+    assigned = mixed.unionByName(rest).select("a", "b", "split")
+    edges = labelled.groupBy("label", "src", "dst").agg(F.count(F.lit(1)).alias("copies"))
+    return edges.withColumns({"a": F.least("src", "dst"), "b": F.greatest("src", "dst")}).join(assigned, ["a", "b"]).select(
+        "split", "label", "src", "dst", "copies"
+    )
+
+
 def split_leakage(splits: DataFrame) -> DataFrame:
     """``(a, b, first_split, last_split, copies)``: unordered pairs whose edges
     are in more than one split, in either direction."""

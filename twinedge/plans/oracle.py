@@ -87,6 +87,21 @@ CTES = {
     "split": """SELECT label, src, dst, CASE WHEN r < floor(CAST(0.6 AS DOUBLE) * m) THEN 'train'
               WHEN r < floor((CAST(0.6 AS DOUBLE) + CAST(0.2 AS DOUBLE)) * m) THEN 'valid' ELSE 'test' END AS split
               FROM ranked WHERE r < m""",
+    "both_bag": """SELECT s.src, s.dst, least(s.src, s.dst) AS a, greatest(s.src, s.dst) AS b, CASE WHEN EXISTS (SELECT 1 FROM equates e
+              WHERE e.src = s.src AND e.dst = s.dst) THEN 1 ELSE 0 END AS label
+              FROM (SELECT * FROM similar_edges UNION ALL SELECT * FROM similar_edges WHERE src % 7 = 0
+                    UNION ALL SELECT dst, src FROM similar_edges WHERE src % 5 = 0) s""",
+    "pair_group": """SELECT a, b, md5(a || '|' || b) AS draw, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM both_bag GROUP BY a, b""",
+    "cut_at": """SELECT m, CAST(floor(CAST(0.6 AS DOUBLE) * m) AS BIGINT) AS c1, CAST(floor((CAST(0.6 AS DOUBLE) + CAST(0.2 AS DOUBLE)) * m) AS BIGINT) AS c2
+              FROM (SELECT least(sum(pos), sum(neg))::BIGINT AS m FROM pair_group)""",
+    "pos_split": """SELECT a, b, neg, CASE WHEN before < c1 THEN 'train' WHEN before < c2 THEN 'valid' ELSE 'test' END AS split FROM cut_at,
+              (SELECT *, sum(pos) OVER (ORDER BY draw, a, b) - pos AS before FROM pair_group WHERE pos > 0) WHERE before < m""",
+    "neg_cut": """SELECT greatest(0, c1 - coalesce(sum(neg) FILTER (split = 'train'), 0)) AS q1, greatest(0, c2 - c1 - coalesce(sum(neg) FILTER (split = 'valid'), 0)) AS q2,
+              greatest(0, m - c2 - coalesce(sum(neg) FILTER (split = 'test'), 0)) AS q3 FROM cut_at LEFT JOIN pos_split ON true GROUP BY m, c1, c2""",
+    "neg_split": """SELECT a, b, CASE WHEN before < q1 THEN 'train' WHEN before < q1 + q2 THEN 'valid' ELSE 'test' END AS split FROM neg_cut,
+              (SELECT *, sum(neg) OVER (ORDER BY draw, a, b) - neg AS before FROM pair_group WHERE pos = 0) WHERE before < q1 + q2 + q3""",
+    "whole_split": """SELECT split, label, src, dst FROM both_bag JOIN (SELECT a, b, split FROM pos_split UNION ALL SELECT a, b, split FROM neg_split) USING (a, b)""",
+    "tested": "SELECT t.label, score FROM split t JOIN scored USING (src, dst) WHERE split = 'test'",
     "colleague": _path("coprojected"),
     "citation": _path("cites"),
     "view_edges": " UNION ALL ".join(
@@ -218,6 +233,7 @@ SQL = {
     ),
     "model_store_roundtrip": "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS differing, CAST(1 AS BIGINT) AS models_kept FROM embeddings",
     "train_edge_scorer": "SELECT true AS kept_is_best, true AS loss_fell, true AS stopped_in_time",
+    "resumed_run": "SELECT CAST(unnest(range(1, 7)) AS INTEGER) AS epoch, CAST(4 AS BIGINT) AS metrics, CAST(0 AS BIGINT) AS differing, true AS same_model",
     "training_metrics": "SELECT CAST(0 AS BIGINT) AS incomplete, true AS from_one, true AS no_gap",
     "evaluate_edge_scorer": """WITH c AS (SELECT count(*) FILTER (e.src IS NOT NULL) AS pos, count(*) FILTER (e.src IS NULL) AS neg
           FROM similar_edges s LEFT JOIN (SELECT DISTINCT src, dst FROM equates) e ON e.src = s.src AND e.dst = s.dst)
@@ -338,6 +354,16 @@ SQL = {
         UNION ALL SELECT 'inferred wrong', src || '-' || dst, score, source, target FROM ({_extremes("score < 0.35")})""",
     "global_index": "SELECT c_custkey AS idx, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS position FROM customer",
     "balanced_edges": f"{_GROUPED_BAG} FROM ranked WHERE r < m GROUP BY ALL",
+    "grouped_splits": "SELECT split, label, src, dst, count(*) AS copies FROM whole_split GROUP BY ALL",
+    "grouped_split_sizes": "SELECT split, label, count(*) AS edges FROM whole_split GROUP BY ALL",
+    "grouped_split_leakage": """SELECT least(src, dst) AS a, greatest(src, dst) AS b, min(split) AS first_split, max(split) AS last_split, count(*) AS copies
+        FROM whole_split GROUP BY 1, 2 HAVING min(split) <> max(split)""",
+    "evaluate_test_split": """SELECT unnest(['loss', 'accuracy', 'tn', 'fp', 'fn', 'tp']) AS metric, unnest([
+          round(avg(-(label * CASE WHEN score <= 0 THEN -100 ELSE greatest(ln(score), -100) END
+            + (1 - label) * CASE WHEN score >= 1 THEN -100 ELSE greatest(ln(1 - score), -100) END)), 6),
+          round(avg(CASE WHEN round_even(score, 0) = label THEN 1 ELSE 0 END) * 100, 6),
+          CAST(count(*) FILTER (label = 0 AND NOT score > 0.5) AS DOUBLE), count(*) FILTER (label = 0 AND score > 0.5),
+          count(*) FILTER (label = 1 AND NOT score > 0.5), count(*) FILTER (label = 1 AND score > 0.5)]) AS value FROM tested""",
     "edge_splits": "SELECT split, label, src, dst, count(*) AS copies FROM split GROUP BY ALL",
     "split_sizes": "SELECT split, label, count(*) AS edges FROM split GROUP BY ALL",
     "negative_edges": """SELECT src, dst, draw, ('0x' || substr(md5(src || '|' || dst || '|' || draw || '|0'), 1, 15))::BIGINT % n AS neg_dst
@@ -371,8 +397,8 @@ SQL = {
         SELECT view, idx, round(max(x) FILTER (pos = 1), 6) AS first, round(sum(x), 4) AS total, round(sum(x * pos), 2) AS placed FROM m GROUP BY view, idx""",
     "neighbour_mean_wide": """WITH m AS (SELECT view, dst AS idx, pos, sum(w * feat[pos]) / sum(w) AS x
           FROM views JOIN feats ON feats.idx = src CROSS JOIN (SELECT unnest(range(1, 65)) AS pos) GROUP BY view, dst, pos)
-        SELECT view, idx, round(max(x) FILTER (pos = 1), 6) AS first, round(10 * sum(x), 4) AS total,
-          round(sum(x * (10 * pos + 64 * 20)), 2) AS placed FROM m GROUP BY view, idx""",
+        SELECT view, idx, round(max(x) FILTER (pos = 1), 6) AS first, round(78 * sum(x), 4) AS total,
+          round(sum(x * (78 * pos + 64 * 572)), 2) AS placed FROM m GROUP BY view, idx""",
     "sage_layer": "SELECT view, idx, round(max(h) FILTER (i = 0), 6) AS first, round(sum(h), 4) AS total, round(sum(h * (i + 1)), 2) AS placed FROM h1 GROUP BY view, idx",
     "view_embeddings": """SELECT view, idx, round(max(h) FILTER (i = 0), 6) AS first, round(sum(h), 4) AS total, round(sum(h * (i + 1)), 2) AS placed
         FROM h2 WHERE i < 8 GROUP BY view, idx""",

@@ -522,6 +522,37 @@ def _(g):
     return labels.split_leakage(labels.edge_splits(candidates_with_copies(g)))
 
 
+def candidates_both_ways(g: DerivedGraph) -> DataFrame:
+    """Candidates with copies, and some of them in the other direction as well."""
+    edges = g.similar
+    again = edges.where("src % 5 = 0").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return labels.label_candidates(edges.unionByName(edges.where("src % 7 = 0")).unionByName(again), g.equates)
+
+
+@query("grouped_splits")
+def _(g):
+    return labels.grouped_splits(candidates_both_ways(g))
+
+
+@query("grouped_split_sizes")
+def _(g):
+    return labels.split_sizes(labels.grouped_splits(candidates_both_ways(g)))
+
+
+@query("grouped_split_leakage")
+def _(g):
+    """No pair is in two splits."""
+    return labels.split_leakage(labels.grouped_splits(candidates_both_ways(g)))
+
+
+@query("evaluate_test_split")
+def _(g):
+    """Loss, accuracy and confusion cells of the cosine scores on the test split."""
+    tested = labels.edge_splits(candidates_with_copies(g)).where("split = 'test'")
+    scored = labels.expand_copies(tested.join(plain(sim_scored(g)), ["src", "dst"]))
+    return train.evaluation(materialise(scored.select("label", "score"), "test-scores"))
+
+
 @query("edge_splits")
 def _(g):
     return labels.edge_splits(candidates_with_copies(g))
@@ -635,11 +666,11 @@ def _(g):
 
 @query("neighbour_mean_wide")
 def _(g):
-    """Vectors of 256: the features four times, times 1 to 4; too wide for
-    generated sums, so this runs the path that wide features take."""
-    blocks = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.transform("feat", lambda x: x * k))
+    """Vectors of 768, as in the original experiments: the features twelve
+    times, times 1 to 12."""
+    blocks = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda k: F.transform("feat", lambda x: x * k))
     wide = g.author_features.select("idx", F.flatten(blocks).alias("vec"))
-    return vector_digest(embed.neighbour_mean(graph.author_views(path_edges(g), g.authors), wide, 256), "view", "idx")
+    return vector_digest(embed.neighbour_mean(views(g), wide, 768), "view", "idx")
 
 
 def node_vectors(g: DerivedGraph) -> DataFrame:
@@ -680,14 +711,38 @@ def _(g):
     return embed.score_candidates(g.similar, views(g), node_vectors(g), small_weights())
 
 
-def trained(g: DerivedGraph) -> tuple[train.TrainedScorer, DataFrame]:
+def training_table(g: DerivedGraph) -> DataFrame:
     splits = labels.edge_splits(labels.label_candidates(g.similar, g.equates))
     reducer = train.fit_reducer(node_vectors(g), 8)
-    vectors = train.training_vectors(splits, train.node_vectors(views(g), node_vectors(g), reducer))
+    return train.training_vectors(splits, train.node_vectors(views(g), node_vectors(g), reducer))
+
+
+def trained(g: DerivedGraph) -> tuple[train.TrainedScorer, DataFrame]:
+    vectors = training_table(g)
     root = new_path(g.spark, "training")
     return train.train_edge_scorer(vectors, root, "run", hidden=16, rounds=12, iterations=10, patience=3), vectors
 
 
+@query("resumed_run")
+def _(g):
+    """A run cut off after three rounds and taken up again, next to one without
+    the cut: metrics of each round, those that differ, and whether both keep the
+    same round's model."""
+    vectors, root = training_table(g), new_path(g.spark, "training")
+    options = {"hidden": 8, "iterations": 5, "patience": 100}
+    whole = train.train_edge_scorer(vectors, root, "whole", rounds=6, **options)
+    train.train_edge_scorer(vectors, root, "cut", rounds=3, **options)
+    again = train.train_edge_scorer(vectors, root, "cut", rounds=6, **options)
+    same = whole.model_path.rsplit("/", 1)[1] == again.model_path.rsplit("/", 1)[1]
+    keys = ["epoch", "split", "metric"]
+    other = again.metrics(g.spark).select(*keys, F.col("value").alias("resumed"))
+    both = whole.metrics(g.spark).join(other, keys, "full")
+    differs = F.coalesce(F.abs(F.col("value") - F.col("resumed")) > 1e-6, F.lit(True))
+    return both.groupBy("epoch").agg(
+        F.count(F.lit(1)).alias("metrics"), F.count_if(differs).alias("differing"), F.lit(same).alias("same_model")
+    )
+
+
 @query("train_edge_scorer")
 def _(g):
     """Facts that hold for every run: the kept round has the smallest loss, the
