@@ -57,6 +57,22 @@ def test_column_generation_is_near_the_bound():
     assert big.sequences == 51
 
 
+def test_words_encoded_in_runs(corpus, monkeypatch):
+    """As one by one, also for signs, apostrophes, accents and other scripts, and
+    after words had to be forgotten."""
+    import pyarrow as pa
+
+    odd = ["don't", "a.b", "x!?", "É", "ÉTÉ,", "漢字", "3rd", "a1", "--", "it's.", "ﬁn", "e\u0301", "x-y", "naïve.", "<|endoftext|>", "\x1c", "A" * 300]
+    own = tokens.WordTokenizer(tokens.default_file())
+    monkeypatch.setattr(tokens, "RUN_WORDS", 7)
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 60)
+    plain = _tokenizer()
+    for texts in ([" ".join(odd)], [t or "" for _, t in corpus], [" ".join(reversed(odd)), odd[0]]):
+        for text in texts:
+            ids, starts = own.encode(pa.array([text]))
+            assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids + [tokens.END]
+
+
 # 2 quality rules
 
 def test_rules(docs, corpus):
@@ -255,7 +271,7 @@ def test_rollup(spark, docs, corpus):
     read = lambda: {(r["source"], r["lang"], r["tokenizer"]): r["n_tokens"] for r in total.totals().collect() if r["n_tokens"]}
     assert read() == expected()
     total.compact()
-    assert read() == expected() and total.batches() == ["one", "three", "two"]
+    assert read() == expected() and sorted(r["batch"] for r in total.batches().collect()) == ["one", "three", "two"]
     assert not total.commit("two", rollup.deletes(gone)) and read() == expected()
     total.commit("four", rollup.inserts(gone))
     total.compact()
@@ -264,6 +280,54 @@ def test_rollup(spark, docs, corpus):
         total.commit("a/b", rollup.inserts(gone))
 
 
+def test_rollup_commit_during_compaction(spark, docs, monkeypatch):
+    """What is committed between the listing and the fold counts once, also when
+    it is folded later."""
+    counts = rollup.document_counts(docs, "v1").cache()
+    path = new_path(spark, "rollup")
+    total, other = rollup.Rollup(spark, path), rollup.Rollup(spark, path)
+    total.commit("one", rollup.inserts(counts.where("doc_id < 10")))
+    fold = total._sum
+
+    def late(names, base):
+        other.commit("two", rollup.inserts(counts.where("doc_id >= 10 AND doc_id < 15")))
+        return fold(names, base)
+
+    monkeypatch.setattr(total, "_sum", late)
+    total.compact()
+    monkeypatch.undo()
+    docs_and_tokens = lambda: tuple(total.totals().agg(F.sum("n_docs"), F.sum("n_tokens")).first())
+    expected = (15, counts.where("doc_id < 15").agg(F.sum("n_tokens")).first()[0])
+    assert docs_and_tokens() == expected
+    assert not other.commit("one", rollup.inserts(counts)) and not total.commit("two", rollup.inserts(counts))
+    for _ in range(3):
+        total.compact()
+        assert docs_and_tokens() == expected
+    assert len(total._names("compacted")) == 2 and not total._names("batches")
+
+
+def test_rollup_two_writers_of_one_batch(spark, docs, monkeypatch):
+    """Both find the batch missing; one commits, the other's table is never read."""
+    counts = rollup.document_counts(docs, "v1").cache()
+    path = new_path(spark, "rollup")
+    first, second = rollup.Rollup(spark, path), rollup.Rollup(spark, path)
+    publish = first._publish
+
+    def overtaken(folder, file):
+        assert second.commit("b", rollup.inserts(counts.where("doc_id < 3")))
+        return publish(folder, file)
+
+    monkeypatch.setattr(first, "_publish", overtaken)
+    assert not first.commit("b", rollup.inserts(counts.where("doc_id < 9")))
+    assert second.totals().agg(F.sum("n_docs")).first()[0] == 3
+    # a commit file without content was cut off: the batch is not there
+    folder = path.removeprefix("file://")
+    with open(f"{folder}/batches/c", "w"):
+        pass
+    assert not second.committed("c") and second.commit("c", rollup.inserts(counts.where("doc_id = 3")))
+    assert second.totals().agg(F.sum("n_docs")).first()[0] == 4
+
+
 def test_rollup_odd_rows(odd, nothing):
     assert rollup.document_counts(odd, "v").count() == 7 and rollup.document_counts(nothing, "v").count() == 0
 
