@@ -27,7 +27,7 @@ def build_graph(
 ) -> tuple[dict[str, DataFrame], DataFrame, dict[str, DataFrame]]:
     """``(nodes, edges, reports)`` of the ten raw datasets, checked for soundness.
 
-    The reports are ``quarantine`` (dataset, line), ``unresolved`` (dataset,
+    The reports are ``quarantine`` (dataset, line, reason), ``unresolved`` (dataset,
     src_id, dst_id) and ``drops`` (dataset, malformed, unknown_src, unknown_dst).
     More than ``tolerance`` malformed lines and unresolved edges are an error.
     """
@@ -59,8 +59,12 @@ def build_graph(
     lost = {r["dataset"]: tuple(r)[1:] for r in drops.select("dataset", "malformed", "unknown_src", "unknown_dst").collect() if any(tuple(r)[1:])}
     if sum(map(sum, lost.values())) > tolerance:
         raise ValueError(f"more than {tolerance} lines or edges are unusable; (malformed, unknown source, unknown destination) by dataset: {lost}")
-    quarantine = [raw.quarantine(rows).select(F.lit(NODE_DATASETS[t]).alias("dataset"), "line") for t, rows in parsed.items()]
-    quarantine.append(marked.where("line IS NOT NULL").select(dataset.alias("dataset"), "line"))
+    # the few lines set aside are read once more, for the reason
+    quarantine = [
+        raw.node_faults(raw.quarantine(rows).withColumnRenamed("line", "value")).select(F.lit(NODE_DATASETS[t]).alias("dataset"), "line", "reason")
+        for t, rows in parsed.items()
+    ]
+    quarantine.append(marked.where("line IS NOT NULL").select(dataset.alias("dataset"), "line", F.lit("no tuple").alias("reason")))
     reports = {
         "quarantine": reduce(DataFrame.unionByName, quarantine),
         "unresolved": marked.where("line IS NULL AND (src IS NULL OR dst IS NULL)").select(dataset.alias("dataset"), "src_id", "dst_id"),

@@ -217,6 +217,9 @@ SQL = {
     "scan_publications": """SELECT o_orderkey AS idx, 'p' || o_orderkey AS id, CAST(len(embedding) AS INTEGER) AS width,
         round(CAST(embedding[-1] AS DOUBLE), 4) AS last_feat FROM orders CROSS JOIN par JOIN embeddings ON vec_id = o_orderkey % v""",
     "quarantined_lines": """SELECT '(''{"id": "' || id || '"'', ' AS line FROM author WHERE idx % 40 = 0""",
+    "quarantine_reasons": """SELECT CASE idx % 11 WHEN 1 THEN 'no tuple' WHEN 2 THEN 'bad JSON' WHEN 3 THEN 'no object' WHEN 4 THEN 'no id'
+          ELSE 'index out of range' END AS reason, count(*) AS lines FROM author WHERE idx % 11 BETWEEN 1 AND 7 GROUP BY 1""",
+    "label_sketches": """SELECT c_mktsegment, count(*) AS rows, count(DISTINCT block) AS blocks, true AS within_2_percent FROM author GROUP BY 1""",
     "scan_edges": _raw("writes"),
     "author_orcids": "SELECT idx, orcid FROM gapped",
     "dataset_completeness": "SELECT 'authors' AS dataset, true AS ok, count(*) + count(*) FILTER (idx % 40 = 0) AS rows FROM author"
@@ -392,6 +395,7 @@ SQL = {
     "view_with_self_loops": """SELECT src, dst, count(*) AS w FROM (SELECT * FROM citation UNION ALL SELECT idx, idx FROM author) GROUP BY src, dst""",
     "author_views": """SELECT view, count(*) AS edges, CAST(sum(w) AS BIGINT) AS weight, max(w) AS max_weight FROM views GROUP BY view""",
     "connected_components": "SELECT * FROM components",
+    "components_by_batches": "SELECT * FROM components",
     "neighbour_mean": """WITH m AS (SELECT view, dst AS idx, pos, sum(w * feat[pos]) / sum(w) AS x
           FROM views JOIN feats ON feats.idx = src CROSS JOIN (SELECT unnest(range(1, 65)) AS pos) GROUP BY view, dst, pos)
         SELECT view, idx, round(max(x) FILTER (pos = 1), 6) AS first, round(sum(x), 4) AS total, round(sum(x * pos), 2) AS placed FROM m GROUP BY view, idx""",

@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 
 from twinedge.functions import text
 from twinedge.functions.scalar import is_above
-from twinedge.operators import blocking, embed, graph, labels, metrics, ordering
+from twinedge.operators import blocking, embed, graph, labels, metrics, ordering, sketches
 from twinedge.operators.components import connected_components
+from twinedge.operators.incremental import ComponentStore
 from twinedge.plans import inspect, sweep, train
 from twinedge.plans.entities import EntityGraph
 from twinedge.plans.fixture import DerivedGraph
@@ -153,6 +154,34 @@ def _(g):
     return raw.quarantine(raw.parse_nodes(lines, AUTHOR))
 
 
+def faulty_lines(g: DerivedGraph) -> DataFrame:
+    """Author lines with one fault each, by index, next to good ones."""
+    i = F.col("idx")
+    payload = F.to_json(F.struct("id", "fullname"))
+    line = raw.python_quoted(payload)
+    cut = raw.python_quoted(F.substring(payload, 1, 12))
+    shown = (
+        F.when(i % 11 == 1, F.concat(F.lit("("), line, F.lit(", ")))
+        .when(i % 11 == 2, F.concat(F.lit("("), cut, F.lit(", "), i.cast("string"), F.lit(")")))
+        .when(i % 11 == 3, F.concat(F.lit("('[1, 2]', "), i.cast("string"), F.lit(")")))
+        .when(i % 11 == 4, F.concat(F.lit("('{\"name\": \"x\", \"id\": null}', "), i.cast("string"), F.lit(")")))
+        .when(i % 11 == 5, F.concat(F.lit("("), line, F.lit(", -"), (i + 1).cast("string"), F.lit(")")))
+        .when(i % 11 == 6, F.concat(F.lit("("), line, F.lit(", 9"), F.lpad(i.cast("string"), 19, "9"), F.lit(")")))
+        .when(i % 11 == 7, F.concat(F.lit("("), line, F.lit(", 1000000000"), F.lpad(i.cast("string"), 8, "0"), F.lit(")")))
+        .otherwise(F.concat(F.lit("("), line, F.lit(", "), i.cast("string"), F.lit(")")))
+    )
+    return g.authors.select(shown.alias("value"))
+
+
+@query("quarantine_reasons")
+def _(g):
+    """Lines that cannot be used, by reason."""
+    folder = new_path(g.spark, "faulty")
+    raw.write_lines(faulty_lines(g), folder, "authors")
+    faults = raw.node_faults(g.spark.read.text(f"{folder}/authors"), g.num_authors)
+    return faults.groupBy("reason").agg(F.count(F.lit(1)).alias("lines"))
+
+
 @query("scan_edges")
 def _(g):
     return raw.scan_edges(g.spark, write_raw(g, "writes_rels"), "writes_rels")
@@ -348,6 +377,17 @@ def _(g):
     return blocking.block_count(g.authors, "block")
 
 
+@query("label_sketches")
+def _(g):
+    """Distinct blocks and rows of each market, from sketches stored by market
+    and nation: the exact count, and whether the estimate is within 2 %."""
+    by_part = materialise(sketches.label_sketches(g.authors, "block", "c_mktsegment", "c_nationkey"), "label-sketches")
+    found = sketches.estimated_labels(by_part, "c_mktsegment")
+    exact = g.authors.groupBy("c_mktsegment").agg(F.count_distinct("block").alias("blocks"))
+    near = F.abs(F.col("labels") - F.col("blocks")) <= 0.02 * F.col("blocks")
+    return found.join(exact, "c_mktsegment").select("c_mktsegment", "rows", "blocks", near.alias("within_2_percent"))
+
+
 @query("dense_index")
 def _(g):
     return ordering.dense_index(g.authors.select("idx", _gapped().alias("orcid")), "orcid")
@@ -643,6 +683,17 @@ def _(g):
     )
 
 
+@query("components_by_batches")
+def _(g):
+    """The same components from five batches of edges, each contracted with the
+    labels stored before."""
+    store = ComponentStore(g.spark, new_path(g.spark, "components"))
+    edges = materialise(linked(g).select("src", "dst"), "linked")
+    for k in range(5):
+        store.add(edges.where(F.pmod(F.hash("src", "dst"), F.lit(5)) == k))
+    return g.authors.select("idx").join(store.labels(), "idx", "left").select("idx", F.coalesce("component", "idx").alias("component"))
+
+
 @query("connected_components")
 def _(g):
     return connected_components(g.authors, linked(g))

@@ -120,13 +120,7 @@ def parse_nodes(lines: DataFrame, ntype: str, only: tuple[str, ...] = ()) -> Dat
     schema = AUTHOR_PAYLOAD if ntype == AUTHOR else PUBLICATION_PAYLOAD
     if only:
         schema = T.StructType([f for f in schema.fields if f.name in ("id", *only)])
-    # ('payload', index): cut by place, the shape is known
-    tail = F.substring_index("s", ", ", -1)
-    index = F.rtrim(tail, F.lit(")")).try_cast("long")
-    payload = F.substr("s", F.lit(3), F.length("s") - F.length(tail) - 5)
-    rows = _pairs(lines, PLAIN_NODE, literal_node, payload, index, "long").withColumnsRenamed(
-        {"first": "payload", "second": "idx"}
-    )
+    rows = _node_pairs(lines)
     rows = rows.withColumn("data", F.from_json("payload", schema))
     fields = [F.col(f"data.{f.name}").alias(f.name) for f in schema.fields if f.name != "orcid"]
     if "orcid" in schema.names:
@@ -134,6 +128,43 @@ def parse_nodes(lines: DataFrame, ntype: str, only: tuple[str, ...] = ()) -> Dat
     return rows.select("line", "idx", *fields).withColumnRenamed(FEATURE_FIELD[ntype], "feat")
 
 
+def _node_pairs(lines: DataFrame) -> DataFrame:
+    """``line, payload, idx`` of node lines."""
+    # ('payload', index): cut by place, the shape is known
+    tail = F.substring_index("s", ", ", -1)
+    index = F.rtrim(tail, F.lit(")")).try_cast("long")
+    payload = F.substr("s", F.lit(3), F.length("s") - F.length(tail) - 5)
+    return _pairs(lines, PLAIN_NODE, literal_node, payload, index, "long").withColumnsRenamed({"first": "payload", "second": "idx"})
+
+
+def node_faults(lines: DataFrame, size: int | None = None) -> DataFrame:
+    """``(line, reason)`` of the node lines ``lines(value)`` that cannot be used.
+
+    The payload is read as a VARIANT. Reasons, the first that holds:
+    ``no tuple``, ``bad JSON``, ``no object``, ``no id``, and ``index out of
+    range`` (negative, beyond 64 bits, or not below ``size`` if that is given).
+    A null line is no tuple.
+    """
+    rows = _node_pairs(lines).withColumn("data", F.try_parse_json("payload"))
+    # a tuple whose index does not fit is read as no tuple
+    too_large = F.coalesce(F.col("line").rlike(r"(?s)^\(.*, -?\d{19,}\)$"), F.lit(False))
+    outside = F.col("idx") < 0 if size is None else ~F.col("idx").between(0, size - 1)
+    kind = F.schema_of_variant("data")
+    reason = (
+        F.when(F.col("idx").isNull(), F.when(too_large, "index out of range").otherwise("no tuple"))
+        .when(F.col("data").isNull(), "bad JSON")
+        .when(~kind.startswith("OBJECT"), "no object")
+        .when(F.try_variant_get("data", "$.id", "string").isNull(), "no id")
+        .when(outside, "index out of range")
+    )
+    return rows.select("line", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def edge_faults(lines: DataFrame) -> DataFrame:
+    """``(line, reason)`` of edge lines that are no pair of texts (``no tuple``)."""
+    return quarantine(parse_edges(lines)).select("line", F.lit("no tuple").alias("reason"))
+
+
 def _orcid() -> Column:
     # the keys are listed only for the few payloads without a value that do
     # mention the key
