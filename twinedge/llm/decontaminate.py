@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinedge.llm.words import map_slices, mixed, shingle_sets, text_slices, window_hashes, words_of
+from twinedge.llm.words import map_slices, mixed, shingle_sets, text_slices, window_hashes, without, words_of
 from twinedge.scratch import materialise
 
 WIDTH = 5
@@ -206,6 +206,8 @@ def _searcher(shipped, containment: float):
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """The documents that hold no test item; rows and columns as they are."""
-    leaked = contained_items(docs, benchmark, containment).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, F.col("doc_id").cast("long") == F.col("_leaked"), "left_anti")
+    """The documents that hold no test item; rows and columns as they are.
+
+    Null and empty texts hold nothing and stay, as does a null doc_id; rows that
+    repeat a doc_id stay or go together."""
+    return without(docs, contained_items(docs, benchmark, containment).select("doc_id"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinedge.llm.words import map_slices, sums, text_bytes, text_slices, words_of
+from twinedge.llm.words import map_slices, sums, text_bytes, text_slices, without, words_of
 from twinedge.scratch import materialise
 
 TRAIN_ROWS = 4000
@@ -264,5 +264,5 @@ def pages_evidence(pages: DataFrame) -> DataFrame:
 def with_known_language(docs: DataFrame) -> DataFrame:
     """The documents that are not rejected; rows and columns as they are.
     Rows with equal doc_id are kept or dropped together; a null doc_id stays."""
-    gone = identify(documents_evidence(docs), ["doc_id"]).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = identify(documents_evidence(docs), ["doc_id"]).where("NOT kept AND doc_id IS NOT NULL").select("doc_id")
+    return without(docs, gone)

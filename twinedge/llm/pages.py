@@ -18,8 +18,9 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -29,49 +30,87 @@ from pyspark.sql import functions as F
 from twinedge.llm.words import bounded_sample, plain, text_slices
 
 TRAIN_PAGES = 300
+TRAIN_BYTES = 32 << 20
 EPOCHS = 80
 LEAST_SEEN = 3
 """Features in fewer training blocks are left out."""
 
+# a quote opens a value only behind "="; comments end as browsers end them
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>",
     re.S,
 )
 _NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _PART = re.compile(r"[a-z]+")
 # fixed values: elements by their role in HTML
-RAW = frozenset("script style template noscript iframe svg math textarea select title object canvas".split())
+RAW = frozenset("script style template noscript iframe svg textarea select title object canvas".split())
+TO_THE_END = frozenset("script style textarea title".split())
+"""Elements that hold the rest of a page if they are not closed."""
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark math q s samp small span strike strong sub sup time tt u var wbr img".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-EXCLUDED = frozenset("nav aside footer form header menu button dialog figcaption".split())
-EXCLUDED_WORDS = frozenset("ad ads advert advertisement comment comments sidebar menu nav footer header cookie notice banner promo share social related newsletter".split())
-
-
-@dataclass
+EXCLUDED = frozenset("nav aside footer form header menu button dialog".split())
+EXCLUDED_WORDS = frozenset(
+    "ad ads advert advertisement comment comments sidebar menu nav footer header cookie notice banner promo share social related newsletter "
+    "replies reply reactions responses discussion disqus consent gdpr subscribe signup popup modal pagination pager breadcrumb sponsored recommended".split())
+
+
+@dataclass(frozen=True)
+class Place:
+    """An open element and what is known of it and those around it. Elements
+    inside each other share one ``context`` as long as they add nothing to it,
+    so deep nesting costs no more than its tags."""
+
+    tag: str
+    context: frozenset[str]
+    last: str
+    """The innermost element that is not inline."""
+    article: bool = False
+    excluded: bool = False
+    told: int | None = None
+    """The label that a composed page states."""
+
+    def inside(self, tag: str, attributes: str) -> Place:
+        if tag in INLINE:
+            return replace(self, tag=tag)
+        if tag in ("x-0", "x-1"):
+            return replace(self, tag=tag, told=int(tag[2:]))
+        names = _described(attributes)
+        new = {f"in {tag}", *(f"word {w}" for w in names)}
+        return Place(
+            tag, self.context if new <= self.context else self.context | new, tag,
+            self.article or tag == "article", self.excluded or tag in EXCLUDED or bool(names & EXCLUDED_WORDS), self.told,
+        )
+
+
+@dataclass(frozen=True)
 class Block:
     text: str
-    ancestors: tuple[tuple[str, frozenset[str]], ...]
+    place: Place
     linked: int
     """Characters inside links."""
 
 
-def _described(tag: str, attributes: str) -> tuple[str, frozenset[str]]:
+PAGE = Place("", frozenset(), "")
+
+
+def _described(attributes: str) -> frozenset[str]:
     if not attributes:
-        return tag, frozenset()
+        return frozenset()
     names = [part for m in _NAMES.finditer(attributes) for part in _PART.findall((m[1] or m[2] or m[3] or "").lower())]
     if _HIDDEN.search(attributes):
         names.append("hidden")
-    return tag, frozenset(names)
+    return frozenset(names)
 
 
 def blocks_of(page: str) -> list[Block]:
     """Leaf blocks in page order; unclosed and unmatched tags are tolerated."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack: list[Place] = []
+    open_tags: Counter[str] = Counter()
     parts: list[str] = []
     linked = in_link = 0
 
@@ -80,10 +119,15 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, tuple(x for x in stack if x[0] not in INLINE), linked))
+                out.append(Block(text, stack[-1] if stack else PAGE, linked))
             parts.clear()
         linked = 0
 
+    def close(k: int) -> None:
+        for place in stack[k:]:
+            open_tags[place.tag] -= 1
+        del stack[k:]
+
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() < at:
@@ -99,30 +143,30 @@ def blocks_of(page: str) -> list[Block]:
         if m[1]:
             if tag not in INLINE:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if open_tags[tag]:
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag))
             in_link -= in_link > 0 and tag == "a"
             continue
         if tag in RAW:
-            flush() if tag not in ("svg", "math") else None
+            if tag != "svg":
+                flush()
             if not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                end = _ENDS[tag].search(page, at)
+                at = end.end() if end else len(page) if tag in TO_THE_END else at
             continue
         if tag not in INLINE:
             flush()
-            if tag in ENDS_P or tag in CLOSES:
-                ended = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
+            ended = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
+            if any(open_tags[t] for t in ended):
                 for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in ended:
-                        del stack[k:]
+                    if stack[k].tag in ended:
+                        close(k)
                         break
-                    if stack[k][0] not in INLINE:
+                    if stack[k].tag not in INLINE:
                         break
         if tag not in VOID and not m[3].endswith("/"):
-            stack.append(_described(tag, m[3]))
+            stack.append((stack[-1] if stack else PAGE).inside(tag, m[3]))
+            open_tags[tag] += 1
             in_link += tag == "a"
     rest = page[at:]
     if rest and not rest.lstrip().startswith("<"):
@@ -131,35 +175,43 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
+_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+_DATED = re.compile(r"\d{1,4}[./-]\d{1,2}|\b(?:19|20)\d\d\b|\d{1,2}:\d\d")
 _WORDS = (1, 2, 3, 5, 8, 13, 21, 40, 80)
 
 
 def features(blocks: Sequence[Block]) -> list[list[str]]:
     out = []
     n = len(blocks)
+    words = [b.text.count(" ") + 1 for b in blocks]
+    # blocks of one kind (same elements around them), as the items of a list are
+    kinds = [hash((b.place.context, b.place.last)) for b in blocks]
+    twins = Counter(kinds)
+    longest = max(range(n), key=words.__getitem__, default=0)
     for k, b in enumerate(blocks):
-        own = ["bias"]
-        own += {f"in {tag}" for tag, _ in b.ancestors} | {f"word {w}" for _, names in b.ancestors for w in names}
-        if b.ancestors:
-            own.append(f"tag {b.ancestors[-1][0]}")
-        words = b.text.count(" ") + 1
-        own.append(f"words {sum(words >= x for x in _WORDS)}")
+        own = ["bias", *b.place.context]
+        if b.place.last:
+            own.append(f"tag {b.place.last}")
+        own.append(f"words {sum(words[k] >= x for x in _WORDS)}")
         share = b.linked / max(1, len(b.text))
         own.append("linked " + ("all" if share > 0.8 else "much" if share > 0.3 else "some" if share else "none"))
         own.append("ends " + (b.text[-1] if b.text[-1] in ".!?:;,|" else "open"))
         if "©" in b.text or "·" in b.text or "|" in b.text:
             own.append("marks")
+        if _DATED.search(b.text[:60]):
+            own.append("dated")
         own.append(f"place {10 * k // n}")
+        own.append(f"twins {min(4, twins[kinds[k]])}")
+        own.append("before longest" if k < longest else "after longest" if k > longest else "longest")
+        if kinds[k] == kinds[longest]:
+            own.append("as longest")
         out.append(own)
     return out
 
 
 def marked_up(blocks: Sequence[Block]) -> list[int] | None:
     """Labels that the markup itself states, if it has an article."""
-    labels = [
-        int(any(tag == "article" for tag, _ in b.ancestors) and not any(tag in EXCLUDED or names & EXCLUDED_WORDS for tag, names in b.ancestors))
-        for b in blocks
-    ]
+    labels = [int(b.place.article and not b.place.excluded) for b in blocks]
     return labels if any(labels) else None
 
 
@@ -218,12 +270,7 @@ def composed(texts: Sequence[str], n: int) -> list[tuple[list[Block], list[int]]
         # the label of a block is told by an element that features do not see
         tell = lambda items: "".join(f"<x-{label}>{markup}</x-{label}>" for markup, label in items)
         blocks = blocks_of(tell(before) + body[0] + tell(inner) + body[1] + tell(after))
-        labels, bare = [], []
-        for block in blocks:
-            told = [tag for tag, _ in block.ancestors if tag.startswith("x-")]
-            labels.append(int(told[-1][2:]))
-            bare.append(Block(block.text, tuple(x for x in block.ancestors if not x[0].startswith("x-")), block.linked))
-        pages.append((bare, labels))
+        pages.append((blocks, [b.place.told for b in blocks]))
     return pages
 
 
@@ -308,8 +355,9 @@ def train(pages: Sequence[tuple[Sequence[Block], Sequence[int]]], epochs: int =
 
 
 def fitted(pages: DataFrame, limit: int = TRAIN_PAGES) -> Crf:
-    """A model for ``pages(html)``, from at most ``limit`` of them and composed ones."""
-    sample = bounded_sample(pages.where("html IS NOT NULL").select("html"), limit, "html")
+    """A model for ``pages(html)``, from at most ``limit`` distinct ones of
+    them (and ``TRAIN_BYTES``) and composed ones."""
+    sample = bounded_sample(pages, limit, "html", TRAIN_BYTES)
     labelled, texts = [], []
     for row in sample.toLocalIterator():
         blocks = blocks_of(row["html"])

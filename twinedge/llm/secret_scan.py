@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from twinedge.llm.words import bounded_sample, map_slices, plain, text_slices
 
 SAMPLE_ROWS = 4000
+SAMPLE_BYTES = 64 << 20
 EXAMPLES = 200
 LABELS = 1000
 """Labelled strings per kind that a grammar is inferred from, at most."""
@@ -290,8 +291,9 @@ def _drawn(values: Iterable[str]) -> list[str]:
 
 
 def labelled(docs: DataFrame, limit: int = SAMPLE_ROWS) -> dict[str, list[str]]:
-    """Labelled credentials and ordinary tokens of at most ``limit`` documents."""
-    texts = bounded_sample(docs.where("text IS NOT NULL").select("text"), limit, "text")
+    """Labelled credentials and ordinary tokens of at most ``limit`` distinct
+    texts (and ``SAMPLE_BYTES``)."""
+    texts = bounded_sample(docs, limit, "text", SAMPLE_BYTES)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, set[str]] = defaultdict(set)

@@ -49,18 +49,39 @@ def map_slices(
     return df.mapInArrow(task, schema)
 
 
-def bounded_sample(rows: DataFrame, limit: int, *by: str) -> DataFrame:
-    """At most ``limit`` rows, drawn by a hash of the columns ``by``, so that the
-    same rows come out whatever the partitioning.
+def bounded_sample(rows: DataFrame, limit: int, column: str, most_bytes: int) -> DataFrame:
+    """``(column)``: at most ``limit`` distinct values of a text column with at
+    most ``most_bytes`` together (but one at least), drawn by their hash, so that
+    the same come out whatever the partitioning and however often each occurs.
 
-    The hash is first cut where about twice ``limit`` rows pass, so that the
-    final top-k sees a few thousand rows and not some of every partition.
+    The hash is first cut where about twice ``limit`` distinct values pass. Only
+    hashes and sizes of these reach the driver; the values stay distributed.
     """
-    n = rows.count()
-    drawn = F.xxhash64(*by)
+    drawn = F.xxhash64(column)
+    rows = rows.where(F.col(column).isNotNull()).select(column, drawn.alias("_drawn"))
+    n = rows.agg(F.approx_count_distinct("_drawn", 0.02)).first()[0]
     if n > 2 * limit:
-        rows = rows.where(drawn < int((2 * limit / n - 0.5) * 2.0**64))
-    return rows.orderBy(drawn, *by).limit(limit)
+        rows = rows.where(F.col("_drawn") < int((2 * limit / n - 0.5) * 2.0**64))
+    sized = rows.groupBy("_drawn").agg(F.max(F.octet_length(column)).alias("size")).orderBy("_drawn").limit(limit).collect()
+    total, cut = 0, None
+    for r in sized:
+        total += r["size"]
+        if cut is not None and total > most_bytes:
+            break
+        cut = r["_drawn"]
+    if cut is None:
+        return rows.select(column)
+    return rows.where(F.col("_drawn") <= cut).groupBy("_drawn").agg(F.min(column).alias(column)).select(column)
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose doc_id is in the one column of ``gone``; a
+    null doc_id stays. The column gets a name that ``docs`` does not have."""
+    name = "gone"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    listed = gone.toDF(name).distinct()
+    return docs.join(listed, docs["doc_id"].cast("long") == listed[name], "left_anti")
 
 
 @dataclass
