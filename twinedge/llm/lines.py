@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinedge.scratch import new_path
+from twinedge.scratch import discard, materialise, new_path
 
 PASSAGE_WORDS = 50
 BOUNDARY = 3
@@ -109,13 +109,15 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     keyed = {"id": F.col("doc_id").cast("long"), "version": F.xxhash64("text")}
     candidates = _candidates(docs.select(*(c.alias(k) for k, c in keyed.items()), F.col("text").cast("string").alias("text")))
+    # numbers only, written once: they are grouped, and then looked up
+    candidates = materialise(candidates.select("id", "version", "s", (F.col("e") - F.col("s")).alias("n"), "key"), "line-candidates")
     place = F.struct("id", "version", "s")
     repeated = (
-        candidates.withColumn("n", F.col("e") - F.col("s")).groupBy("key", "n").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+        candidates.groupBy("key", "n").agg(F.min(place).alias("first"), F.max(place).alias("last"))
         .where("first <> last").select("key", "n", "first")
     )
     runs = (
-        candidates.withColumn("n", F.col("e") - F.col("s")).join(repeated, ["key", "n"])
+        candidates.join(repeated, ["key", "n"])
         .select("id", "version", F.struct("key", "n", "s", (F.struct("id", "version", "s") != F.col("first")).alias("later")).alias("run"))
         .groupBy("id", "version").agg(F.collect_list("run").alias("_runs"))
     )
@@ -127,6 +129,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     marked = whole.join(own, _same("_k_id", "_id") & _same("_k_version", "_version"), "left").select("row", "_runs")
     marked.write.option("compression", "zstd").parquet(path)
     marked = spark.read.parquet(path)
+    discard(candidates)
 
     # byte comparison: candidates of one key must have one text
     text = F.col("row.text").cast("string")
