@@ -17,8 +17,13 @@ component, members of different components meet, but only where the sets can be
 similar at all. For that, each set has a bit vector of the shingles that other
 sets have too (shingles of its own, as edits make them, are left out): what two
 sets share is at most the number of bits they share, plus what shares a bit
-within the smaller one. The bound is never too small, so no link is lost. Rows
-with equal sets are one node from the start.
+within the smaller one. The bound is never too small, so no link is lost. A pair
+that shares many tables meets in the first of them only: the table of the first
+two collections in which both agree. Rows with equal sets are one node from the
+start.
+
+Bucket rows are narrow (key, node, table); what is known of a set is joined where
+a bucket is still open. Tables are removed once the next ones are written.
 """
 
 from __future__ import annotations
@@ -30,9 +35,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinedge.llm.words import map_slices, mixed, shingle_sets, sums, words_of
+from twinedge.llm.words import map_slices, mixed, shingle_sets, sums, without, words_of
 from twinedge.operators.components import linked_nodes, undirected
-from twinedge.scratch import materialise
+from twinedge.scratch import discard, materialise
 
 WIDTH = 5
 SIMILAR = 75
@@ -104,18 +109,38 @@ def _collection_rows(nodes: DataFrame) -> DataFrame:
     return map_slices(nodes, work, "node long, c int, value long", "sig")
 
 
+LANES = [f"v{k}" for k in range(COLLECTIONS)]
+"""32 bits of each collection value of a node."""
+
+
+def _lanes(nodes: DataFrame) -> DataFrame:
+    """``(node, v0...)``, to tell in which collections two nodes agree. Two that
+    differ are taken as equal with probability 2^-32."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        values = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.int64).reshape(-1, COLLECTIONS)
+        low = np.ascontiguousarray((values & 0xFFFFFFFF).astype(np.uint32).view(np.int32).T)
+        return pa.RecordBatch.from_arrays([batch.column("node"), *(pa.array(x) for x in low)], names=["node", *LANES])
+
+    return map_slices(nodes, work, "node long, " + ", ".join(f"{v} int" for v in LANES), "sig")
+
+
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """``(key, node)`` of all tables, for keys made of values that several nodes share."""
-    rows = materialise(_collection_rows(nodes), "minhash-collections")
+    """``(key, node, earlier)`` of all tables, for keys made of values that
+    several nodes share; ``earlier`` has a bit for each collection before the
+    table's second one, but not its first."""
+    rows = _collection_rows(nodes)
     shared = rows.groupBy("c", "value").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("c", "value")
     alive = rows.join(shared, ["c", "value"]).groupBy("node").agg(F.collect_list(F.struct("c", "value")).alias("own")).where(F.size("own") > 1)
-    pairs = F.flatten(
-        F.transform("own", lambda x: F.transform(
-            F.filter("own", lambda y: y["c"] > x["c"]), lambda y: F.xxhash64(x["c"], x["value"], y["c"], y["value"])
-        ))
-    )
+
+    def table(x: Column, y: Column) -> Column:
+        bit = lambda c: F.pow(F.lit(2), c)
+        earlier = (bit(y["c"]) - 1 - bit(x["c"])).cast("int")
+        return F.struct(F.xxhash64(x["c"], x["value"], y["c"], y["value"]).alias("key"), earlier.alias("earlier"))
+
+    pairs = F.flatten(F.transform("own", lambda x: F.transform(F.filter("own", lambda y: y["c"] > x["c"]), lambda y: table(x, y))))
     # at most 120 keys per node, from at most 16 values
-    return alive.select("node", F.explode(pairs).alias("key"))
+    return alive.select("node", F.inline(pairs)).select("key", "node", "earlier")
 
 
 def _id_filter(nodes: DataFrame) -> np.ndarray:
@@ -237,7 +262,7 @@ def _possible() -> Column:
 
 
 def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """Members ``(key, node, n, shared, comp, least)`` of buckets of several
+    """Members ``(key, node, earlier, comp, least)`` of buckets of several
     components; ``least`` is the smallest hash of a member."""
     placed = members.join(comp, "node")
     state = placed.groupBy("key").agg(
@@ -247,11 +272,31 @@ def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
     return placed.join(state.select("key", "least"), "key")
 
 
-def _meetings(rows: DataFrame, others: DataFrame, where: Column) -> DataFrame:
-    """Pairs ``(u, v)`` of members of different components that can be similar."""
-    renamed = others.select("key", *[F.col(c).alias(f"{c}_2") for c in ("node", "comp", "n", "shared", "doubled", *BITS)])
-    met = rows.join(renamed, "key").where((F.col("comp") != F.col("comp_2")) & where & _possible())
-    return met.select(F.least("node", "node_2").alias("u"), F.greatest("node", "node_2").alias("v")).distinct()
+def _others(known: DataFrame, but: str) -> DataFrame:
+    return known.select(*[F.col(c) if c == but else F.col(c).alias(f"{c}_2") for c in known.columns])
+
+
+def _with_pivot(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs ``(u, v)`` of a member and the pivot of a bucket that can be similar."""
+    pivots = rows.where(F.xxhash64("node") == F.col("least")).select("key", F.col("node").alias("node_2"), F.col("comp").alias("comp_2"))
+    met = rows.join(pivots, "key").where("comp <> comp_2").select("node", "node_2").distinct()
+    sized = met.join(known, "node").join(_others(known, "").withColumnRenamed("node_2", "other"), F.col("node_2") == F.col("other"))
+    return sized.where(_possible()).select(F.least("node", "node_2").alias("u"), F.greatest("node", "node_2").alias("v")).distinct()
+
+
+def _among(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs ``(u, v)`` of members of different components that can be similar,
+    each from the first table that it shares."""
+    full = rows.select("key", "node", "earlier", "comp").join(known, "node")
+    agree = sum(
+        (F.when(F.col(v) == F.col(f"{v}_2"), F.lit(1 << k)).otherwise(F.lit(0)) for k, v in enumerate(LANES[1:], 1)),
+        F.when(F.col(LANES[0]) == F.col(f"{LANES[0]}_2"), F.lit(1)).otherwise(F.lit(0)),
+    )
+    first = agree.bitwiseAND(F.col("earlier")) == 0
+    met = full.join(_others(full.drop("earlier"), "key"), "key").where(
+        (F.col("node") < F.col("node_2")) & (F.col("comp") != F.col("comp_2")) & first & _possible()
+    )
+    return met.select(F.col("node").alias("u"), F.col("node_2").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -271,26 +316,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # equal sets under two ids, or one id with two sets: both are links already
     known = member.where("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v")).distinct()
 
-    at_node = member.where("doc_id = rep").select(F.col("k1").alias("node"), "sig").dropDuplicates(["node"])
-    buckets = materialise(_buckets(at_node), "minhash-buckets")
-    crowded = buckets.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key")
-    buckets = materialise(buckets.join(crowded, "key"), "crowded-buckets")
+    at_node = materialise(member.where("doc_id = rep").select(F.col("k1").alias("node"), "sig").dropDuplicates(["node"]), "set-signatures")
+    every_bucket = materialise(_buckets(at_node), "minhash-buckets")
+    crowded = every_bucket.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key")
+    buckets = materialise(every_bucket.join(crowded, "key"), "crowded-buckets")
+    discard(every_bucket)
     reps = first.select(F.col("k1").alias("node"), "rep")
     wanted = materialise(buckets.select("node").distinct().join(reps, "node"), "wanted-sets")
     sets = materialise(_sets(rows, wanted), "shingle-sets")
 
+    # what is known of each set that can be similar to another
     sizes = _shared_sizes(sets).where(100 * F.col("shared") >= SIMILAR * F.col("n"))
-    members = materialise(buckets.join(sizes, "node"), "bucket-members")
+    known_sets = materialise(sizes.join(_lanes(at_node), "node"), "set-vectors")
+    members = materialise(buckets.join(known_sets.select("node"), "node"), "bucket-members")
+    discard(buckets, at_node)
     comp = wanted.select("node", F.col("node").alias("comp"))
     # every member against the pivot of its bucket
-    rows = _open(members, comp)
-    star = materialise(_meetings(rows, rows.where(F.xxhash64("node") == F.col("least")), F.lit(True)), "pivot-pairs")
+    star = materialise(_with_pivot(_open(members, comp), known_sets), "pivot-pairs")
     links = materialise(_confirmed(star, sets), "pivot-links")
     comp = _components(wanted, links)
     # members that this left in different components
-    rows = materialise(_open(members, comp), "open-buckets")
-    rest = materialise(_meetings(rows, rows, F.col("node") < F.col("node_2")).join(star, ["u", "v"], "left_anti"), "open-pairs")
-    links = links.unionByName(_confirmed(rest, sets))
+    rest = materialise(_among(_open(members, comp), known_sets).join(star, ["u", "v"], "left_anti"), "open-pairs")
+    discard(members, known_sets, star, comp)
+    links = materialise(links.unionByName(_confirmed(rest, sets)), "set-links")
+    discard(sets, rest)
 
     # from sets to documents: all sets of one doc_id meet in it
     for end in ("u", "v"):
@@ -313,6 +362,11 @@ def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each group stays, the one with the smallest doc_id."""
-    gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """One document of each group stays, the one with the smallest doc_id; rows
+    and columns as they are.
+
+    Null, empty and blank texts are in no group and stay, as does a null doc_id;
+    rows that repeat a doc_id stay or go together.
+    """
+    gone = near_duplicates(docs).where("NOT kept").select("doc_id")
+    return without(docs, gone)
