@@ -195,3 +195,20 @@ def align(tok, text):
             groups.append(([], []))
     groups.pop()
     return groups, [(a, b) for x, y in groups for a in x for b in y]
+
+
+ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A | re.I)
+
+
+def secrets(text):
+    """(n_assign, n_access, n_hex, digest) of the base patterns."""
+    import hashlib
+
+    text = text or ""
+    found = [("assign", m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    found += [("access", m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    found += [("hex", m.span()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+    kinds = ["assign", "access", "hex"]
+    found.sort(key=lambda x: (x[1][0], kinds.index(x[0])))
+    shown = ",".join(f"{k}:{a}:{b}" for k, (a, b) in found)
+    return (*(sum(k == kind for k, _ in found) for kind in kinds), hashlib.sha256(shown.encode()).hexdigest())
