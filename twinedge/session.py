@@ -24,11 +24,16 @@ RUNTIME_CONF = {
 }
 
 
+# Batches that Python workers get are cut by bytes as well as by rows, as a text
+# may be long; the size changes no result.
+BATCH_CONF = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
 _shipped: SparkContext | None = None
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Make this package importable on the executors, once per context.
+    """Make this package importable on the executors, once per context, and
+    bound the bytes of the batches that its functions get.
 
     Spark hands the archive to every executor, so the Python workers need
     neither a shared folder nor this folder as their working directory.
@@ -41,6 +46,8 @@ def ship(spark: SparkSession) -> SparkSession:
         )
         spark.sparkContext.addPyFile(archive)
         _shipped = spark.sparkContext
+    for key, value in BATCH_CONF.items():
+        spark.conf.set(key, value)
     return spark
 
 
