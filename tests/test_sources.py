@@ -7,6 +7,7 @@ import pytest
 from helpers import rows
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
 from twinedge.operators import embed, graph
 from twinedge.schema import AUTHOR, PUBLICATION, RAW_DATASETS
@@ -171,3 +172,61 @@ def test_metrics_append(spark, tmp_path):
     store.append_metrics(spark, path, [("r", 1, "train", "loss", 0.5)])
     store.append_metrics(spark, path, [("r", 2, "train", "loss", 0.4)])
     assert rows(store.training_metrics(spark, path)) == [("r", 1, "train", "loss", 0.5), ("r", 2, "train", "loss", 0.4)]
+
+
+# ---- bucketed tables and retention ---------------------------------------
+
+def stored_graph(spark, root, n=50):
+    nodes = {"author": spark.range(n).select(F.col("id").alias("idx"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("vec"))}
+    edges = spark.range(n * 4).select(F.lit("cites").alias("etype"), (F.col("id") % n).alias("src"), (F.col("id") * 7 % n).alias("dst"))
+    found = store.GraphStore(spark, root)
+    found.save(nodes, edges)
+    return found
+
+
+def test_bucketed_tables_meet_without_exchange(spark, tmp_path):
+    from twinedge.operators.embed import neighbour_mean
+
+    found = stored_graph(spark, str(tmp_path / "g"))
+    views = lambda: found.edges().select(F.lit("v").alias("view"), "src", "dst", F.lit(1).cast("long").alias("w"))
+    built = []
+    edges = found.bucketed("views", "src", lambda: built.append(1) or views(), 4)
+    found.bucketed("views", "src", lambda: built.append(1) or views(), 4)
+    nodes = found.bucketed("features", "idx", lambda: found.nodes("author"), 4)
+    assert built == [1]
+    assert rows(edges) == rows(views()) and rows(nodes.select("idx")) == [(k,) for k in range(50)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        mean = neighbour_mean(edges, nodes, 2)
+        plan = mean._jdf.queryExecution().executedPlan().toString()
+        loose = neighbour_mean(views(), found.nodes("author"), 2)
+        # the one exchange left is that of the sums, by the node they belong to
+        assert plan.count("Exchange") == 1 and "SortMergeJoin" in plan
+        assert loose._jdf.queryExecution().executedPlan().toString().count("Exchange") == 3
+        assert rows(mean) == rows(loose)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # another session's catalog does not know the table yet
+    again = store.GraphStore(spark.newSession(), str(tmp_path / "g"))
+    assert again.bucketed("views", "src").count() == 200
+    with pytest.raises(FileNotFoundError):
+        found.bucketed("other", "src")
+
+
+def test_versions_expire_unless_read(spark, tmp_path):
+    root = str(tmp_path / "g")
+    found = stored_graph(spark, root)
+    with found.reading() as version:
+        assert version == 0
+        held = found.edges()
+        for n in (60, 70):
+            stored_graph(spark, root, n)
+        (tmp_path / "g" / "graph-cut-off").mkdir()
+        assert len(found.expire()) == 1  # version 1; 0 is read, 2 is the latest, the last may be being written
+        assert held.count() == 200 and found.edges().count() == 280
+    gone = found.expire(lease_hours=0)
+    assert len(gone) == 2 and "graph-cut-off" in gone
+    assert found.edges().count() == 280 and found.expire() == []
+    with pytest.raises(ValueError):
+        found.expire(0)

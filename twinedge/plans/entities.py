@@ -110,12 +110,14 @@ class EntityGraph:
 
     @property
     def features(self) -> DataFrame:
-        return self.authors.select("idx", F.col("feat").alias("vec"))
+        return self.store.bucketed("features", "idx", lambda: self.authors.select("idx", F.col("feat").alias("vec")))
 
     @cached_property
     def views(self) -> DataFrame:
+        """The author views, kept with the stored graph by the source of an edge,
+        as the vectors at the sources are."""
         by_type = {t: self.edges(t) for t in EDGE_TYPES}
-        return materialise(graph.author_views(by_type, self.authors), "views")
+        return self.store.bucketed("views", "src", lambda: graph.author_views(by_type, self.authors))
 
     def splits(self, train_ratio: float = 0.6, valid_ratio: float = 0.2) -> DataFrame:
         labelled = labels.label_candidates(self.edges("similar"), self.edges("equates"))

@@ -715,6 +715,16 @@ def _(g):
     return vector_digest(found, "view", "idx")
 
 
+@query("neighbour_mean_stored")
+def _(g):
+    """The same from a stored graph: views bucketed by source, vectors by node."""
+    stored = store.GraphStore(g.spark, new_path(g.spark, "graph"))
+    stored.save({AUTHOR: g.author_features.select("idx")}, graph.edge_table({"similar": g.similar}))
+    by_src = stored.bucketed("views", "src", lambda: graph.author_views(path_edges(g), g.authors))
+    vectors = stored.bucketed("features", "idx", lambda: node_vectors(g))
+    return vector_digest(embed.neighbour_mean(by_src, vectors, 64), "view", "idx")
+
+
 @query("neighbour_mean_wide")
 def _(g):
     """Vectors of 768, as in the original experiments: the features twelve

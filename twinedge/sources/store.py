@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import time
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 METRIC_SCHEMA = "run_id string, epoch int, split string, metric string, value double"
 COMMIT_SCHEMA = "version bigint, folder string"
@@ -20,7 +26,8 @@ class GraphStore:
 
     A version counts only once its line is in the commit table, which is
     appended after all its tables are complete; a half-written graph is
-    therefore never taken for a stored one.
+    therefore never taken for a stored one. :meth:`expire` removes old versions,
+    but none that a reader holds a lease on (:meth:`reading`).
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -52,11 +59,14 @@ class GraphStore:
             f"{self.root}/commits"
         )
 
-    def _table(self, name: str) -> DataFrame:
+    def _folder(self) -> str:
         latest = self._latest()
         if latest is None:
             raise FileNotFoundError(f"no graph is stored in {self.root}")
-        return self.spark.read.parquet(f"{self.root}/{latest[1]}/{name}")
+        return f"{self.root}/{latest[1]}"
+
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self._folder()}/{name}")
 
     def edges(self) -> DataFrame:
         return self._table("edges")
@@ -68,6 +78,92 @@ class GraphStore:
         """A table that was stored with the graph, such as ``drops``."""
         return self._table(f"report_{name}")
 
+    def bucketed(self, name: str, key: str, build: Callable[[], DataFrame] | None = None, buckets: int | None = None) -> DataFrame:
+        """A table kept with the stored version, bucketed and sorted by ``key``;
+        built on first use. Two tables with as many buckets, one joined by
+        its key with the other's, meet without an exchange.
+
+        ``buckets`` is that of the session's shuffles if it is not given; a table
+        that is there keeps its own.
+        """
+        path = f"{self._folder()}/bucketed_{name}"
+        fs, done = _filesystem(self.spark, f"{path}/described")
+        if not fs.exists(done):
+            if build is None:
+                raise FileNotFoundError(f"no table {name} is stored in {self.root}")
+            table = build()
+            n = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            data = f"data-{uuid.uuid4().hex}"
+            draft = f"draft_{uuid.uuid4().hex}"
+            # as many files as buckets: each task writes the buckets it holds whole
+            spread = table.repartition(n, key)
+            spread.write.bucketBy(n, key).sortBy(key).format("parquet").option("path", f"{path}/{data}").saveAsTable(draft)
+            self.spark.sql(f"DROP TABLE {draft}")  # the name; the files stay
+            about = [(data, n, key, table.schema.json())]
+            try:
+                stream = fs.create(done, False)
+            except Py4JJavaError:
+                if not fs.exists(done):
+                    raise  # another writer was first: its table stands
+            else:
+                stream.writeUTF("\n".join(map(str, about[0])))
+                stream.close()
+        return self._open_bucketed(path)
+
+    def _open_bucketed(self, path: str) -> DataFrame:
+        fs, done = _filesystem(self.spark, f"{path}/described")
+        stream = fs.open(done)
+        data, n, key, schema = stream.readUTF().split("\n", 3)
+        stream.close()
+        columns = T.StructType.fromJson(json.loads(schema))
+        name = "stored_" + hashlib.md5(f"{path}/{data}".encode()).hexdigest()
+        if not self.spark.catalog.tableExists(name):
+            listed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.fields)
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({listed}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {n} BUCKETS LOCATION '{path}/{data}'")
+        return self.spark.table(name)
+
+    @contextmanager
+    def reading(self) -> Iterator[int]:
+        """Hold a lease on the latest version, which keeps it from expiring;
+        gives its number."""
+        latest = self._latest()
+        if latest is None:
+            raise FileNotFoundError(f"no graph is stored in {self.root}")
+        fs, lease = _filesystem(self.spark, f"{self.root}/leases/{latest[1]}/{uuid.uuid4().hex}")
+        fs.create(lease, False).close()
+        try:
+            yield latest[0]
+        finally:
+            fs.delete(lease, False)
+
+    def expire(self, keep: int = 1, lease_hours: float = 24.0) -> list[str]:
+        """Remove the folders of all but the last ``keep`` versions, and what
+        builds that were cut off have left; returns their names.
+
+        A folder with a lease stays, unless the lease is older than
+        ``lease_hours``; so does an uncommitted one that is younger than that,
+        as it may be being written.
+        """
+        if keep < 1:
+            raise ValueError("the latest version cannot expire")
+        commits = {r["folder"]: r["version"] for r in self.spark.read.schema(COMMIT_SCHEMA).json(f"{self.root}/commits").collect()} if self.has_graph() else {}
+        kept = set(sorted(commits, key=commits.get)[-keep:])
+        fs, root = _filesystem(self.spark, self.root)
+        old = (time.time() - 3600 * lease_hours) * 1000
+        gone = []
+        for status in fs.listStatus(root) if fs.exists(root) else []:
+            name = status.getPath().getName()
+            if not name.startswith("graph-") or name in kept:
+                continue
+            _, leases = _filesystem(self.spark, f"{self.root}/leases/{name}")
+            held = fs.exists(leases) and any(s.getModificationTime() > old for s in fs.listStatus(leases))
+            if held or (name not in commits and status.getModificationTime() > old):
+                continue
+            fs.delete(status.getPath(), True)
+            fs.delete(leases, True)
+            gone.append(name)
+        return sorted(gone)
+
     def load_or_build(self, build, force_reload: bool = False) -> GraphStore:
         """Build and store the graph unless one is stored; ``build()`` returns
         ``(nodes, edges)`` or ``(nodes, edges, reports)``."""
