@@ -9,11 +9,14 @@ The trie has two levels, split into shards that are built from what Spark has
 shuffled to one task and are memory-mapped there:
 
 * level 1, by ranges of the word hash: the sorted hashes, Elias-Fano coded. The
-  position of a word is its id, so ids follow the hash order over all shards;
-* level 2, by context: the successors' word ids of each context in a row,
-  Elias-Fano coded relative to the context (context rank * words + word id,
-  which is monotone), and the quantised logarithms of n(c, w) / (n(c) + MU). A
-  bigram is looked up by the successor search for its word in its context.
+  position of a word is its id, so ids follow the hash order over all shards.
+  Its counts are exact, as the unigram score needs them; what goes on to level 2
+  is quantised to two bytes;
+* level 2, by context: the heads (contexts of the shard), monotone pointers to
+  where the successors of each begin, the successors' word ids relative to their
+  context, all Elias-Fano coded, and the quantised logarithms of
+  n(c, w) / (n(c) + MU). A bigram is looked up from its head by the pointer and
+  a successor search for its word in the context's row.
 
 No task, and not the driver, ever holds the vocabulary or the trie. Texts are
 turned once into chunks of a few megabytes (distinct words and codes). Chunks
@@ -47,8 +50,9 @@ MU = 100.0
 FOLDS, HELD_OUT = 7, 2
 SHARD = 1 << 21
 """Words, or bigrams, that a shard receives on average."""
-STEPS = 4096
-"""Quantisation steps per power of ten."""
+STEPS = 16383
+"""Quantisation steps of the root of -log10 of a probability, so that those near 1,
+which stand in long repetitions, are told apart finely; 10^-16 is the least."""
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
 """The end of a text; no word holds a line break."""
 
@@ -76,6 +80,7 @@ class EliasFano:
         self.bits = _mapped(np.packbits(bits, bitorder="little"), file)
         zeros = 64 - bits.reshape(-1, 64).sum(axis=1)
         self.zeros = np.concatenate([[0], np.cumsum(zeros)])
+        self.ones = 64 * np.arange(len(self.zeros)) - self.zeros
 
     def _end_of(self, high: np.ndarray) -> np.ndarray:
         """How many numbers have a high part of at most ``high``: the place of
@@ -114,6 +119,20 @@ class EliasFano:
         at = np.minimum(low, self.n - 1)
         return np.where((low < last) & (self._low_part(at) == wanted), low, -1)
 
+    def at(self, index: np.ndarray) -> np.ndarray:
+        """The numbers at places that exist: the place of one number ``index`` in
+        the bit vector, less the ones before it, is the high part."""
+        word = np.searchsorted(self.ones, index, "right") - 1
+        rest = index - self.ones[word]
+        window = self.bits[8 * word[:, None] + np.arange(8)]
+        ones = _ONES[window]
+        upto = np.cumsum(ones, axis=1)
+        byte = (upto <= rest[:, None]).sum(axis=1)
+        rows = np.arange(len(index))
+        rest = rest - (upto[rows, byte] - ones[rows, byte])
+        high = 64 * word + 8 * byte + _ONE_AT[window[rows, byte], rest] - index
+        return (high.astype(np.uint64) << self.shift) | self._low_part(index) if self.width < 8 else self._low_part(index)
+
     def _low_part(self, at: np.ndarray) -> np.ndarray:
         out = np.zeros((len(at), 8), np.uint8)
         out[:, : self.width] = self.low[at]
@@ -123,6 +142,41 @@ class EliasFano:
 _BYTES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
 _ONES = _BYTES.sum(axis=1).astype(np.int64)
 _ZERO_AT = np.array([[*np.flatnonzero(row == 0), *[0] * 8][:8] for row in _BYTES])
+_ONE_AT = np.array([[*np.flatnonzero(row), *[0] * 8][:8] for row in _BYTES])
+
+
+class Successors:
+    """The deeper level of a trie: the successors of each context in a row.
+
+    ``pointers`` says where the row of each context begins, a monotone sequence.
+    Within a row the word ids rise; from row to row they are made to rise by
+    adding the last number of the row before (``bases``), so that all rows are
+    one Elias-Fano sequence of numbers relative to their context.
+    """
+
+    def __init__(self, contexts: np.ndarray, words: np.ndarray, file):
+        """``words[i]`` follows ``contexts[i]``; sorted by both, without copies."""
+        own, begins = np.unique(contexts, return_index=True)
+        ends = np.append(begins[1:], len(contexts)) if len(own) else begins
+        last = (words[ends - 1].astype(np.uint64) + np.uint64(1)) if len(own) else np.zeros(0, np.uint64)
+        base = np.cumsum(last) - last
+        self.heads = EliasFano(own, file)
+        self.pointers = EliasFano(np.append(begins, len(contexts)).astype(np.uint64), file)
+        self.bases = EliasFano(base, file)
+        self.words = EliasFano(words.astype(np.uint64) + np.uint64(1) + np.repeat(base, ends - begins), file)
+
+    def find(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Place of each (context, word), or -1: from the context's head by its
+        pointer to its row, and a successor search for the word there."""
+        head = self.heads.find(contexts)
+        out = np.full(len(contexts), -1)
+        at = np.flatnonzero(head >= 0)
+        if len(at):
+            head = head[at]
+            begin, end = self.pointers.at(head).astype(np.int64), self.pointers.at(head + 1).astype(np.int64)
+            found = self.words.find(self.bases.at(head) + words[at].astype(np.uint64) + np.uint64(1))
+            out[at] = np.where((found >= begin) & (found < end), found, -1)
+        return out
 
 
 def _mapped(values: np.ndarray, file) -> np.ndarray:
@@ -218,7 +272,7 @@ def _level_one(chunks: DataFrame, parts: int) -> DataFrame:
         out = []
         with tempfile.TemporaryFile() as file:
             level = EliasFano(distinct[known], file)
-            known_counts = total[known]
+            known_counts = _mapped(total[known], file)
             for chunk, (v, _) in zip(rows["chunk"], asked):
                 ids = level.find(v)
                 count = np.where(ids >= 0, known_counts[np.maximum(ids, 0)] if len(known_counts) else 0, 0)
@@ -230,16 +284,21 @@ def _level_one(chunks: DataFrame, parts: int) -> DataFrame:
     return asked.groupBy("part").applyInPandas(answer, "part int, chunk long, data binary, vocabulary long, tokens long")
 
 
+EXACT = 10
+"""log2 of the counts below which a code is the count itself."""
+
+
 def _code(count: np.ndarray) -> np.ndarray:
-    """A count of up to 2^63 in two bytes: exact below 256, then in steps of a
-    256th of a doubling, so that it is off by at most 0.14%."""
-    large = 256 + np.round(256 * (np.log2(np.maximum(count, 256)) - 8))
-    return np.where(count < 256, count, large).astype(np.uint16)
+    """A count of up to 2^63 in two bytes: exact below 1024, then in steps of a
+    1024th of a doubling, so that it is off by at most 0.034%."""
+    least = 1 << EXACT
+    large = least + np.round(least * (np.log2(np.maximum(count, least)) - EXACT))
+    return np.where(count < least, count, large).astype(np.uint16)
 
 
 def _count(code: np.ndarray) -> np.ndarray:
-    code = code.astype(np.float64)
-    return np.where(code < 256, code, 2.0 ** (8 + (code - 256) / 256))
+    code, least = code.astype(np.float64), 1 << EXACT
+    return np.where(code < least, code, 2.0 ** (EXACT + (code - least) / least))
 
 
 def _spread(context: np.ndarray, word: np.ndarray, count: np.ndarray, shards: int) -> np.ndarray:
@@ -272,6 +331,8 @@ def scored(docs: DataFrame, mu: float = MU) -> DataFrame:
     totals = {r["part"]: (r["vocabulary"], r["tokens"]) for r in words.where("chunk IS NULL").collect()}
     first = np.cumsum([0, *(totals.get(k, (0, 0))[0] for k in range(parts))])
     vocabulary, learnt = int(first[-1]), sum(t for _, t in totals.values())
+    if vocabulary >= 1 << 32:
+        raise ValueError(f"{vocabulary} distinct words do not fit the 32 bits of a word in a bigram")
     floor = float(learnt + vocabulary + 1)
 
     def ask(key: tuple, chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
@@ -332,18 +393,13 @@ def scored(docs: DataFrame, mu: float = MU) -> DataFrame:
             times = np.add.reduceat(seen[order], new)
             kept = times > 0
             distinct, times, total = ordered[new][kept], times[kept], of_context[order][new][kept]
-            contexts = np.unique(distinct >> np.uint64(32))
-            universe = np.uint64(vocabulary + 1)
-            share = np.minimum(np.round(-np.log10(times / (total + mu)) * STEPS), 65535).astype(np.uint16)
+            share = np.minimum(np.round(np.sqrt(-np.log10(times / (total + mu))) * STEPS), 65535).astype(np.uint16)
             with tempfile.TemporaryFile() as file:
-                heads = EliasFano(contexts, file)
-                successors = EliasFano(np.searchsorted(contexts, distinct >> np.uint64(32)).astype(np.uint64) * universe + (distinct & np.uint64(0xFFFFFFFF)), file)
+                successors = Successors(distinct >> np.uint64(32), distinct & np.uint64(0xFFFFFFFF), file)
                 shares = _mapped(share, file)
                 for (chunk, _, _, word_code, total, times, owner, texts), pair in zip(asked, pairs):
-                    context = heads.find(pair >> np.uint64(32))
-                    at = successors.find(np.maximum(context, 0).astype(np.uint64) * universe + (pair & np.uint64(0xFFFFFFFF)))
-                    at = np.where(context >= 0, at, -1)
-                    upper = np.where(at >= 0, 10.0 ** (-shares[np.maximum(at, 0)].astype(np.float64) / STEPS) if len(shares) else 0.0, 0.0)
+                    at = successors.find(pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF))
+                    upper = np.where(at >= 0, 10.0 ** -((shares[np.maximum(at, 0)] / STEPS) ** 2) if len(shares) else 0.0, 0.0)
                     total = _numbers(total, np.int64).astype(np.float64)
                     value = np.log10(upper + mu / (total + mu) * (_count(_numbers(word_code, np.uint16)) + 1) / floor)
                     sums = np.bincount(_numbers(owner, np.uint32), np.repeat(value, _numbers(times, np.uint32)), texts)
