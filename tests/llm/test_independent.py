@@ -7,7 +7,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from twinedge.llm import decontaminate, language, neardup, pages, queries, secret_scan, words
+from twinedge.llm import decontaminate, language, neardup, pages, quality, queries, secret_scan, words
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -17,6 +17,17 @@ def small(spark):
     return spark.read.parquet(f"{SMALL}/documents.parquet")
 
 
+# 2 quality rules
+
+def test_a_second_policy_reads_no_text(small):
+    """Judging and ablation of a stored ledger scan its numbers only."""
+    rows = quality.stored_ledger(small)
+    for found in (quality.judged(rows, quality.Policy("base", 1, quality.BASE.rules)), quality.ablation(rows), quality.failure_profile(rows)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "text" not in plan and "MapInArrow" not in plan and "rule-ledger" in found.inputFiles()[0]
+    assert rows.count() == small.count()
+
+
 # 3 near duplicates
 
 def test_near_copies_that_are_mostly_apart(spark):

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinedge.llm.words import map_slices, mixed, plain, sums, text_bytes, words_of
+from twinedge.scratch import materialise
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper_words", "n_letter_words")
 SYMBOLS = b"#*$%&|<>"
@@ -135,6 +136,12 @@ def ledger(docs: DataFrame) -> DataFrame:
     return map_slices(rows, _measure, schema).withColumn("failed", failed)
 
 
+def stored_ledger(docs: DataFrame) -> DataFrame:
+    """The ledger, written to the shared folder: policies, ablations and profiles
+    read this table of numbers, and no text."""
+    return materialise(ledger(docs), "rule-ledger")
+
+
 def judged(rows: DataFrame, policy: Policy = STANDARD) -> DataFrame:
     """Ledger rows with ``base_failed`` and the policy's ``kept``."""
     base = F.col("failed").bitwiseAND(F.lit(BASE.mask).cast("long")) != 0
@@ -147,7 +154,8 @@ def ablation(rows: DataFrame, policies: Sequence[Policy] = (STANDARD,)) -> DataF
     that a rule rejects, that it alone rejects, and that stay without it.
 
     Documents are first counted by their failure bits, at most 2^rules groups,
-    so the shuffle holds a handful of rows per task whatever the input.
+    so the shuffle holds a handful of rows per task whatever the input. Repeated
+    rows count each; an empty ledger gives no rows.
     """
     counted = rows.groupBy("failed").agg(F.count(F.lit(1)).alias("n"))
     out = []
@@ -171,7 +179,8 @@ def ablation(rows: DataFrame, policies: Sequence[Policy] = (STANDARD,)) -> DataF
 
 def failure_profile(rows: DataFrame) -> DataFrame:
     """``(source, n, any_failed, all_failed)``: the rules that some, and that all,
-    documents of a source fail, by OR and AND of the bits."""
+    documents of a source fail, by OR and AND of the bits. Null is a source of
+    its own, and repeated rows count each."""
     return rows.groupBy("source").agg(
         F.count(F.lit(1)).alias("n"), F.bit_or("failed").alias("any_failed"), F.bit_and("failed").alias("all_failed")
     )

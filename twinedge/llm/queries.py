@@ -42,6 +42,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy rejects, from the stored ledger."""
+    rows = quality.stored_ledger(table(spark, sf_dir, "documents"))
+    return quality.ablation(rows, (quality.STANDARD, quality.BASE))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -120,6 +126,7 @@ QUERIES: dict[str, Query] = {
     "op12_merkle_fingerprints": op12_merkle_fingerprints,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
     "language_id_of_pages": language_id_of_pages,
+    "rule_ablation": rule_ablation,
 }
 
 LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -215,3 +222,17 @@ ORACLE_SQL: dict[str, str] = {
         SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s
         WHERE score > 0 QUALIFY rank <= 10""",
 }
+
+
+def _ablation_sql() -> str:
+    """From the failure bits of operator 2's SQL."""
+    listed = [(p.name, p.version, r, quality.BITS[r], p.mask) for p in (quality.STANDARD, quality.BASE) for r in p.rules]
+    rows = ", ".join(f"('{name}', {version!r}, '{rule}', {bit}, {mask})" for name, version, rule, bit, mask in listed)
+    return f"""
+        WITH judged AS ({ORACLE_SQL["op2_quality_rules"]}), r AS (SELECT * FROM (VALUES {rows}) AS x(policy, version, rule, rule_bit, mask))
+        SELECT policy, version, rule, count(*) FILTER (failed & mask & rule_bit <> 0) AS n_failed,
+            count(*) FILTER (failed & mask = rule_bit) AS n_only, count(*) FILTER (failed & mask & ~rule_bit = 0) AS n_kept_without
+        FROM judged, r GROUP BY ALL"""
+
+
+ORACLE_SQL["rule_ablation"] = _ablation_sql()
