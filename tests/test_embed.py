@@ -100,3 +100,37 @@ def test_isolated_nodes_keep_their_own_vector(spark):
     views = loops.selectExpr("'collaboration' AS view", "src", "dst", "w")
     vectors = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "idx bigint, vec array<float>")
     assert sorted((r["idx"], r["vec"]) for r in embed.neighbour_mean(views, vectors, 1).collect()) == [(0, [1.0]), (1, [2.0])]
+
+
+def test_vectors_travel_to_parts_not_along_edges(spark, world):
+    """Sums are complete in the part of a node: only lists of ends and vectors are exchanged."""
+    _, _, views, vectors = world
+    plan = embed.neighbour_mean(views, vectors, INPUTS)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+    assert not [line for line in exchanges if "hashpartitioning(view" in line and "idx" in line]
+
+
+def test_a_source_with_many_ends_takes_several_rows(world, monkeypatch):
+    x, weight, views, vectors = world
+    monkeypatch.setattr(embed, "HUB_ENDS", 2)
+    found = embed.neighbour_mean(views, vectors, INPUTS)
+    weights = embed.formula_weights(INPUTS, WIDTH)
+    h, _, _ = forward(x, weight, weights)
+    embedded = embed.view_embeddings(views, vectors, weights).persist()
+    for v in VIEWS:
+        expected = weight[v] @ x / weight[v].sum(axis=1, keepdims=True)
+        np.testing.assert_allclose(dense(found.where(found.view == v), INPUTS), expected, atol=1e-6)
+        np.testing.assert_allclose(dense(embedded.where(embedded.view == v), WIDTH), h[v], atol=1e-5)
+
+
+def test_copies_and_nodes_without_edges(spark):
+    """A node that is there twice counts twice, an edge twice likewise; a node
+    without an edge keeps its own part."""
+    views = spark.createDataFrame([("citation", 0, 1, 1), ("citation", 0, 1, 1), ("citation", 2, 1, 1)], "view string, src bigint, dst bigint, w bigint")
+    vectors = spark.createDataFrame([(0, [1.0]), (0, [3.0]), (2, [5.0])], "idx bigint, vec array<float>")
+    assert [(r["idx"], r["vec"]) for r in embed.neighbour_mean(views, vectors, 1).collect()] == [(1, [pytest.approx(13 / 5)])]
+    one = embed.Linear(np.ones((1, 1)), np.zeros(1))
+    nodes = spark.createDataFrame([(0, [1.0]), (1, [7.0]), (2, [5.0])], "idx bigint, vec array<float>")
+    layer = {"citation": embed.SageLayer(one, one)}
+    found = {r["idx"]: r["vec"][0] for r in embed.sage_layer(views, nodes, layer).collect()}
+    assert found == {0: 1.0, 1: pytest.approx(7 + 7 / 3), 2: 5.0}

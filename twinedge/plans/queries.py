@@ -711,7 +711,7 @@ def vector_digest(df: DataFrame, *keys: str) -> DataFrame:
 
 @query("neighbour_mean")
 def _(g):
-    found = embed.neighbour_mean(graph.author_views(path_edges(g), g.authors), node_vectors(g), 64)
+    found = embed.neighbour_mean(views(g), node_vectors(g), 64)
     return vector_digest(found, "view", "idx")
 
 
@@ -745,11 +745,11 @@ def small_weights() -> embed.ScorerWeights:
 @query("sage_layer")
 def _(g):
     first = {v: pair[0] for v, pair in small_weights().layers.items()}
-    return vector_digest(embed.sage_layer(embed.mean_shares(views(g)), node_vectors(g), first), "view", "idx")
+    return vector_digest(embed.sage_layer(views(g), node_vectors(g), first), "view", "idx")
 
 
 def embedded(g: DerivedGraph) -> DataFrame:
-    return embed.view_embeddings(embed.mean_shares(views(g)), node_vectors(g), small_weights())
+    return embed.view_embeddings(views(g), node_vectors(g), small_weights())
 
 
 @query("view_embeddings")
