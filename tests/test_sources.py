@@ -230,3 +230,23 @@ def test_versions_expire_unless_read(spark, tmp_path):
     assert found.edges().count() == 280 and found.expire() == []
     with pytest.raises(ValueError):
         found.expire(0)
+
+
+def test_missing_datasets_and_lines_of_shared_vectors(spark, tmp_path):
+    """A look at one line tells what is missing; the text of a vector is made once."""
+    from twinedge.plans import queries
+
+    class Graph:
+        publications = spark.createDataFrame([(0, "p0"), (1, "p1"), (2, "p2")], "idx bigint, id string")
+        vectors = spark.createDataFrame([(0, [0.1, 2.0]), (1, None), (2, [0.1, 2.0])], "idx bigint, feat array<float>")
+
+        def with_vectors(self, made):
+            return self.vectors.select("idx", made)
+
+    raw.write_lines(queries.publication_lines(Graph()), str(tmp_path), "publications")
+    (tmp_path / "authors").mkdir()
+    missing = raw.missing_datasets(spark, str(tmp_path))
+    assert "publications" not in missing and "authors" in missing and len(missing) == 9
+    read = raw.scan_nodes(spark, str(tmp_path), "publication").select("idx", "id", "feat").collect()
+    assert sorted((r["idx"], r["id"], r["feat"] and [round(x, 3) for x in r["feat"]]) for r in read) == [(0, "p0", [0.1, 2.0]), (1, "p1", None), (2, "p2", [0.1, 2.0])]
+    assert "bert_embedding" not in spark.read.text(f"{tmp_path}/publications").where("value like '%p1%'").first()[0]

@@ -31,7 +31,7 @@ def build_graph(
     src_id, dst_id) and ``drops`` (dataset, malformed, unknown_src, unknown_dst).
     More than ``tolerance`` malformed lines and unresolved edges are an error.
     """
-    missing = [r["dataset"] for r in raw.dataset_completeness(spark, raw_dir).where("NOT ok").collect()]
+    missing = raw.missing_datasets(spark, raw_dir)
     if missing:
         raise FileNotFoundError(f"no data for {missing} in {raw_dir}")
     # text is parsed once, not once for each relation and check

@@ -14,7 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinedge.operators.embed import cosine_scores
@@ -116,15 +116,21 @@ class DerivedGraph:
             key.alias("idx"), F.concat(F.lit("p"), key.cast("string")).alias("id")
         )
 
-    @cached_property
-    def publication_features(self) -> DataFrame:
+    def with_vectors(self, made: Column) -> DataFrame:
+        """(idx, feat): ``made`` from the column feat of a publication's vector,
+        once for each vector."""
+        vectors = self.table("embeddings").select("vec_id", F.col("embedding").alias("feat"))
         return (
             self.table("orders")
             .select(F.col("o_orderkey").alias("idx"), (F.col("o_orderkey") % self.num_vectors).alias("vec_id"))
-            .join(self.table("embeddings").select("vec_id", F.col("embedding").alias("feat")), "vec_id")
+            .join(vectors.select("vec_id", made), "vec_id")
             .select("idx", "feat")
         )
 
+    @cached_property
+    def publication_features(self) -> DataFrame:
+        return self.with_vectors(F.col("feat"))
+
     @cached_property
     def writes(self) -> DataFrame:
         second = F.col("o_orderkey") % self.num_authors

@@ -113,21 +113,26 @@ def author_lines(g: DerivedGraph) -> DataFrame:
 
 
 def publication_lines(g: DerivedGraph) -> DataFrame:
-    rows = g.publications.join(g.publication_features, "idx")
-    return raw.node_lines(rows, F.to_json(F.struct("id", F.col("feat").alias("bert_embedding"))))
+    # many publications share a vector, whose text is made once
+    feat = F.concat(F.lit(',"bert_embedding":'), F.to_json("feat"))
+    rows = g.publications.join(g.with_vectors(feat.alias("feat")), "idx")
+    payload = F.concat(F.lit('{"id":"'), "id", F.lit('"'), F.coalesce("feat", F.lit("")), F.lit("}"))
+    return raw.node_lines(rows, payload)
 
 
 def write_raw(g: DerivedGraph, *datasets: str) -> str:
     folder = new_path(g.spark, "raw")
     by_dataset = {e.dataset: t for t, e in EDGE_TYPES.items() if e.dataset}
-    for name in datasets:
+
+    def lines(name: str) -> DataFrame:
         if name == NODE_DATASETS[AUTHOR]:
-            lines = author_lines(g)
-        elif name == NODE_DATASETS[PUBLICATION]:
-            lines = publication_lines(g)
-        else:
-            lines = raw.edge_lines(g.raw_edges(by_dataset[name]))
-        raw.write_lines(lines, folder, name)
+            return author_lines(g)
+        if name == NODE_DATASETS[PUBLICATION]:
+            return publication_lines(g)
+        return raw.edge_lines(g.raw_edges(by_dataset[name]))
+
+    planned = {name: lines(name) for name in datasets}
+    at_once({name: lambda name=name: raw.write_lines(planned[name], folder, name) for name in datasets})
     return folder
 
 
@@ -211,12 +216,14 @@ def _(g):
 
 @query("graph_store_roundtrip")
 def _(g):
+    edges = all_edges(g) | path_edges(g)  # built twice
+
     def build():
         nodes = {
             AUTHOR: g.authors.join(g.author_features, "idx").select("idx", "id", "orcid", "feat"),
             PUBLICATION: g.publications,
         }
-        return nodes, graph.edge_table(all_edges(g))
+        return nodes, graph.edge_table(edges)
 
     stored = store.GraphStore(g.spark, new_path(g.spark, "graph")).load_or_build(build)
     stored.load_or_build(build, force_reload=True)

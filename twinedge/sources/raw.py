@@ -225,6 +225,20 @@ def dataset_completeness(spark: SparkSession, raw_dir: str) -> DataFrame:
     return counted.select("dataset", (rows > 0).alias("ok"), rows.alias("rows"))
 
 
+def missing_datasets(spark: SparkSession, raw_dir: str) -> list[str]:
+    """Those of the ten raw datasets that do not exist or hold no line; reads a
+    line of each."""
+    missing = []
+    for name in RAW_DATASETS:
+        try:
+            empty = spark.read.text(f"{raw_dir}/{name}").isEmpty()
+        except AnalysisException:
+            empty = True
+        if empty:
+            missing.append(name)
+    return missing
+
+
 def write_json_gz(df: DataFrame, path: str) -> None:
     """JSON lines, gzipped, non-ASCII letters kept, null fields written."""
     df.write.option("compression", "gzip").option("ignoreNullFields", "false").json(path)
@@ -251,4 +265,4 @@ def node_lines(nodes: DataFrame, payload: Column) -> DataFrame:
 
 
 def write_lines(lines: DataFrame, raw_dir: str, dataset: str) -> None:
-    lines.write.option("compression", "gzip").text(f"{raw_dir}/{dataset}")
+    lines.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(f"{raw_dir}/{dataset}")
