@@ -174,15 +174,16 @@ def weighted_sum(rows: DataFrame, keys: list[str], weight: str, width: int, mean
     return _summed(blocked(rows, width), keys, weight, width, mean)
 
 
-def _summed(blocks: DataFrame, keys: list[str], weight: str, width: int, mean: bool) -> DataFrame:
-    """As :func:`weighted_sum`, of rows that are blocked already.
+def _summed(blocks: DataFrame, keys: list[str], weight: str, width: int, mean: bool, within: Sequence[str] = ()) -> DataFrame:
+    """As :func:`weighted_sum`, of rows that are blocked already. ``within`` names
+    columns that the key and block determine and the rows are dealt by.
 
     Each key and block holds a buffer of plain doubles: a hash aggregate in
     generated code that combines map-side and spills, the same for any width.
     """
     w = F.col(weight).cast("double")
     cells = [F.sum(w * F.get("vec", F.lit(i))).alias(f"_{i}") for i in range(min(width, BLOCK))]
-    sums = blocks.groupBy(*keys, "block").agg(F.sum(w).alias("_w"), *cells)
+    sums = blocks.groupBy(*keys, "block", *within).agg(F.sum(w).alias("_w"), *cells)
     by = F.col("_w") if mean else F.lit(1.0)
     vectors = sums.select(*keys, "block", F.array(*[F.col(f"_{i}") / by for i in range(min(width, BLOCK))]).alias("vec"))
     return assembled(vectors, keys, width)
@@ -204,62 +205,38 @@ def _hubs(edges: DataFrame, on: list[str]) -> DataFrame:
     return ends.select(*on, F.ceil(F.col("n") / HUB_ENDS).cast("int").alias("chunks"))
 
 
-def _gathered(edges: DataFrame, nodes: DataFrame, weight: str, width: int, mean: bool) -> DataFrame:
-    """``(view, idx, vec)``: sum (or mean) of ``weight * vec`` over the edges into a node.
-
-    ``nodes`` is ``([view,] src, vec)``. With a column ``own``, the node's ``own``
-    is added, once for each edge marked ``self``; such edges carry nothing else.
+def neighbour_mean(views: DataFrame, features: DataFrame, width: int) -> DataFrame:
+    """``(view, idx, vec)``: weighted mean of the vectors at the sources of the
+    edges into a node. ``features`` is ``(idx, vec)``, the same for every view,
+    or ``(view, idx, vec)``; ``width`` is the length of the vectors. ``views`` is
+    read twice.
 
     The nodes are dealt by a hash to parts, and a vector is sent once to each part
     that its edges lead to, with their other ends, not once along every edge. Sums
     of a part are complete where they are made.
     """
-    own = "own" in nodes.columns
+    nodes = features.withColumnRenamed("idx", "src")
     on = [c for c in ("view", "src") if c in nodes.columns]
+    carried = [c for c in on if c == "view"]  # or else the view is told with each end
     blocks = _blocks(width)
     parts = -(-CELLS // blocks)  # a wide vector's blocks are dealt out as well
 
-    def part(node: str):
-        return F.pmod(F.xxhash64(node), F.lit(parts)).cast("int")
-
-    loop = F.col("self") if own else F.lit(False)
-    carried = [c for c in on if c == "view"]  # or else the view is told with each end
-    end = F.struct(*[c for c in ("view",) if c not in on], F.col("dst").alias("idx"), F.col(weight).cast("double").alias("_u"))
-    lists = [F.collect_list(F.when(~loop & (part("dst") == j), end)).alias(f"_{j}") for j in range(parts)]
+    part = F.pmod(F.xxhash64("dst"), F.lit(parts))
+    end = F.struct(*[c for c in ("view",) if c not in on], F.col("dst").alias("idx"), "w")
+    lists = [F.collect_list(F.when(part == j, end)).alias(f"_{j}") for j in range(parts)]
     by = list(on)
-    hubs = materialise(_hubs(edges, on), "hub-sources")
+    hubs = materialise(_hubs(views, on), "hub-sources")
     if not hubs.isEmpty():
         chunks = F.coalesce("chunks", F.lit(1))
-        edges = edges.join(hubs, on, "left").withColumn("chunk", F.pmod(F.xxhash64("dst"), chunks))
+        views = views.join(hubs, on, "left").withColumn("chunk", F.pmod(F.xxhash64("dst"), chunks))
         by.append("chunk")
-    ends = edges.groupBy(*by).agg(*lists, *([F.collect_list(F.when(loop, end)).alias("_own")] if own else []))
-    sent = [F.struct(F.lit(j).alias("part"), F.lit(False).alias("self"), F.col(f"_{j}").alias("ends"), "vec") for j in range(parts)]
-    if own:
-        sent.append(F.struct(part("src").alias("part"), F.lit(True).alias("self"), F.col("_own").alias("ends"), F.col("own").alias("vec")))
+    ends = views.groupBy(*by).agg(*lists)
+    sent = [F.struct(F.lit(j).alias("part"), F.col(f"_{j}").alias("ends"), "vec") for j in range(parts)]
     filled = F.filter(F.array(*sent), lambda x: F.size(x["ends"]) > 0)
     rows = ends.join(nodes, on).select(*carried, F.explode(filled).alias("x")).select(*carried, "x.*")
     dealt = blocked(rows, width).withColumn("cell", F.col("part") * blocks + F.col("block"))
-    messages = dealt.repartitionById(parts * blocks, "cell").select(*carried, "cell", "self", "block", "vec", F.inline("ends"))
-
-    n = min(width, BLOCK)
-    cells = [F.sum(F.col("_u") * F.get("vec", F.lit(i))).alias(f"_{i}") for i in range(n)]
-    keys = ["view", "idx", "block", "cell"]
-    sums = messages.groupBy(*keys, *(["self"] if own else [])).agg(F.sum("_u").alias("_w"), *cells)
-    by_weight = F.when(F.col("self"), F.lit(1.0)).otherwise(F.col("_w")) if own else F.col("_w")
-    values = [(F.col(f"_{i}") / by_weight if mean else F.col(f"_{i}")).alias(f"_{i}") for i in range(n)]
-    if own:
-        sums = sums.select(*keys, *values).groupBy(*keys).agg(*[F.sum(f"_{i}").alias(f"_{i}") for i in range(n)])
-        values = [F.col(f"_{i}") for i in range(n)]
-    return assembled(sums.select("view", "idx", "block", F.array(*values).alias("vec")), ["view", "idx"], width)
-
-
-def neighbour_mean(views: DataFrame, features: DataFrame, width: int) -> DataFrame:
-    """``(view, idx, vec)``: weighted mean of the vectors at the sources of the
-    edges into a node. ``features`` is ``(idx, vec)``, the same for every view,
-    or ``(view, idx, vec)``; ``width`` is the length of the vectors. ``views`` is
-    read twice. A vector travels at most ``CELLS`` times, however many edges its
-    node has; an edge travels as two numbers."""
-    return _gathered(views, features.withColumnRenamed("idx", "src"), "w", width, mean=True)
+    messages = dealt.repartitionById(parts * blocks, "cell").select(*carried, "cell", "block", "vec", F.inline("ends"))
+    return _summed(messages, ["view", "idx"], "w", width, mean=True, within=["cell"])
 
 
 def mean_shares(views: DataFrame) -> DataFrame:
@@ -271,25 +248,27 @@ def mean_shares(views: DataFrame) -> DataFrame:
 
 
 def sage_layer(
-    edges: DataFrame, nodes: DataFrame, layers: Mapping[str, SageLayer], relu_first: bool = False
+    shares: DataFrame, nodes: DataFrame, layers: Mapping[str, SageLayer], relu_first: bool = False
 ) -> DataFrame:
     """One convolution for all views: own(h) + mean of near(h) over neighbours.
 
-    ``edges`` are views with weights ``w``, or :func:`mean_shares` of them. Both
-    parts come from one pass over the nodes. The own part joins as one more edge
-    from the node to itself, so one join with the vectors serves both.
+    Both parts come from one pass over the nodes. The own part joins as one more
+    edge of weight 1 from the node to itself, so one join with the wide vectors
+    serves both.
     """
 
     def after_relu(lin: Linear):
         return (lambda x: lin(np.maximum(x, 0.0))) if relu_first else lin
 
-    weight = "share" if "share" in edges.columns else "w"
     both = _project(nodes, {v: (after_relu(layer.near), after_relu(layer.own)) for v, layer in layers.items()})
     each = nodes.select("view", "idx") if "view" in nodes.columns else nodes.select(F.explode(F.array(*[F.lit(v) for v in layers])).alias("view"), "idx")
-    selves = each.select("view", F.col("idx").alias("src"), F.col("idx").alias("dst"), F.lit(1.0).alias(weight), F.lit(True).alias("self"))
-    links = edges.select("view", "src", "dst", F.col(weight).cast("double").alias(weight), F.lit(False).alias("self"))
+    selves = each.select("view", F.col("idx").alias("src"), F.col("idx").alias("dst"), F.lit(1.0).alias("share"), F.lit(True).alias("self"))
+    edges = shares.select("view", "src", "dst", "share", F.lit(False).alias("self")).unionByName(selves)
+    rows = edges.join(both.withColumnRenamed("idx", "src"), ["view", "src"]).select(
+        "view", F.col("dst").alias("idx"), "share", F.when(F.col("self"), F.col("v1")).otherwise(F.col("v0")).alias("vec")
+    )
     width = max(len(layer.own.bias) for layer in layers.values())
-    return _gathered(links.unionByName(selves), both.toDF("view", "src", "vec", "own"), weight, width, mean=weight == "w")
+    return weighted_sum(rows, ["view", "idx"], "share", width)
 
 
 def _with_logit(layer: SageLayer, attention: Linear) -> SageLayer:
@@ -303,17 +282,15 @@ def _with_logit(layer: SageLayer, attention: Linear) -> SageLayer:
     return SageLayer(extend(layer.own, own_bias), extend(layer.near, np.zeros(1)))
 
 
-def view_embeddings(edges: DataFrame, features: DataFrame, weights: ScorerWeights) -> DataFrame:
+def view_embeddings(shares: DataFrame, features: DataFrame, weights: ScorerWeights) -> DataFrame:
     """``(view, idx, vec, logit)`` after two layers with a ReLU in between;
-    ``features`` is ``(idx, vec)``, ``edges`` are those of :func:`sage_layer`.
-    Views are taken for a stored table, as both layers read them."""
-    if "share" in edges.columns:
-        edges = materialise(edges, "shares")
-    first = sage_layer(edges, features, {v: pair[0] for v, pair in weights.layers.items()})
+    ``features`` is ``(idx, vec)``."""
+    shares = materialise(shares, "shares")  # read by both layers
+    first = sage_layer(shares, features, {v: pair[0] for v, pair in weights.layers.items()})
     # read twice by the second layer
     first = materialise(first, "sage-hidden")
     second = {v: _with_logit(pair[1], weights.attention[v]) for v, pair in weights.layers.items()}
-    h = sage_layer(edges, first, second, relu_first=True)
+    h = sage_layer(shares, first, second, relu_first=True)
     return h.select(
         "view",
         "idx",
@@ -376,7 +353,7 @@ def edge_scores(edges: DataFrame, nodes: DataFrame, weights: ScorerWeights) -> D
 
 def score_candidates(edges: DataFrame, views: DataFrame, features: DataFrame, weights: ScorerWeights) -> DataFrame:
     """The whole forward function: candidate edges to scores."""
-    h = view_embeddings(views, features, weights)
+    h = view_embeddings(mean_shares(views), features, weights)
     return edge_scores(edges, node_embeddings(h, weights.width), weights)
 
 
