@@ -132,3 +132,11 @@ def test_copies_and_nodes_without_edges(spark):
     layer = {"citation": embed.SageLayer(one, one)}
     found = {r["idx"]: r["vec"][0] for r in embed.sage_layer(embed.mean_shares(views), nodes, layer).collect()}
     assert found == {0: 1.0, 1: pytest.approx(7 + 7 / 3), 2: 5.0}
+
+
+def test_attention_makes_the_embeddings_once(world):
+    """Not once for each side of a join with the largest logit or the sum."""
+    _, _, views, vectors = world
+    found = embed.view_embeddings(embed.mean_shares(views), vectors, embed.formula_weights(INPUTS, WIDTH))
+    for df in (embed.view_attention(found), embed.node_embeddings(found, WIDTH)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1

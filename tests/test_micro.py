@@ -201,3 +201,19 @@ def test_integrity(spark, micro):
     assert found["edge_range", "writes"] == 1 and found["edge_range", "cites"] == 1
     with pytest.raises(ValueError):
         graph.require_intact(broken)
+
+
+def test_keys_are_counted_only_where_a_bucket_is_full(micro):
+    """And copies of walks count once in a view, copies of other links each."""
+    frontier = micro["edges"]["writes"].selectExpr("src AS start", "dst AS at")
+    cites = micro["edges"]["cites"]
+    assert graph._hubs(frontier, cites, 50, 5) is None
+    assert {r["key"] for r in graph._hubs(frontier, cites, 1, 5).collect()} == {10, 11}
+    twice = {t: e.union(e) for t, e in micro["edges"].items()}
+    twice |= {"coprojected": twice["cites"], "collaborates": twice["writes"], "potentially_equates": twice["writes"]}
+    nodes = micro["nodes"]
+    found = graph.author_views(twice, nodes)
+    by_path = graph.with_self_loops(graph.metapath(twice, ["writes", "cites", "is_written_by"]), nodes)
+    plain = graph.with_self_loops(twice["writes"], nodes)
+    for view, expected in (("citation", by_path), ("collaboration", plain)):
+        assert rows(found.where(found.view == view).select("src", "dst", "w")) == rows(expected.select("src", "dst", "w"))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinedge.schema import VIEWS
@@ -301,17 +301,17 @@ def view_embeddings(shares: DataFrame, features: DataFrame, weights: ScorerWeigh
 
 def attention_scaled(embeddings: DataFrame) -> DataFrame:
     """Add ``share``, exp(logit) relative to the node's largest: softmax up to
-    its denominator, safe from overflow."""
-    top = embeddings.groupBy("idx").agg(F.max("logit").alias("top"))
-    return embeddings.join(top, "idx").withColumn("share", F.exp(F.col("logit") - F.col("top"))).drop("top")
+    its denominator, safe from overflow. A window, as a join with the largest
+    would make the embeddings once for each of its sides."""
+    top = F.max("logit").over(Window.partitionBy("idx"))
+    return embeddings.where("idx IS NOT NULL").withColumn("share", F.exp(F.col("logit") - top))
 
 
 def view_attention(embeddings: DataFrame) -> DataFrame:
     """``(view, idx, weight)``: softmax of the logits over the views of a node."""
-    logits = embeddings.select("view", "idx", "logit")
-    scaled = attention_scaled(logits)
-    total = scaled.groupBy("idx").agg(F.sum("share").alias("total"))
-    return scaled.join(total, "idx").select("view", "idx", (F.col("share") / F.col("total")).alias("weight"))
+    scaled = attention_scaled(embeddings.select("view", "idx", "logit"))
+    total = F.sum("share").over(Window.partitionBy("idx"))
+    return scaled.select("view", "idx", (F.col("share") / total).alias("weight"))
 
 
 def node_embeddings(embeddings: DataFrame, width: int) -> DataFrame:

@@ -14,6 +14,7 @@ from twinedge.scratch import at_once, materialise
 # A join key whose matches exceed this many output rows is cut into cells.
 HUB_OUTPUT = 50_000_000
 HUB_SIDE = 5_000
+HUB_BUCKETS = 1 << 16
 
 
 # ---- id resolution -------------------------------------------------------
@@ -223,16 +224,31 @@ def require_intact(report: DataFrame) -> None:
 
 # ---- metapaths and views -------------------------------------------------
 
-def _hubs(frontier: DataFrame, edges: DataFrame, hub_output: int, side: int) -> DataFrame:
-    """Join keys with too many matches, and into how many parts to cut each side."""
+def _hubs(frontier: DataFrame, edges: DataFrame, hub_output: int, side: int) -> DataFrame | None:
+    """Join keys with too many matches, and into how many parts to cut each side;
+    None where a sum shows that there are none.
+
+    A key has at most the matches that its bucket would have as one key. Only
+    keys of buckets above the bound are counted one by one, so where no bucket is,
+    nothing but sums of buckets is shuffled.
+    """
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    ends = frontier.select(F.col("at").alias("key"), one.alias("l"), none.alias("r")).unionByName(
+        edges.select(F.col("src").alias("key"), none.alias("l"), one.alias("r"))
+    )
+    ends = ends.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(HUB_BUCKETS)))
+    # as doubles: the product of two long counts may not fit a long
+    above = F.col("l").cast("double") * F.col("r") > hub_output
+    full = materialise(
+        ends.groupBy("bucket").agg(F.sum("l").alias("l"), F.sum("r").alias("r")).where(above).select("bucket"), "hub-buckets"
+    )
+    if full.isEmpty():
+        return None
     return (
-        frontier.select(F.col("at").alias("key"), one.alias("l"), none.alias("r"))
-        .unionByName(edges.select(F.col("src").alias("key"), none.alias("l"), one.alias("r")))
+        ends.join(full, "bucket", "left_semi")
         .groupBy("key")
         .agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-        # as doubles: the product of two long counts may not fit a long
-        .where(F.col("l").cast("double") * F.col("r") > hub_output)
+        .where(above)
         .select(
             "key",
             F.ceil(F.col("l") / side).cast("int").alias("l_parts"),
@@ -242,14 +258,16 @@ def _hubs(frontier: DataFrame, edges: DataFrame, hub_output: int, side: int) ->
 
 
 def _hop(frontier: DataFrame, edges: DataFrame, hub_output: int, side: int) -> DataFrame:
-    """Distinct (start, at) one edge further.
+    """(start, at) one edge further, with copies.
 
     A hub has in x out matches, which no split by input size sees. Its rows are
     therefore laid on a grid: the left side is cut by start, the right side by
     end, and each cell (key, i, j) is a join of at most about side x side rows.
     """
-    # without hubs every key is one cell, and this is the plain join
-    hubs = materialise(_hubs(frontier, edges, hub_output, side), "hubs")
+    hubs = _hubs(frontier, edges, hub_output, side)
+    if hubs is None:
+        return frontier.join(edges, F.col("at") == F.col("src")).select("start", F.col("dst").alias("at"))
+    hubs = materialise(hubs, "hubs")
     parts = {p: F.coalesce(p, F.lit(1)) for p in ("l_parts", "r_parts")}
 
     def cells(part):
@@ -275,7 +293,12 @@ def _hop(frontier: DataFrame, edges: DataFrame, hub_output: int, side: int) -> D
             cells(parts["l_parts"]).alias("i"),
         )
     )
-    return left.join(right, ["key", "i", "j"]).select("start", F.col("dst").alias("at")).distinct()
+    return left.join(right, ["key", "i", "j"]).select("start", F.col("dst").alias("at"))
+
+
+def _frontier(edges: DataFrame) -> DataFrame:
+    """Distinct (start, at) after the first edge, written once: a hop reads it twice."""
+    return materialise(edges.select(F.col("src").alias("start"), F.col("dst").alias("at")).distinct(), "frontier")
 
 
 def metapath(
@@ -284,15 +307,30 @@ def metapath(
     hub_output: int = HUB_OUTPUT,
     side: int = HUB_SIDE,
 ) -> DataFrame:
-    """Distinct ``(src, dst)`` such that a walk along ``path`` leads from src to dst.
+    """Distinct ``(src, dst)`` such that a walk along ``path`` leads from src to dst."""
+    return _walks(edges, path, hub_output, side).distinct()
+
+
+def _walks(
+    edges: Mapping[str, DataFrame],
+    path: Sequence[str],
+    hub_output: int = HUB_OUTPUT,
+    side: int = HUB_SIDE,
+    begun: DataFrame | None = None,
+) -> DataFrame:
+    """:func:`metapath` before copies are removed after the last edge.
 
-    The frontier is made distinct after each hop (the optimizer does not push a
-    distinct below a join) and written once, as the next hop reads it twice.
+    The frontier is made distinct after each other hop (the optimizer does not
+    push a distinct below a join) and written once, as the next hop reads it
+    twice. ``begun`` is the frontier after the first edge, where paths share it.
     """
     first, *rest = path
-    frontier = edges[first].select(F.col("src").alias("start"), F.col("dst").alias("at")).distinct()
-    for etype in rest:
-        frontier = materialise(frontier, "frontier")
+    if not rest:
+        return edges[first].select("src", "dst")
+    frontier = _frontier(edges[first]) if begun is None else begun
+    for n, etype in enumerate(rest):
+        if n:
+            frontier = materialise(frontier.distinct(), "frontier")
         frontier = _hop(frontier, edges[etype].select("src", "dst"), hub_output, side)
     return frontier.select(F.col("start").alias("src"), F.col("at").alias("dst"))
 
@@ -309,17 +347,27 @@ def with_self_loops(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def author_views(edges: Mapping[str, DataFrame], author_nodes: DataFrame) -> DataFrame:
-    """``(view, src, dst, w)``: the four author graphs, each with self-loops."""
-    # a metapath runs jobs of its own; the paths do not depend on each other
-    links = at_once({v: lambda p=p: edges[p[0]] if len(p) == 1 else metapath(edges, p) for v, p in VIEWS.items()})
-    stacked = [links[view].select(F.lit(view).alias("view"), "src", "dst") for view in VIEWS]
+    """``(view, src, dst, w)``: the four author graphs, each with self-loops.
+
+    A link of a metapath counts once, a copy of any other edge and a loop each.
+    """
+    begun = {t: _frontier(edges[t]) for t in sorted({p[0] for p in VIEWS.values() if len(p) > 1})}
+    # a walk runs jobs of its own; the paths do not depend on each other
+    walks = at_once({v: lambda p=p: _walks(edges, p, begun=begun.get(p[0])) for v, p in VIEWS.items()})
     loops = author_nodes.select(
         F.explode(F.array(*[F.lit(v) for v in VIEWS])).alias("view"),
         F.col("idx").alias("src"),
         F.col("idx").alias("dst"),
+        F.lit(0).alias("linked"),
+        F.lit(1).alias("copies"),
     )
+    stacked = [
+        walks[v].select(F.lit(v).alias("view"), "src", "dst", F.lit(int(len(p) > 1)).alias("linked"), F.lit(int(len(p) == 1)).alias("copies"))
+        for v, p in VIEWS.items()
+    ]
+    # one aggregate removes the copies of walks and counts the others
     return (
         reduce(DataFrame.unionByName, [*stacked, loops])
         .groupBy("view", "src", "dst")
-        .agg(F.count(F.lit(1)).alias("w"))
+        .agg((F.max("linked") + F.sum("copies")).alias("w"))
     )

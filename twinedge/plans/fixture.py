@@ -144,7 +144,7 @@ class DerivedGraph:
 
     @cached_property
     def cites(self) -> DataFrame:
-        lines = self.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey").distinct()
+        lines = self.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
         return (
             star(lines, ["l_partkey", "l_suppkey"], "l_orderkey")
             .select(F.col("l_orderkey").alias("src"), F.col("first").alias("dst"))
