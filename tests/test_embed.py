@@ -140,3 +140,19 @@ def test_attention_makes_the_embeddings_once(world):
     found = embed.view_embeddings(embed.mean_shares(views), vectors, embed.formula_weights(INPUTS, WIDTH))
     for df in (embed.view_attention(found), embed.node_embeddings(found, WIDTH)):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_narrow_means_make_no_lists(spark):
+    rows = [("citation", a, b, 1 + a) for a in range(6) for b in range(4)] + [("colleague", 1, 1, 2)]
+    views = spark.createDataFrame(rows, "view string, src bigint, dst bigint, w bigint")
+
+    def means(width):
+        nodes = spark.createDataFrame([(i, [float(i + k) for k in range(width)]) for i in range(6)], "idx bigint, vec array<double>")
+        return embed.narrow_mean(views, nodes, width)
+
+    narrow, wide = means(embed.NARROW), means(embed.NARROW + 1)
+    assert "collect_list" not in narrow._jdf.queryExecution().toString()
+    found = {(r["view"], r["idx"]): r["vec"] for r in wide.collect()}
+    assert len(found) == 5
+    for r in narrow.collect():
+        assert r["vec"] == pytest.approx(found[r["view"], r["idx"]][: embed.NARROW])

@@ -2,6 +2,8 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
 
 from twinedge.plans import train
 from twinedge.sources import runs
@@ -87,3 +89,49 @@ def test_a_round_is_committed_once(spark, tmp_path):
     assert sorted({p.name.split("-")[0] for p in (tmp_path / "r" / "states").iterdir()}) == ["4", "5"]
     with pytest.raises(FileNotFoundError):
         train.stored_scorer(spark, str(tmp_path), "other")
+
+
+def test_rounds_read_the_vectors_once(spark, vectors, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(label):
+        seen.add(1)
+        return label
+
+    fitted_and_judged = vectors.where("split <> 'test'").count()
+    train.train_edge_scorer(vectors.withColumn("label", counted("label")), str(tmp_path), "r", hidden=2, rounds=3, iterations=2)
+    assert seen.value == fitted_and_judged
+
+
+def test_sums_agree_with_the_scorer_and_with_differences(spark, vectors):
+    width, hidden = 4, 3
+    weights = np.random.default_rng(5).normal(size=width * hidden + hidden + hidden * 2 + 2)
+    blocks = train.packed(vectors, width).persist()
+    found = train.edge_sums(blocks, ("train", "valid"), weights, width, hidden)
+    assert set(found) == {"train", "valid"}
+    n, loss, hits, slope = found["valid"]
+    scored = train.with_scores(train.scorer_of(spark, width, hidden, weights), vectors.where("split = 'valid'"))
+    row = scored.agg(F.count("score"), F.sum(train.bce_term()), F.sum(train.hit_term())).first()
+    assert (n, loss, hits) == (row[0], pytest.approx(row[1], rel=1e-6), row[2])
+    for k in (0, width * hidden, len(weights) - 1):
+        near = [train.edge_sums(blocks, ("valid",), weights + h * np.eye(len(weights))[k], width, hidden)["valid"][1] for h in (1e-4, -1e-4)]
+        assert slope[k] == pytest.approx((near[0] - near[1]) / 2e-4, rel=1e-4, abs=1e-4)
+
+
+def test_descends_to_the_minimum():
+    scale = np.array([1.0, 10.0, 100.0])
+    found = train.descend(lambda w: (float(scale @ (w - 3) ** 2), 2 * scale * (w - 3)), np.zeros(3), 40)
+    assert found == pytest.approx([3.0] * 3, abs=1e-4)
+
+
+def test_labels_and_splits_that_cannot_be_fitted(spark, vectors, tmp_path):
+    longer = vectors.withColumn("features", F.when(F.col("src") == 7, array_to_vector(F.array_repeat(F.lit(1.0), 8))).otherwise(F.col("features")))
+    refused = (
+        (vectors.withColumn("label", F.lit(2)), "labels must be 0 or 1"),
+        (vectors.where("split = 'valid'"), "'train' is empty"),
+        (longer, "every vector must hold"),
+    )
+    for rows, message in refused:
+        with pytest.raises(Exception, match=message):
+            train.train_edge_scorer(rows, str(tmp_path), message, hidden=2, rounds=1)

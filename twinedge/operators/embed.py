@@ -153,6 +153,8 @@ def _project(nodes: DataFrame, maps: Mapping[str, Sequence[Callable[[np.ndarray]
 def blocked(rows: DataFrame, width: int) -> DataFrame:
     """``rows`` with one row per block of ``BLOCK`` numbers of ``vec``, numbered
     by ``block``; the last block may be shorter."""
+    if _blocks(width) == 1:
+        return rows.select(*[c for c in rows.columns if c != "vec"], F.lit(0).alias("block"), "vec")
     parts = F.transform(F.sequence(F.lit(0), F.lit(_blocks(width) - 1)), lambda b: F.slice("vec", b * BLOCK + 1, BLOCK))
     return rows.select(*[c for c in rows.columns if c != "vec"], F.posexplode(parts).alias("block", "vec"))
 
@@ -195,6 +197,10 @@ CELLS = 8
 """Parts that the sums of one layer are made in, each in a task of its own. A
 vector travels once to each part that has an end of its edges."""
 
+NARROW = 16
+"""Numbers up to which a vector travels along each edge: it is then hardly longer
+than an edge's entry in the lists, which take a sort of all edges to make."""
+
 HUB_ENDS = 1 << 20
 """Ends of one source in a row; a source with more takes several rows."""
 
@@ -239,6 +245,17 @@ def neighbour_mean(views: DataFrame, features: DataFrame, width: int) -> DataFra
     return _summed(messages, ["view", "idx"], "w", width, mean=True, within=["cell"])
 
 
+def narrow_mean(views: DataFrame, features: DataFrame, width: int) -> DataFrame:
+    """:func:`neighbour_mean` of at most ``NARROW`` numbers, which go along the
+    edges; a wider vector takes the other way."""
+    if width > NARROW:
+        return neighbour_mean(views, features, width)
+    nodes = features.withColumnRenamed("idx", "src")
+    on = [c for c in ("view", "src") if c in nodes.columns]
+    along = views.join(nodes, on).select("view", F.col("dst").alias("idx"), "w", "vec")
+    return weighted_sum(along, ["view", "idx"], "w", width, mean=True)
+
+
 def mean_shares(views: DataFrame) -> DataFrame:
     """``(view, src, dst, share)``: the part of each edge in the mean at its end."""
     total = views.groupBy("view", "dst").agg(F.sum("w").alias("total"))

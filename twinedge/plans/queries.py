@@ -781,8 +781,9 @@ def _(g):
 
 def training_table(g: DerivedGraph) -> DataFrame:
     splits = labels.edge_splits(labels.label_candidates(g.similar, g.equates))
-    reducer = train.fit_reducer(node_vectors(g), 8)
-    return train.training_vectors(splits, train.node_vectors(views(g), node_vectors(g), reducer))
+    features = materialise(node_vectors(g), "features")  # the reducer reads them several times
+    reducer = train.fit_reducer(features, 8)
+    return train.training_vectors(splits, train.node_vectors(views(g), features, reducer))
 
 
 def trained(g: DerivedGraph) -> tuple[train.TrainedScorer, DataFrame]:
