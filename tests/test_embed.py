@@ -156,3 +156,13 @@ def test_narrow_means_make_no_lists(spark):
     assert len(found) == 5
     for r in narrow.collect():
         assert r["vec"] == pytest.approx(found[r["view"], r["idx"]][: embed.NARROW])
+
+
+def test_narrow_means_sort_no_edges(spark):
+    """The nodes are looked up by hash, by the source before the view."""
+    views = spark.createDataFrame([("citation", 0, 1, 1), ("citation", None, 1, 1)], "view string, src bigint, dst bigint, w bigint")
+    by_view = spark.createDataFrame([("citation", 0, [2.0]), ("citation", 0, [4.0])], "view string, idx bigint, vec array<double>")
+    found = embed.narrow_mean(views, by_view, 1)
+    assert [tuple(r) for r in found.collect()] == [("citation", 1, [3.0])]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin [src" in plan and "SortMergeJoin" not in plan

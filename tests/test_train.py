@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from twinedge.plans import train
@@ -135,3 +135,17 @@ def test_labels_and_splits_that_cannot_be_fitted(spark, vectors, tmp_path):
     for rows, message in refused:
         with pytest.raises(Exception, match=message):
             train.train_edge_scorer(rows, str(tmp_path), message, hidden=2, rounds=1)
+
+
+def test_no_weights_are_read_twice(spark, vectors, tmp_path, monkeypatch):
+    """A round begins and is judged where the last descent ended."""
+    seen = []
+    sums = train.edge_sums
+
+    def counted(blocks, splits, weights, width, hidden):
+        seen.extend((split, weights.tobytes()) for split in splits)
+        return sums(blocks, splits, weights, width, hidden)
+
+    monkeypatch.setattr(train, "edge_sums", counted)
+    train.train_edge_scorer(vectors, str(tmp_path), "r", hidden=2, rounds=3, iterations=3, patience=9)
+    assert len(seen) == len(set(seen)) and sum(split == "valid" for split, _ in seen) == 3

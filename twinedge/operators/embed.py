@@ -251,9 +251,15 @@ def narrow_mean(views: DataFrame, features: DataFrame, width: int) -> DataFrame:
     if width > NARROW:
         return neighbour_mean(views, features, width)
     nodes = features.withColumnRenamed("idx", "src")
-    on = [c for c in ("view", "src") if c in nodes.columns]
-    along = views.join(nodes, on).select("view", F.col("dst").alias("idx"), "w", "vec")
-    return weighted_sum(along, ["view", "idx"], "w", width, mean=True)
+    # the source first: a sort or a hash by one of few views tells little
+    on = [c for c in ("src", "view") if c in nodes.columns]
+    places = [f"_{i}" for i in range(width)]
+    numbers = nodes.select(*on, *[F.get("vec", F.lit(i)).alias(p) for i, p in enumerate(places)])
+    # looked up by hash, as the nodes are few beside the edges, which need no sort then
+    along = views.join(numbers.hint("shuffle_hash"), on)
+    w = F.col("w").cast("double")
+    sums = along.groupBy("view", F.col("dst").alias("idx")).agg(F.sum(w).alias("_w"), *[F.sum(w * F.col(p)).alias(p) for p in places])
+    return sums.select("view", "idx", F.array(*[F.col(p) / F.col("_w") for p in places]).alias("vec"))
 
 
 def mean_shares(views: DataFrame) -> DataFrame:

@@ -354,20 +354,24 @@ def author_views(edges: Mapping[str, DataFrame], author_nodes: DataFrame) -> Dat
     begun = {t: _frontier(edges[t]) for t in sorted({p[0] for p in VIEWS.values() if len(p) > 1})}
     # a walk runs jobs of its own; the paths do not depend on each other
     walks = at_once({v: lambda p=p: _walks(edges, p, begun=begun.get(p[0])) for v, p in VIEWS.items()})
+    # a view goes by its number, as a name would be longer than the rest of a row
+    names = list(VIEWS)
     loops = author_nodes.select(
-        F.explode(F.array(*[F.lit(v) for v in VIEWS])).alias("view"),
+        F.explode(F.array(*[F.lit(k) for k in range(len(names))])).alias("number"),
         F.col("idx").alias("src"),
         F.col("idx").alias("dst"),
         F.lit(0).alias("linked"),
         F.lit(1).alias("copies"),
     )
     stacked = [
-        walks[v].select(F.lit(v).alias("view"), "src", "dst", F.lit(int(len(p) > 1)).alias("linked"), F.lit(int(len(p) == 1)).alias("copies"))
-        for v, p in VIEWS.items()
+        walks[v].select(F.lit(k).alias("number"), "src", "dst", F.lit(int(len(p) > 1)).alias("linked"), F.lit(int(len(p) == 1)).alias("copies"))
+        for k, (v, p) in enumerate(VIEWS.items())
     ]
     # one aggregate removes the copies of walks and counts the others
-    return (
+    counted = (
         reduce(DataFrame.unionByName, [*stacked, loops])
-        .groupBy("view", "src", "dst")
+        .groupBy("src", "dst", "number")
         .agg((F.max("linked") + F.sum("copies")).alias("w"))
     )
+    name = F.element_at(F.array(*[F.lit(v) for v in names]), F.col("number") + 1)
+    return counted.select(name.alias("view"), "src", "dst", "w")

@@ -56,7 +56,7 @@ def _ranked_by_class(labelled: DataFrame) -> tuple[DataFrame, int]:
         .agg(F.count(F.lit(1)).alias("copies"))
         .withColumn("draw", draw_key())
     )
-    ranked = running_total(grouped, ["label", "draw", "src", "dst"], "copies", "first")
+    ranked = running_total(grouped, ["label", "draw", "src", "dst"], "copies", "first", without=["draw"])
     sizes = {r["label"]: r["n"] for r in ranked.groupBy("label").agg(F.sum("copies").alias("n")).collect()}
     negatives, positives = sizes.get(0, 0), sizes.get(1, 0)
     ranked = ranked.withColumn("first", F.col("first") - F.when(F.col("label") == 1, negatives).otherwise(0))

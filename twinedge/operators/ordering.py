@@ -21,16 +21,17 @@ from twinedge.scratch import materialise
 
 
 def running_total(
-    df: DataFrame, order: Sequence[str], amount: str, out: str = "before"
+    df: DataFrame, order: Sequence[str], amount: str, out: str = "before", without: Sequence[str] = ()
 ) -> DataFrame:
     """Add ``out``: the sum of ``amount`` (LONG) over all rows earlier in ``order``.
 
     ``order`` must tell rows apart. Callers therefore group copies first and
     pass their number as ``amount``, so a row with very many copies is one row
-    here and cannot overfill a range.
+    here and cannot overfill a range. Columns ``without`` serve the order alone
+    and are left out of the result.
     """
     schema = T.StructType(
-        [*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField(out, T.LongType())]
+        [*df.drop(*without).schema.fields, T.StructField("_part", T.IntegerType()), T.StructField(out, T.LongType())]
     )
 
     def within_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,7 +48,7 @@ def running_total(
     # AQE may join neighbouring ranges, which keeps their order. The other
     # columns stay Arrow columns and are not converted.
     local = materialise(
-        df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(within_partition, schema),
+        df.repartitionByRange(*order).sortWithinPartitions(*order).drop(*without).mapInArrow(within_partition, schema),
         "running-total",
     )
     # one row per shuffle partition, whatever the size of df

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from twinedge.operators.embed import cosine_scores
 from twinedge.schema import EDGE_TYPES
+from twinedge.scratch import materialise
 
 # Names with the letters and gaps that the text helpers must handle.
 SURNAMES = ["Müller", "Ångström", "O'Neil", "Strauß", "Núñez", "Çelik", "Łukasz", "Ærø", "Smith", "Dvořák", "İnan"]
@@ -26,10 +27,16 @@ GIVEN = ["Ána", "Björn", "čeněk", "Dana", "Élodie", "øystein", "Zoë"]
 
 
 def star(df: DataFrame, group: list[str], member: str) -> DataFrame:
-    """(first, member) for every member but the first of its group."""
-    ends = df.groupBy(*group).agg(F.min(member).alias("first"), F.max(member).alias("last"))
-    firsts = ends.where("first < last").drop("last")  # most groups may have one member
-    return df.join(firsts, group).where(F.col("first") < F.col(member)).select("first", member)
+    """(first, member) for every member but the first of its group.
+
+    Most groups may have one member or two, whose link shows in the group's ends:
+    only the members of larger groups are looked up.
+    """
+    ends = df.groupBy(*group).agg(F.min(member).alias("first"), F.max(member).alias("last"), F.count(member).alias("n"))
+    linked = materialise(ends.where("first < last").where(" AND ".join(f"{g} IS NOT NULL" for g in group)), "stars")
+    pairs = linked.where("n = 2").select("first", F.col("last").alias(member))
+    firsts = materialise(linked.where("n > 2").drop("last", "n"), "stars-of-many")
+    return pairs.unionByName(df.join(firsts, group).where(F.col("first") < F.col(member)).select("first", member))
 
 
 def pick(values: list[str], position):
@@ -103,6 +110,8 @@ class DerivedGraph:
                     % self.num_vectors
                 ).alias("v2"),
             )
+            # few bytes a row, so one task may read them all, but long vectors to make
+            .repartition(self.spark.sparkContext.defaultParallelism, "idx")
             .join(vectors.withColumnsRenamed({"vec_id": "v1", "e": "e1"}), "v1")
             .join(vectors.withColumnsRenamed({"vec_id": "v2", "e": "e2"}), "v2")
             .select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
@@ -82,9 +83,11 @@ def path_edges(g: DerivedGraph, *names: str) -> dict[str, DataFrame]:
     """The edges on the paths of some views (all if none is named), with those
     that take a group and a join to derive written once."""
     types = sorted({t for v in names or VIEWS for t in VIEWS[v]})
-    grouped = [t for t in ("cites", "coprojected") if t in types]
-    written = at_once({t: lambda t=t: materialise(g.edges(t), f"edges-{t}") for t in grouped}) if grouped else {}
-    return {t: g.edges(t) for t in types} | written
+
+    def made(t: str) -> DataFrame:
+        return materialise(g.edges(t), f"edges-{t}") if t in ("cites", "coprojected") else g.edges(t)
+
+    return at_once({t: lambda t=t: made(t) for t in types})
 
 
 def node_ids(g: DerivedGraph, ntype: str) -> DataFrame:
@@ -780,10 +783,13 @@ def _(g):
 
 
 def training_table(g: DerivedGraph) -> DataFrame:
-    splits = labels.edge_splits(labels.label_candidates(g.similar, g.equates))
-    features = materialise(node_vectors(g), "features")  # the reducer reads them several times
-    reducer = train.fit_reducer(features, 8)
-    return train.training_vectors(splits, train.node_vectors(views(g), features, reducer))
+    def reduced() -> tuple[DataFrame, PipelineModel]:
+        features = materialise(node_vectors(g), "features")  # the reducer reads them several times
+        return features, train.fit_reducer(features, 8)
+
+    # none of the three needs another
+    made = at_once({"splits": lambda: labels.edge_splits(labels.label_candidates(g.similar, g.equates)), "views": lambda: views(g), "reduced": reduced})
+    return train.training_vectors(made["splits"], train.node_vectors(made["views"], *made["reduced"]))
 
 
 def trained(g: DerivedGraph) -> tuple[train.TrainedScorer, DataFrame]:

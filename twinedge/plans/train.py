@@ -30,6 +30,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twinedge.operators.embed import narrow_mean
 from twinedge.operators.labels import expand_copies
@@ -60,16 +61,17 @@ def reduced_features(reducer: PipelineModel, features: DataFrame) -> DataFrame:
 def propagated_features(views: DataFrame, features: DataFrame, width: int) -> DataFrame:
     """``(idx, vec)``: own vector, then the means of one and of two steps for
     each view. A node gathers 9 short vectors, whatever its degree."""
-    one = materialise(narrow_mean(views, features, width), "mean-1")
-    two = narrow_mean(views, one, width)
     order = {v: k for k, v in enumerate(VIEWS)}
     place = F.element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), F.col("view"))
+    views = views.select(place.alias("view"), "src", "dst", "w")
+    one = materialise(narrow_mean(views, features, width), "mean-1")
+    two = narrow_mean(views, one, width)
     slots = reduce(
         DataFrame.unionByName,
         [
             features.select("idx", F.lit(0).alias("slot"), "vec"),
-            one.select("idx", (place * 2 + 1).alias("slot"), "vec"),
-            two.select("idx", (place * 2 + 2).alias("slot"), "vec"),
+            one.select("idx", (F.col("view") * 2 + 1).alias("slot"), "vec"),
+            two.select("idx", (F.col("view") * 2 + 2).alias("slot"), "vec"),
         ],
     )
     parts = F.sort_array(F.collect_list(F.struct("slot", "vec")))
@@ -78,10 +80,24 @@ def propagated_features(views: DataFrame, features: DataFrame, width: int) -> Da
 
 def edge_vectors(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``edges`` with ``features``: the vectors of source and destination."""
+    return _for_model(_edge_arrays(edges, nodes))
+
+
+def _edge_arrays(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """:func:`edge_vectors` with plain arrays, which are read and written faster."""
     at_src = nodes.select(F.col("idx").alias("src"), F.col("vec").alias("_a"))
     at_dst = nodes.select(F.col("idx").alias("dst"), F.col("vec").alias("_b"))
     both = edges.join(at_src, "src").join(at_dst, "dst")
-    return both.withColumn("features", array_to_vector(F.concat("_a", "_b"))).drop("_a", "_b")
+    return both.withColumn("features", F.concat("_a", "_b")).drop("_a", "_b")
+
+
+def _is_array(vectors: DataFrame) -> bool:
+    return isinstance(vectors.schema["features"].dataType, T.ArrayType)
+
+
+def _for_model(vectors: DataFrame) -> DataFrame:
+    """``vectors`` with ``features`` in the form that the classifier takes."""
+    return vectors.withColumn("features", array_to_vector("features")) if _is_array(vectors) else vectors
 
 
 @dataclass
@@ -139,7 +155,8 @@ def packed(vectors: DataFrame, width: int) -> RDD:
             lengths = pc.list_value_length(batch.column("vec")).to_numpy(zero_copy_only=False)
             if not (lengths == width).all():
                 raise ValueError(f"every vector must hold {width} numbers")
-            rows = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(labels), width)
+            # made float32 here: Spark's cast of an array is slow
+            rows = batch.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(labels), width)
             for split in sorted(set(splits)):
                 own = np.flatnonzero(splits == split)
                 for at in range(0, len(own), PACKED_ROWS):
@@ -147,10 +164,30 @@ def packed(vectors: DataFrame, width: int) -> RDD:
                     cells = [split], [labels[taken].astype(np.int8).tobytes()], [rows[taken].tobytes()]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], ["split", "labels", "rows"])
 
-    plain = vectors.select("split", F.col("label").cast("double").alias("label"), vector_to_array("features", "float32").alias("vec"))
+    numbers = F.col("features") if _is_array(vectors) else vector_to_array("features", "float32")
+    plain = vectors.select("split", F.col("label").cast("double").alias("label"), numbers.alias("vec"))
     return plain.mapInArrow(run, "split string, labels binary, rows binary").rdd.map(tuple)
 
 
+@dataclass
+class PackedEdges:
+    """What training reads of ``vectors(split, label, features)``, kept by the
+    executors until :meth:`release`. Several runs may read it."""
+
+    spark: SparkSession
+    width: int
+    blocks: RDD
+
+    @classmethod
+    def of(cls, vectors: DataFrame) -> PackedEdges:
+        width = len(vectors.select("features").first()["features"])
+        blocks = packed(vectors.where("split <> 'test'"), width).persist(StorageLevel.MEMORY_AND_DISK)
+        return cls(vectors.sparkSession, width, blocks)
+
+    def release(self) -> None:
+        self.blocks.unpersist()
+
+
 def _layers(weights: np.ndarray, width: int, hidden: int) -> list[np.ndarray]:
     """Matrix and bias of both layers, as the classifier's weights hold them."""
     cuts = np.cumsum([width * hidden, hidden, hidden * 2])
@@ -249,7 +286,7 @@ def scorer_of(spark: SparkSession, width: int, hidden: int, weights: np.ndarray
 
 
 def train_edge_scorer(
-    vectors: DataFrame,
+    vectors: DataFrame | PackedEdges,
     root: str,
     run_id: str,
     hidden: int = HIDDEN_WIDTH,
@@ -260,23 +297,35 @@ def train_edge_scorer(
 ) -> TrainedScorer:
     """Fit on split ``train``, keep the best model by the loss on ``valid``.
 
-    ``vectors(split, label, features)`` is read once. The best round
+    ``vectors(split, label, features)`` is read once, or not at all if it was
+    packed before. The best round
     has the smallest loss, the latest of equals; training ends when
     ``patience - 1`` rounds have passed since the best one. Every round is
     committed to the run's folder; a run that exists goes on after its last
     committed round, with that round's weights and the losses so far.
     """
-    spark = vectors.sparkSession
+    if not isinstance(vectors, PackedEdges):
+        edges = PackedEdges.of(vectors)
+        try:
+            return train_edge_scorer(edges, root, run_id, hidden, rounds, iterations, patience, seed)
+        finally:
+            edges.release()
+    spark, width, blocks = vectors.spark, vectors.width, vectors.blocks
     run = RunStore(spark, root, run_id)
     state = run.latest() or RunState(0, 0, [])
-    width = vectors.select("features").first()["features"].size
-    blocks = packed(vectors.where("split <> 'test'"), width).persist(StorageLevel.MEMORY_AND_DISK)
+    read: dict[bytes, tuple] = {}  # sums over split 'train' by the weights of a round's readings
+
+    def fitted(weights: np.ndarray) -> tuple:
+        key = weights.tobytes()
+        if key not in read:
+            found = edge_sums(blocks, ("train",), weights, width, hidden)
+            if "train" not in found:
+                raise ValueError("split 'train' is empty: there is nothing to fit on")
+            read[key] = found["train"]
+        return read[key]
 
     def cost(weights: np.ndarray) -> tuple[float, np.ndarray]:
-        found = edge_sums(blocks, ("train",), weights, width, hidden)
-        if "train" not in found:
-            raise ValueError("split 'train' is empty: there is nothing to fit on")
-        n, loss, _hits, slope = found["train"]
+        n, loss, _hits, slope = fitted(weights)
         return loss / n, slope / n
 
     weights = np.array(state.weights) if state.round else None
@@ -284,7 +333,9 @@ def train_edge_scorer(
         if weights is None:
             weights = scorer_of(spark, width, hidden, seed=seed).weights.toArray()
         weights = descend(cost, weights, iterations)
-        by_split = edge_sums(blocks, ("train", "valid"), weights, width, hidden)
+        # the descent has read split 'train' with these weights, and the next one begins there
+        by_split = {"train": fitted(weights)} | edge_sums(blocks, ("valid",), weights, width, hidden)
+        read = {weights.tobytes(): by_split["train"]}
         round_no = state.round + 1
         found = [
             (round_no, split, metric, value)
@@ -305,7 +356,6 @@ def train_edge_scorer(
         run.commit(state)
         if state.best_round == round_no:
             save_model(spark, model, run.models, round_no, written=True)
-    blocks.unpersist()
     return stored_scorer(spark, root, run_id)
 
 
@@ -324,7 +374,7 @@ def evaluation(scored: DataFrame, threshold: float = CUT_THRESHOLD) -> DataFrame
 
 def evaluate_edge_scorer(trained: TrainedScorer, vectors: DataFrame, threshold: float = CUT_THRESHOLD) -> DataFrame:
     """:func:`evaluation` of the best model on split ``test``."""
-    scored = with_scores(trained.model(), vectors.where("split = 'test'")).select("label", "score")
+    scored = with_scores(trained.model(), _for_model(vectors.where("split = 'test'"))).select("label", "score")
     return evaluation(materialise(scored, "test-scores"), threshold)
 
 
@@ -335,5 +385,5 @@ def node_vectors(views: DataFrame, features: DataFrame, reducer: PipelineModel)
 
 
 def training_vectors(splits: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The written-down training table ``(split, label, src, dst, features)``."""
-    return materialise(edge_vectors(expand_copies(splits), nodes), "training-vectors")
+    """The written-down training table ``(split, label, src, dst, features)``, with arrays."""
+    return materialise(_edge_arrays(expand_copies(splits), nodes), "training-vectors")
