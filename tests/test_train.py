@@ -149,3 +149,20 @@ def test_no_weights_are_read_twice(spark, vectors, tmp_path, monkeypatch):
     monkeypatch.setattr(train, "edge_sums", counted)
     train.train_edge_scorer(vectors, str(tmp_path), "r", hidden=2, rounds=3, iterations=3, patience=9)
     assert len(seen) == len(set(seen)) and sum(split == "valid" for split, _ in seen) == 3
+
+
+def test_runs_share_what_was_packed_once(spark, vectors, tmp_path):
+    options = {"hidden": 3, "rounds": 2, "iterations": 3}
+    plain = vectors.withColumn("features", vector_to_array("features"))
+    edges = train.PackedEdges.of(plain)
+    shared = [train.train_edge_scorer(edges, str(tmp_path), run, **options) for run in ("a", "b")]
+    edges.release()
+    whole = train.train_edge_scorer(vectors, str(tmp_path), "c", **options)
+
+    def history(t):
+        return {tuple(r)[1:4]: r["value"] for r in t.metrics(spark).collect()}
+
+    assert history(shared[0]) == history(shared[1]) == pytest.approx(history(whole))
+    # vectors and plain arrays are judged alike
+    found = [{r["metric"]: r["value"] for r in train.evaluate_edge_scorer(whole, v).collect()} for v in (vectors, plain)]
+    assert found[0] == pytest.approx(found[1])

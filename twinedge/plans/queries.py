@@ -805,9 +805,11 @@ def _(g):
     same round's model."""
     vectors, root = training_table(g), new_path(g.spark, "training")
     options = {"hidden": 8, "iterations": 5, "patience": 100}
-    whole = train.train_edge_scorer(vectors, root, "whole", rounds=6, **options)
-    train.train_edge_scorer(vectors, root, "cut", rounds=3, **options)
-    again = train.train_edge_scorer(vectors, root, "cut", rounds=6, **options)
+    edges = train.PackedEdges.of(vectors)
+    whole = train.train_edge_scorer(edges, root, "whole", rounds=6, **options)
+    train.train_edge_scorer(edges, root, "cut", rounds=3, **options)
+    again = train.train_edge_scorer(edges, root, "cut", rounds=6, **options)
+    edges.release()
     same = whole.model_path.rsplit("/", 1)[1] == again.model_path.rsplit("/", 1)[1]
     keys = ["epoch", "split", "metric"]
     other = again.metrics(g.spark).select(*keys, F.col("value").alias("resumed"))
