@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from twinedge.operators.parts import EdgeParts, edge_counts
 from twinedge.schema import VIEWS
 from twinedge.scratch import materialise
 
@@ -201,6 +202,11 @@ NARROW = 16
 """Numbers up to which a vector travels along each edge: it is then hardly longer
 than an edge's entry in the lists, which take a sort of all edges to make."""
 
+MANY_NUMBERS = 1 << 26
+"""Numbers to add up, edges by width, from which the edges are packed by the node
+they lead into, so that neither vectors nor sums are shuffled. Below, a join costs
+less than packing."""
+
 HUB_ENDS = 1 << 20
 """Ends of one source in a row; a source with more takes several rows."""
 
@@ -211,16 +217,27 @@ def _hubs(edges: DataFrame, on: list[str]) -> DataFrame:
     return ends.select(*on, F.ceil(F.col("n") / HUB_ENDS).cast("int").alias("chunks"))
 
 
+def packed_edges(views: DataFrame, width: int) -> EdgeParts | None:
+    """The edges ``(view, src, dst, w)`` packed by the node they lead into, where
+    they are many. Several means or layers may read them. ``views`` is read twice."""
+    counted = edge_counts(views)  # a row per view
+    return EdgeParts.of(views, width, counted) if sum(r["edges"] for r in counted) * width >= MANY_NUMBERS else None
+
+
 def neighbour_mean(views: DataFrame, features: DataFrame, width: int) -> DataFrame:
     """``(view, idx, vec)``: weighted mean of the vectors at the sources of the
     edges into a node. ``features`` is ``(idx, vec)``, the same for every view,
     or ``(view, idx, vec)``; ``width`` is the length of the vectors. ``views`` is
-    read twice.
+    read up to three times.
 
-    The nodes are dealt by a hash to parts, and a vector is sent once to each part
-    that its edges lead to, with their other ends, not once along every edge. Sums
-    of a part are complete where they are made.
+    Many edges are packed; the vectors and the sums are then not shuffled. Fewer are
+    joined: the nodes are dealt by a hash to parts, and a vector is sent once to each
+    part that its edges lead to, with their other ends, not once along every edge.
+    Sums of a part are complete where they are made.
     """
+    packed = packed_edges(views, width)
+    if packed:
+        return packed.sums(features, width, mean=True)
     nodes = features.withColumnRenamed("idx", "src")
     on = [c for c in ("view", "src") if c in nodes.columns]
     carried = [c for c in on if c == "view"]  # or else the view is told with each end

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,35 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_sweeping: dict[str, tuple[int, str | None]] = {}
+_sweeping_lock = threading.Lock()
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Remove the shuffle files of the writes within as soon as each is done, not
+    when the driver happens to collect its garbage. Threads may be within at a time."""
+    key = spark._jsparkSession.sessionUUID()
+    with _sweeping_lock:
+        within, before = _sweeping.get(key, (0, None))
+        if not within:
+            before = spark.conf.get(SWEEP, None)
+            spark.conf.set(SWEEP, "true")
+        _sweeping[key] = within + 1, before
+    try:
+        yield
+    finally:
+        with _sweeping_lock:
+            within, before = _sweeping.pop(key)
+            if within > 1:
+                _sweeping[key] = within - 1, before
+            elif before is None:
+                spark.conf.unset(SWEEP)
+            else:
+                spark.conf.set(SWEEP, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and go on from the written table."""
     return materialise_counted(df, name)[0]
@@ -39,7 +70,8 @@ def materialise_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     spark = df.sparkSession
     path = new_path(spark, name)
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    with swept(spark):
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     rows = seen.get.get("rows")
     # a plan that AQE proves empty reports no metrics

@@ -24,6 +24,7 @@ from twinedge.schema import (
     PUBLICATION_PAYLOAD,
     RAW_DATASETS,
 )
+from twinedge.scratch import swept
 
 _ONE = r"""'([^'\\]*)'"""
 _TWO = r'''"([^"\\]*)"'''
@@ -265,4 +266,5 @@ def node_lines(nodes: DataFrame, payload: Column) -> DataFrame:
 
 
 def write_lines(lines: DataFrame, raw_dir: str, dataset: str) -> None:
-    lines.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(f"{raw_dir}/{dataset}")
+    with swept(lines.sparkSession):
+        lines.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(f"{raw_dir}/{dataset}")

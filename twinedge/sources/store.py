@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from twinedge.scratch import swept
+
 METRIC_SCHEMA = "run_id string, epoch int, split string, metric string, value double"
 COMMIT_SCHEMA = "version bigint, folder string"
 
@@ -48,12 +50,13 @@ class GraphStore:
     def save(self, nodes: Mapping[str, DataFrame], edges: DataFrame, reports: Mapping[str, DataFrame] | None = None) -> None:
         latest = self._latest()
         folder = f"graph-{uuid.uuid4().hex}"
-        for ntype, table in nodes.items():
-            table.write.parquet(f"{self.root}/{folder}/nodes_{ntype}")
-        # few files per type, and a type with most of the edges is split
-        edges.hint("rebalance", "etype").write.partitionBy("etype").parquet(f"{self.root}/{folder}/edges")
-        for name, table in (reports or {}).items():
-            table.write.parquet(f"{self.root}/{folder}/report_{name}")
+        with swept(self.spark):
+            for ntype, table in nodes.items():
+                table.write.parquet(f"{self.root}/{folder}/nodes_{ntype}")
+            # few files per type, and a type with most of the edges is split
+            edges.hint("rebalance", "etype").write.partitionBy("etype").parquet(f"{self.root}/{folder}/edges")
+            for name, table in (reports or {}).items():
+                table.write.parquet(f"{self.root}/{folder}/report_{name}")
         version = latest[0] + 1 if latest else 0
         self.spark.createDataFrame([(version, folder)], COMMIT_SCHEMA).coalesce(1).write.mode("append").json(
             f"{self.root}/commits"
@@ -97,7 +100,8 @@ class GraphStore:
             draft = f"draft_{uuid.uuid4().hex}"
             # as many files as buckets: each task writes the buckets it holds whole
             spread = table.repartition(n, key)
-            spread.write.bucketBy(n, key).sortBy(key).format("parquet").option("path", f"{path}/{data}").saveAsTable(draft)
+            with swept(self.spark):
+                spread.write.bucketBy(n, key).sortBy(key).format("parquet").option("path", f"{path}/{data}").saveAsTable(draft)
             self.spark.sql(f"DROP TABLE {draft}")  # the name; the files stay
             about = [(data, n, key, table.schema.json())]
             try:
