@@ -7,8 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinedge.operators import embed, parts
+from twinedge.plans import train
+from twinedge.schema import VIEWS as VIEW_PATHS
 from twinedge.scratch import SWEEP, materialise
 
+VIEWS = list(VIEW_PATHS)
+
 
 @pytest.fixture(scope="module")
 def odd(spark):
@@ -88,3 +92,54 @@ def test_shuffle_files_go_with_the_write(spark):
         time.sleep(0.1)
     assert not left() - before
     assert spark.conf.get(SWEEP, "false") == "false"
+
+
+@pytest.fixture(scope="module")
+def graph_rows(spark):
+    """Nodes 0 to 11, of which 5 is there twice and 11 has no edge; 77 is an end, but no node."""
+    rng = np.random.default_rng(2)
+    ends = zip(rng.integers(0, 11, 200).tolist(), [77, *rng.integers(0, 11, 199).tolist()])
+    rows = [(VIEWS[k % len(VIEWS)], s, d, 1 + k % 3) for k, (s, d) in enumerate(ends)]
+    views = spark.createDataFrame(rows, "view string, src bigint, dst bigint, w bigint")
+    vectors = [(i, rng.normal(size=6).tolist()) for i in [*range(12), 5]]
+    return views, spark.createDataFrame(vectors, "idx bigint, vec array<float>")
+
+
+def test_packed_layers_equal_joined_ones(graph_rows, monkeypatch):
+    views, vectors = graph_rows
+    weights = embed.formula_weights(6, 4)
+    first = {v: pair[0] for v, pair in weights.layers.items()}
+    shares = embed.mean_shares(views)
+
+    def found():
+        both = embed.view_embeddings(shares, vectors, weights).select("view", "idx", F.array_append("vec", F.col("logit")).alias("vec"))
+        return by_key(embed.sage_layer(shares, vectors, first)), by_key(both)
+
+    joined = found()
+    packed_only(monkeypatch)
+    for old, new in zip(joined, found()):
+        assert old.keys() == new.keys() and any(idx == 77 for _, idx in new)
+        for key, vec in old.items():
+            assert new[key] == pytest.approx(vec, abs=1e-4)
+
+
+def test_a_layer_sends_nothing_along_edges(graph_rows, monkeypatch):
+    """Messages were joined to the edges and shuffled by the node they go to."""
+    packed_only(monkeypatch)
+    views, vectors = graph_rows
+    weights = embed.formula_weights(6, 4)
+    plan = embed.view_embeddings(embed.mean_shares(views), vectors, weights)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "MergeJoin" not in plan and "HashJoin" not in plan
+
+
+def test_both_means_of_training_read_edges_packed_once(graph_rows, monkeypatch):
+    views, vectors = graph_rows
+    plain = train.propagated_features(views, vectors, 6)
+    expected = {r["idx"]: r["vec"] for r in plain.collect()}
+    packed_only(monkeypatch)
+    packed = []
+    of = parts.EdgeParts.of
+    monkeypatch.setattr(parts.EdgeParts, "of", lambda *a, **k: packed.append(of(*a, **k)) or packed[-1])
+    found = {r["idx"]: r["vec"] for r in train.propagated_features(views, vectors, 6).collect()}
+    assert len(packed) == 1 and found.keys() == expected.keys()
+    assert all(len(found[i]) == len(vec) and sorted(found[i]) == pytest.approx(sorted(vec), abs=1e-6) for i, vec in expected.items())

@@ -13,12 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinedge.operators.parts import EdgeParts, edge_counts
 from twinedge.schema import VIEWS
-from twinedge.scratch import materialise
+from twinedge.scratch import discard, materialise
 
 
 # ---- weights -------------------------------------------------------------
@@ -202,7 +202,7 @@ NARROW = 16
 """Numbers up to which a vector travels along each edge: it is then hardly longer
 than an edge's entry in the lists, which take a sort of all edges to make."""
 
-MANY_NUMBERS = 1 << 26
+MANY_NUMBERS = 1 << 24
 """Numbers to add up, edges by width, from which the edges are packed by the node
 they lead into, so that neither vectors nor sums are shuffled. Below, a join costs
 less than packing."""
@@ -224,7 +224,7 @@ def packed_edges(views: DataFrame, width: int) -> EdgeParts | None:
     return EdgeParts.of(views, width, counted) if sum(r["edges"] for r in counted) * width >= MANY_NUMBERS else None
 
 
-def neighbour_mean(views: DataFrame, features: DataFrame, width: int) -> DataFrame:
+def neighbour_mean(views: DataFrame | EdgeParts, features: DataFrame, width: int) -> DataFrame:
     """``(view, idx, vec)``: weighted mean of the vectors at the sources of the
     edges into a node. ``features`` is ``(idx, vec)``, the same for every view,
     or ``(view, idx, vec)``; ``width`` is the length of the vectors. ``views`` is
@@ -235,7 +235,7 @@ def neighbour_mean(views: DataFrame, features: DataFrame, width: int) -> DataFra
     part that its edges lead to, with their other ends, not once along every edge.
     Sums of a part are complete where they are made.
     """
-    packed = packed_edges(views, width)
+    packed = views if isinstance(views, EdgeParts) else packed_edges(views, width)
     if packed:
         return packed.sums(features, width, mean=True)
     nodes = features.withColumnRenamed("idx", "src")
@@ -262,11 +262,12 @@ def neighbour_mean(views: DataFrame, features: DataFrame, width: int) -> DataFra
     return _summed(messages, ["view", "idx"], "w", width, mean=True, within=["cell"])
 
 
-def narrow_mean(views: DataFrame, features: DataFrame, width: int) -> DataFrame:
+def narrow_mean(views: DataFrame | EdgeParts, features: DataFrame, width: int) -> DataFrame:
     """:func:`neighbour_mean` of at most ``NARROW`` numbers, which go along the
-    edges; a wider vector takes the other way."""
-    if width > NARROW:
-        return neighbour_mean(views, features, width)
+    edges where these are few; a wider vector takes the other way."""
+    packed = views if isinstance(views, EdgeParts) or width > NARROW else packed_edges(views, width)
+    if packed is not None:
+        return neighbour_mean(packed, features, width)
     nodes = features.withColumnRenamed("idx", "src")
     # the source first: a sort or a hash by one of few views tells little
     on = [c for c in ("src", "view") if c in nodes.columns]
@@ -287,30 +288,58 @@ def mean_shares(views: DataFrame) -> DataFrame:
     )
 
 
+def packed_shares(shares: DataFrame, width: int) -> EdgeParts | None:
+    """:func:`packed_edges` of the shares, for :func:`sage_layer`."""
+    return packed_edges(shares.withColumnRenamed("share", "w"), width)
+
+
 def sage_layer(
-    shares: DataFrame, nodes: DataFrame, layers: Mapping[str, SageLayer], relu_first: bool = False
+    shares: DataFrame | EdgeParts, nodes: DataFrame, layers: Mapping[str, SageLayer], relu_first: bool = False
 ) -> DataFrame:
     """One convolution for all views: own(h) + mean of near(h) over neighbours.
 
-    Both parts come from one pass over the nodes. The own part joins as one more
-    edge of weight 1 from the node to itself, so one join with the wide vectors
-    serves both.
+    Both parts come from one pass over the nodes. Many shares are packed
+    (:func:`packed_shares`), and only the sums meet the own part. Of few, the own part
+    joins as one more edge of weight 1 from the node to itself, so one join with the
+    wide vectors serves both.
     """
 
     def after_relu(lin: Linear):
         return (lambda x: lin(np.maximum(x, 0.0))) if relu_first else lin
 
     both = _project(nodes, {v: (after_relu(layer.near), after_relu(layer.own)) for v, layer in layers.items()})
+    width = max(len(layer.own.bias) for layer in layers.values())
+    packed = shares if isinstance(shares, EdgeParts) else packed_shares(shares, width)
+    if packed:
+        both = materialise(both, "projected")  # read for the sums and for the own part
+        near = packed.sums(both.select("view", "idx", F.col("v0").alias("vec")), width)
+        return _with_own(near, both.select("view", "idx", F.col("v1").cast("array<double>").alias("vec")), width)
     each = nodes.select("view", "idx") if "view" in nodes.columns else nodes.select(F.explode(F.array(*[F.lit(v) for v in layers])).alias("view"), "idx")
     selves = each.select("view", F.col("idx").alias("src"), F.col("idx").alias("dst"), F.lit(1.0).alias("share"), F.lit(True).alias("self"))
     edges = shares.select("view", "src", "dst", "share", F.lit(False).alias("self")).unionByName(selves)
     rows = edges.join(both.withColumnRenamed("idx", "src"), ["view", "src"]).select(
         "view", F.col("dst").alias("idx"), "share", F.when(F.col("self"), F.col("v1")).otherwise(F.col("v0")).alias("vec")
     )
-    width = max(len(layer.own.bias) for layer in layers.values())
     return weighted_sum(rows, ["view", "idx"], "share", width)
 
 
+def _with_own(near: DataFrame, own: DataFrame, width: int) -> DataFrame:
+    """``(view, idx, vec)``: the sum over a node's edges and its own part. Copies of a
+    node meet each other, as the edge from a node to itself has them at both ends."""
+    named = own.where("view IS NOT NULL AND idx IS NOT NULL").withColumn("own", F.lit(1))
+    rows = blocked(near.withColumn("own", F.lit(0)).unionByName(named), width)
+    places = range(min(width, BLOCK))
+
+    def total(own: int, i: int) -> Column:
+        return F.sum(F.when(F.col("own") == own, F.get("vec", F.lit(i))))
+
+    cells = [total(own, i).alias(f"_{own}_{i}") for own in (0, 1) for i in places]
+    sums = rows.groupBy("view", "idx", "block").agg(F.sum("own").alias("_copies"), *cells)
+    # a node without edges, or an end that is no node, has one part only
+    added = [F.coalesce(F.col(f"_0_{i}") + F.col("_copies") * F.col(f"_1_{i}"), F.col("_copies") * F.col(f"_1_{i}"), F.col(f"_0_{i}")) for i in places]
+    return assembled(sums.select("view", "idx", "block", F.array(*added).alias("vec")), ["view", "idx"], width)
+
+
 def _with_logit(layer: SageLayer, attention: Linear) -> SageLayer:
     """The layer with one more output, the attention logit of its result."""
 
@@ -326,6 +355,10 @@ def view_embeddings(shares: DataFrame, features: DataFrame, weights: ScorerWeigh
     """``(view, idx, vec, logit)`` after two layers with a ReLU in between;
     ``features`` is ``(idx, vec)``."""
     shares = materialise(shares, "shares")  # read by both layers
+    packed = packed_shares(shares, weights.width + 1)
+    if packed:
+        discard(shares)
+        shares = packed
     first = sage_layer(shares, features, {v: pair[0] for v, pair in weights.layers.items()})
     # read twice by the second layer
     first = materialise(first, "sage-hidden")
