@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinedge.operators.embed import narrow_mean
+from twinedge.operators.embed import narrow_mean, packed_edges
 from twinedge.operators.labels import expand_copies
 from twinedge.operators.metrics import bce_term, confusion_counts, hit_term
 from twinedge.schema import CUT_THRESHOLD, EARLY_STOPPING, EPOCHS, HIDDEN_WIDTH, VIEWS
@@ -64,6 +64,7 @@ def propagated_features(views: DataFrame, features: DataFrame, width: int) -> Da
     order = {v: k for k, v in enumerate(VIEWS)}
     place = F.element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), F.col("view"))
     views = views.select(place.alias("view"), "src", "dst", "w")
+    views = packed_edges(views, width) or views  # once for both means
     one = materialise(narrow_mean(views, features, width), "mean-1")
     two = narrow_mean(views, one, width)
     slots = reduce(
