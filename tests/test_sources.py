@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import zlib
 
 import pytest
 from helpers import rows
@@ -9,7 +10,11 @@ from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from twinedge import scratch
 from twinedge.operators import embed, graph
+from twinedge.plans.entities import EntityGraph
+from twinedge.plans.fixture import DerivedGraph
+from twinedge.plans.queries import write_raw
 from twinedge.schema import AUTHOR, PUBLICATION, RAW_DATASETS
 from twinedge.sources import raw, store
 
@@ -250,3 +255,26 @@ def test_missing_datasets_and_lines_of_shared_vectors(spark, tmp_path):
     read = raw.scan_nodes(spark, str(tmp_path), "publication").select("idx", "id", "feat").collect()
     assert sorted((r["idx"], r["id"], r["feat"] and [round(x, 3) for x in r["feat"]]) for r in read) == [(0, "p0", [0.1, 2.0]), (1, "p1", None), (2, "p2", [0.1, 2.0])]
     assert "bert_embedding" not in spark.read.text(f"{tmp_path}/publications").where("value like '%p1%'").first()[0]
+
+
+def test_nodes_are_written_once_to_the_store(spark, tmp_path, monkeypatch):
+    """They were parsed to a table of their own and copied from there."""
+    folder = write_raw(DerivedGraph(spark, "/root/testdata/sf0.001"), *RAW_DATASETS)
+    written = []
+    monkeypatch.setattr(scratch, "new_path", lambda spark, name: written.append(name) or f"{tmp_path}/{name}-{len(written)}")
+    root = tmp_path / "graph"
+    with pytest.raises(ValueError):
+        EntityGraph.open(spark, folder, str(root))
+    assert not list(root.glob("graph-*"))  # nothing is left of a refused build
+    entities = EntityGraph.open(spark, folder, str(root), tolerance=10_000)
+    assert "relations" in written and not {"authors", "publications"} & set(written)
+    assert rows(entities.authors.select("idx", "id")) == rows(raw.scan_nodes(spark, folder, AUTHOR).select("idx", "id"))
+    assert entities.authors.columns == ["idx", "id", "fullname", "name", "surname", "feat", "orcid"]
+    assert entities.store.report("quarantine").count() == 4
+
+
+def test_raw_text_of_numbers_is_packed_well(spark, tmp_path):
+    numbers = F.to_json(F.transform(F.sequence(F.lit(1), F.lit(64)), lambda k: F.round(F.sin(F.col("id") * 64 + k), 8)))
+    raw.write_lines(spark.range(0, 3000, 1, 1).select(numbers.alias("value")), str(tmp_path), "numbers")
+    text = "".join(f"{r['value']}\n" for r in spark.read.text(f"{tmp_path}/numbers").collect()).encode()
+    assert sum(f.stat().st_size for f in tmp_path.glob("numbers/part*")) < 0.95 * len(zlib.compress(text, 1))

@@ -17,28 +17,31 @@ from twinedge.schema import AUTHOR, EDGE_TYPES, HIDDEN_WIDTH, NODE_DATASETS, PUB
 from twinedge.scratch import materialise
 from twinedge.sources import raw
 from twinedge.sources.runs import RunStore
-from twinedge.sources.store import GraphStore
+from twinedge.sources.store import SET_ASIDE, GraphStore, nodes_path
 
 Scorer = Callable[["EntityGraph", DataFrame], DataFrame]
 
 
 def build_graph(
-    spark: SparkSession, raw_dir: str, tolerance: int = 0
+    spark: SparkSession, raw_dir: str, tolerance: int = 0, draft: str | None = None
 ) -> tuple[dict[str, DataFrame], DataFrame, dict[str, DataFrame]]:
     """``(nodes, edges, reports)`` of the ten raw datasets, checked for soundness.
 
     The reports are ``quarantine`` (dataset, line, reason), ``unresolved`` (dataset,
     src_id, dst_id) and ``drops`` (dataset, malformed, unknown_src, unknown_dst).
-    More than ``tolerance`` malformed lines and unresolved edges are an error.
+    More than ``tolerance`` malformed lines and unresolved edges are an error. The
+    node tables, the largest, are written once: to the ``draft`` of a store, if given.
     """
     missing = raw.missing_datasets(spark, raw_dir)
     if missing:
         raise FileNotFoundError(f"no data for {missing} in {raw_dir}")
+
+    def written(t: str, name: str) -> DataFrame:
+        rows = raw.sifted(raw.parse_nodes(spark.read.text(f"{raw_dir}/{name}"), t)).withColumnRenamed("line", SET_ASIDE)
+        return materialise(rows, name, nodes_path(draft, t) if draft else None).withColumnRenamed(SET_ASIDE, "line")
+
     # text is parsed once, not once for each relation and check
-    parsed = {
-        t: materialise(raw.sifted(raw.parse_nodes(spark.read.text(f"{raw_dir}/{name}"), t)), name)
-        for t, name in NODE_DATASETS.items()
-    }
+    parsed = {t: written(t, name) for t, name in NODE_DATASETS.items()}
     nodes = {t: raw.well_formed(rows) for t, rows in parsed.items()}
     relations = {
         t: raw.sifted(raw.parse_edges(spark.read.text(f"{raw_dir}/{kind.dataset}")))
@@ -90,7 +93,7 @@ class EntityGraph:
     ) -> EntityGraph:
         """Use the stored graph, or build it from the raw datasets first."""
         stored = GraphStore(spark, save_dir)
-        return cls(stored.load_or_build(lambda: build_graph(spark, raw_dir, tolerance), force_reload))
+        return cls(stored.load_or_build(lambda draft: build_graph(spark, raw_dir, tolerance, draft), force_reload, drafted=True))
 
     def drops(self) -> DataFrame:
         """``(dataset, malformed, unknown_src, unknown_dst)`` of the build."""

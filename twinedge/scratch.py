@@ -55,12 +55,13 @@ def swept(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(SWEEP, before)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and go on from the written table."""
-    return materialise_counted(df, name)[0]
+def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` once and go on from the written table; it is one of the scratch
+    folder, or at ``path``."""
+    return materialise_counted(df, name, path)[0]
 
 
-def materialise_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+def materialise_counted(df: DataFrame, name: str, path: str | None = None) -> tuple[DataFrame, int]:
     """As :func:`materialise`, with the number of rows counted by the same job.
 
     Parquet rather than an RDD checkpoint: it is columnar and compressed, it
@@ -68,7 +69,7 @@ def materialise_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     joins broadcast it only when it is really small.
     """
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = path or new_path(spark, name)
     seen = Observation()
     with swept(spark):
         df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)

@@ -265,6 +265,10 @@ def node_lines(nodes: DataFrame, payload: Column) -> DataFrame:
     )
 
 
+# most of the text is decimal digits, which short matches only lengthen
+GZIP = {"compression": "gzip", "zlib.compress.level": "FOUR", "zlib.compress.strategy": "FILTERED"}
+
+
 def write_lines(lines: DataFrame, raw_dir: str, dataset: str) -> None:
     with swept(lines.sparkSession):
-        lines.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(f"{raw_dir}/{dataset}")
+        lines.write.options(**GZIP).text(f"{raw_dir}/{dataset}")

@@ -19,6 +19,8 @@ from twinedge.scratch import swept
 
 METRIC_SCHEMA = "run_id string, epoch int, split string, metric string, value double"
 COMMIT_SCHEMA = "version bigint, folder string"
+SET_ASIDE = "set_aside"
+"""Column of a node table with the text of a line that is no node, or else null."""
 
 
 # ---- processed graph -----------------------------------------------------
@@ -47,12 +49,17 @@ class GraphStore:
     def has_graph(self) -> bool:
         return self._latest() is not None
 
-    def save(self, nodes: Mapping[str, DataFrame], edges: DataFrame, reports: Mapping[str, DataFrame] | None = None) -> None:
+    def save(
+        self, nodes: Mapping[str, DataFrame], edges: DataFrame, reports: Mapping[str, DataFrame] | None = None, draft: str | None = None
+    ) -> None:
+        """Store and commit a version. With ``draft``, a path of :meth:`draft`, the
+        build has written the ``nodes`` there (:func:`nodes_path`)."""
         latest = self._latest()
-        folder = f"graph-{uuid.uuid4().hex}"
+        folder = (draft or self.draft()).rsplit("/", 1)[1]
         with swept(self.spark):
-            for ntype, table in nodes.items():
-                table.write.parquet(f"{self.root}/{folder}/nodes_{ntype}")
+            if not draft:
+                for ntype, table in nodes.items():
+                    table.write.parquet(nodes_path(f"{self.root}/{folder}", ntype))
             # few files per type, and a type with most of the edges is split
             edges.hint("rebalance", "etype").write.partitionBy("etype").parquet(f"{self.root}/{folder}/edges")
             for name, table in (reports or {}).items():
@@ -62,6 +69,10 @@ class GraphStore:
             f"{self.root}/commits"
         )
 
+    def draft(self) -> str:
+        """The path of a folder for a version that is not committed yet."""
+        return f"{self.root}/graph-{uuid.uuid4().hex}"
+
     def _folder(self) -> str:
         latest = self._latest()
         if latest is None:
@@ -75,7 +86,8 @@ class GraphStore:
         return self._table("edges")
 
     def nodes(self, ntype: str) -> DataFrame:
-        return self._table(f"nodes_{ntype}")
+        table = self.spark.read.parquet(nodes_path(self._folder(), ntype))
+        return table.where(F.col(SET_ASIDE).isNull()).drop(SET_ASIDE) if SET_ASIDE in table.columns else table
 
     def report(self, name: str) -> DataFrame:
         """A table that was stored with the graph, such as ``drops``."""
@@ -168,14 +180,28 @@ class GraphStore:
             gone.append(name)
         return sorted(gone)
 
-    def load_or_build(self, build, force_reload: bool = False) -> GraphStore:
+    def load_or_build(self, build, force_reload: bool = False, drafted: bool = False) -> GraphStore:
         """Build and store the graph unless one is stored; ``build()`` returns
-        ``(nodes, edges)`` or ``(nodes, edges, reports)``."""
+        ``(nodes, edges)`` or ``(nodes, edges, reports)``. A ``drafted`` one gets a path
+        of :meth:`draft`, to write the nodes to as it makes them."""
         if force_reload or not self.has_graph():
-            self.save(*build())
+            if not drafted:
+                self.save(*build())
+                return self
+            path = self.draft()
+            try:
+                self.save(*build(path), draft=path)
+            except BaseException:
+                fs, folder = _filesystem(self.spark, path)
+                fs.delete(folder, True)
+                raise
         return self
 
 
+def nodes_path(folder: str, ntype: str) -> str:
+    return f"{folder}/nodes_{ntype}"
+
+
 # ---- trained scorers -----------------------------------------------------
 
 def _filesystem(spark: SparkSession, path: str):
