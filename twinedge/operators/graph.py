@@ -49,19 +49,25 @@ def marked_relations(
     ``raw[etype]`` has ``src_id, dst_id`` and, if it was not sifted yet, ``line``
     with the text of malformed lines. The relations are stacked and the two
     node sets are one lookup keyed by (type, id), so 2 joins serve all of them
-    instead of 2 per relation.
+    instead of 2 per relation. Types go by their numbers, as the names would be most
+    of a row.
     """
-    nodes = authors.select(F.lit(AUTHOR).alias("ntype"), "id", "idx").unionByName(
-        publications.select(F.lit(PUBLICATION).alias("ntype"), "id", "idx")
+    names, types = list(raw), [AUTHOR, PUBLICATION]
+
+    def number(of: Sequence[str], name: str):
+        return F.lit(of.index(name)).cast("byte")
+
+    nodes = authors.select(number(types, AUTHOR).alias("ntype"), "id", "idx").unionByName(
+        publications.select(number(types, PUBLICATION).alias("ntype"), "id", "idx")
     )
     stacked = reduce(
         DataFrame.unionByName,
         [
             edges.select(
-                F.lit(etype).alias("etype"),
-                F.lit(EDGE_TYPES[etype].src_type).alias("src_type"),
+                number(names, etype).alias("number"),
+                number(types, EDGE_TYPES[etype].src_type).alias("src_type"),
                 "src_id",
-                F.lit(EDGE_TYPES[etype].dst_type).alias("dst_type"),
+                number(types, EDGE_TYPES[etype].dst_type).alias("dst_type"),
                 "dst_id",
                 (F.col("line") if "line" in edges.columns else F.lit(None).cast("string")).alias("line"),
             )
@@ -71,10 +77,11 @@ def marked_relations(
     at_src = nodes.toDF("src_type", "src_id", "src")
     at_dst = nodes.toDF("dst_type", "dst_id", "dst")
     unknown = F.col("src").isNull() | F.col("dst").isNull()
+    etype = F.element_at(F.array(*[F.lit(t) for t in names]), F.col("number") + 1).alias("etype")
     return (
         stacked.join(at_src, ["src_type", "src_id"], "left")
         .join(at_dst, ["dst_type", "dst_id"], "left")
-        .select("etype", "src", "dst", *[F.when(unknown, F.col(c)).alias(c) for c in ("src_id", "dst_id")], "line")
+        .select(etype, "src", "dst", *[F.when(unknown, F.col(c)).alias(c) for c in ("src_id", "dst_id")], "line")
     )
 
 
