@@ -1,9 +1,9 @@
 """Neighbourhood features, view attention and edge scoring.
 
-Spark moves and sums the vectors; Python only multiplies Arrow batches with
-weight matrices, whose size depends on the model and not on the data. Because
-the neighbour mean is linear, vectors are projected to the hidden width before
-they are shuffled.
+Spark moves the vectors and sums few of them; many are summed by packed edges
+(:mod:`twinedge.operators.parts`). Weight matrices, whose size depends on the model
+and not on the data, are multiplied with Arrow batches. Because the neighbour mean
+is linear, vectors are projected to the hidden width before they are moved.
 """
 
 from __future__ import annotations
